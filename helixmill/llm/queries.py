@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
+from .decontaminate import containments
+from .near_dedup import NearDedup
+from .sharding import shard
 from .stage import read
 
 #: Where the vocabulary lies; callers with another vocabulary pass its path to the operator.
@@ -23,7 +26,52 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDedup(k=3, percent=85)(read(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containments(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents"), 40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_near_dedup": op2_near_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_sharding": op5_sharding,
+}
+
+
+def _words(text: str) -> str:
+    """DuckDB: the words of a text, A-Z lower-cased."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(table: str, key: str, k: int) -> str:
+    """DuckDB: (key, sh) for each distinct shingle."""
+    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= {k}
+        THEN list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k - 1}], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM (SELECT {key}, {_words('text')} AS w FROM {table})"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_near_dedup": f"""
+WITH RECURSIVE s AS MATERIALIZED ({_shingles("documents", "doc_id", 3)}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT doc_id, doc_id AS v FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.v),
+c AS (SELECT doc_id, min(v) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op3_decontaminate": f"""
+WITH q AS MATERIALIZED ({_shingles("benchmark", "item_id", 5)}),
+d AS ({_shingles("documents", "doc_id", 5)}),
+n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id)
+SELECT doc_id, item_id, count(*) / any_value(n) AS containment FROM q JOIN d USING (sh) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)""",
 }
-ORACLES: dict[str, str] = {}
