@@ -235,8 +235,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", ids
     return encoded.select(key, ids).mapInArrow(run, f"key {kind}, decoded binary").withColumnRenamed("key", key)
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: key, n_tokens, and SHA-256 of its ids (little-endian, 32 bits each) and of the bytes they decode to."""
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """For each row: key, n_tokens, (with_ids: ids,) and SHA-256 of its ids (little-endian, 32 bits each) and of the bytes they decode to."""
     table = docs.sparkSession.sparkContext.broadcast(TokenBytes(ranks))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,10 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str
                 n.append(len(ids))
                 coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 plain.append(hashlib.sha256(table.value.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(plain)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = [lists] if with_ids else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *ids, pa.array(coded), pa.array(plain)], names)
 
+    names = ["key", "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
     kind = docs.schema[key].dataType.simpleString()
-    return encode(docs, ranks, pattern, key, text, digest, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    schema = f"key {kind}, n_tokens long, {'ids array<int>, ' if with_ids else ''}ids_sha256 string, decoded_sha256 string"
+    return encode(docs, ranks, pattern, key, text, digest, schema).withColumnRenamed("key", key)

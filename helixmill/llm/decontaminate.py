@@ -62,26 +62,35 @@ class Items:
         self.filter[(self.probe >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
 
-def _search(items: Items, k: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textvec.slices(batches, "text"):
-            h, doc = textvec.shingles(textvec.words(batch.column("text")), k)
-            at = textvec.bounds(doc, batch.num_rows)
-            some = np.flatnonzero(items.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            lo, hi = np.searchsorted(items.probe, h[some], "left"), np.searchsorted(items.probe, h[some], "right")
-            found = {(int(doc[s]), int(i)) for s, a, b in zip(some[hi > lo], lo[hi > lo], hi[hi > lo], strict=True) for i in items.item[a:b]}
-            rows, ids, share, sets = [], [], [], {}
-            for d, i in sorted(found):
-                if d not in sets:
-                    sets = {d: np.unique(h[at[d] : at[d + 1]])}
-                both = len(np.intersect1d(items.sets[i], sets[d], assume_unique=True))
-                if both >= threshold * len(items.sets[i]) - 1e-9:
-                    rows.append(d)
-                    ids.append(i)
-                    share.append(both / len(items.sets[i]))
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), pa.array([items.ids[i] for i in ids], pa.int64()), pa.array(share, pa.float64())], ["key", "item_id", "containment"])
-
-    return run
+def _search(items: Items, column: pa.Array, k: int, threshold: float) -> tuple[list[int], list[int], list[float]]:
+    """Rows of a text column, items of the block that they contain, and how much of the item."""
+    h, doc = textvec.shingles(textvec.words(column), k)
+    at = textvec.bounds(doc, len(column))
+    some = np.flatnonzero(items.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+    lo, hi = np.searchsorted(items.probe, h[some], "left"), np.searchsorted(items.probe, h[some], "right")
+    hit = hi > lo
+    found = {(int(doc[s]), int(i)) for s, a, b in zip(some[hit], lo[hit], hi[hit], strict=True) for i in items.item[a:b]}
+    rows, ids, share, of, own = [], [], [], -1, h[:0]
+    for d, i in sorted(found):
+        if d != of:
+            of, own = d, np.unique(h[at[d] : at[d + 1]])
+        both = len(np.intersect1d(items.sets[i], own, assume_unique=True))
+        if both >= threshold * len(items.sets[i]) - 1e-9:
+            rows.append(d)
+            ids.append(i)
+            share.append(both / len(items.sets[i]))
+    return rows, ids, share
+
+
+def _blocks(benchmark: DataFrame, k: int, threshold: float) -> Iterator[Items]:
+    block: list = []
+    for row in benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null").toLocalIterator():
+        block.append(row)
+        if len(block) == ITEM_BLOCK:
+            yield Items([r[0] for r in block], [r[1] for r in block], k, threshold)
+            block = []
+    if block:
+        yield Items([r[0] for r in block], [r[1] for r in block], k, threshold)
 
 
 def containments(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,24 +103,41 @@ def containments(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, item_id long, containment double"
-    out = docs.sparkSession.createDataFrame([], schema)
-    block: list = []
-    stream = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null").toLocalIterator()
-    for row in stream:
-        block.append(row)
-        if len(block) == ITEM_BLOCK:
-            out = out.union(_against(rows, block, k, threshold, schema))
-            block = []
-    if block:
-        out = out.union(_against(rows, block, k, threshold, schema))
+    out = None
+    for items in _blocks(benchmark, k, threshold):
+        part = _found(rows, items, k, threshold, schema)
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], schema)
     return out.withColumnRenamed("key", key)
 
 
-def _against(rows: DataFrame, block: list, k: int, threshold: float, schema: str) -> DataFrame:
-    items = Items([r[0] for r in block], [r[1] for r in block], k, threshold)
+def _found(rows: DataFrame, items: Items, k: int, threshold: float, schema: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _search(shared.value, k, threshold)(batches)
+        for batch in textvec.slices(batches, "text"):
+            row, item, share = _search(shared.value, batch.column("text"), k, threshold)
+            ids = [shared.value.ids[i] for i in item]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int64())), pa.array(ids, pa.int64()), pa.array(share, pa.float64())], ["key", "item_id", "containment"])
 
     return rows.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, text: str = "text") -> DataFrame:
+    """The rows of docs that contain no item, with their columns."""
+    for items in _blocks(benchmark, k, threshold):
+        docs = _without(docs, items, k, threshold, text)
+    return docs
+
+
+def _without(docs: DataFrame, items: Items, k: int, threshold: float, text: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textvec.slices(batches, text):
+            keep = np.ones(batch.num_rows, bool)
+            keep[_search(shared.value, batch.column(text), k, threshold)[0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

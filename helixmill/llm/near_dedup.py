@@ -199,7 +199,7 @@ def _confirm(percent: int):
 
 
 class NearDedup:
-    """key, n_shingles, component_id and kept for each row.
+    """key, n_shingles, component_id, kept and text_hash (of the whole text) for each row.
 
     Sets of distinct k-word shingles (a text of fewer words is one shingle) are linked at percent / 100 Jaccard similarity
     or more; component_id is the smallest key reachable over links, kept marks the row that has it. Null and empty texts
@@ -218,9 +218,19 @@ class NearDedup:
         members = classes.select("cls", "low").join(roots.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         least = members.groupBy("root").agg(F.min("low").alias("component_id"))
         named = members.join(least, "root").select("cls", "component_id")
-        out = sketches.select("key", "n_shingles", "cls").join(named, "cls", "left")
+        out = sketches.select("key", "tid", "n_shingles", "cls").join(named, "cls", "left")
         out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component_id")))
-        return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+        return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"), F.col("tid").alias("text_hash"))
+
+    def keep(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """One row of each component, with its columns: that of the smallest key, and of rows that repeat it one."""
+        found = self(docs, key, text).filter("kept").select(F.col(key).alias("_key"), F.col("text_hash").alias("_tid"))
+        found = written(found)
+        same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_tid"))
+        rows = docs.join(found, same, "left_semi")
+        if not found.groupBy("_key").count().filter("count > 1").isEmpty():
+            rows = rows.withColumn("_tid", F.xxhash64(text)).dropDuplicates([key, "_tid"]).drop("_tid")
+        return rows
 
     def _links(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """Confirmed links between classes, enough to connect whatever links connect."""

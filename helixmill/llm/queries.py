@@ -6,43 +6,72 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+import corpus_pipeline
+
+from . import bpe, ctw, html_text, language
 from .decontaminate import containments
+from .embedding_dedup import EmbeddingDedup
 from .near_dedup import NearDedup
+from .quality import ImportanceResampling
 from .sharding import shard
 from .stage import read
-
-#: Where the vocabulary lies; callers with another vocabulary pass its path to the operator.
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-
-
-def vocabulary() -> tuple[dict[bytes, int], str]:
-    import public_tokenizers
-
-    return bpe.load_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
-
+from .toxicity import OrdinalToxicity
+from .vocabulary import vocabulary
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NearDedup(k=3, percent=85)(read(spark, sf_dir, "documents"))
+    return NearDedup(k=3, percent=85)(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containments(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return OrdinalToxicity().fit(docs, read(spark, sf_dir, "labels")).transform(docs)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"), 40)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return ImportanceResampling().fit(docs, read(spark, sf_dir, "labels")).transform(docs)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.evaluate(read(spark, sf_dir, "documents"))
+
+
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(read(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EmbeddingDedup()(read(spark, sf_dir, "embeddings"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
+    "op8_ctw": op8_ctw,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_html_text": op10_html_text,
+    "pipeline": corpus_pipeline.run,
 }
 
 

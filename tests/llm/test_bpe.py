@@ -5,13 +5,14 @@ import public_tokenizers
 import pytest
 import tiktoken
 from helixmill.llm import bpe, queries
+from helixmill.llm.vocabulary import vocabulary
 
 DOCS = "doc_id long, text string, ids string, `block` int"
 
 
 @pytest.fixture(scope="module")
 def ranks():
-    return queries.vocabulary()[0]
+    return vocabulary()[0]
 
 
 @pytest.fixture(scope="module")
