@@ -97,6 +97,22 @@ def words(column: pa.Array) -> Words:
     return Words(mix(sums * inverse[starts]), doc, counts, starts)
 
 
+def prefixes(column: pa.Array, w: Words, sizes: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size, hashes of the first so many bytes of each longer word, and the rows of these words."""
+    raw, off = text_bytes(column)
+    word = np.arange(len(w.starts))
+    ends = off[w.doc + 1]
+    total = np.zeros(len(w.starts), np.uint64)
+    for j in range(sizes.stop):
+        at = w.starts[word] + j
+        inside = at < ends[word]
+        inside[inside] = ~_IS_SPACE[raw[at[inside]]]
+        word, at, total = word[inside], at[inside], total[inside]
+        if j in sizes:
+            yield mix(total + _U(j)), w.doc[word]
+        total = total * _R + _BYTE[raw[at]]
+
+
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of k words in each row (of the whole row, if it has fewer), in text order, with rows."""
     h, doc = w.hashes, w.doc

@@ -3,12 +3,12 @@
 Grades 0 < 1 < ... < K share one weight vector w; thresholds t_1 < ... < t_K part them: P(grade >= j) is
 logistic(w.x - t_j). The expected severity is the sum of these over j.
 
-x: whether each of a chosen set of hashed words and word pairs is in the text (log(1 + count)). The buckets are chosen on
+x: log(1 + count) of each of a chosen set of hashed words, word beginnings and word pairs. The buckets are chosen on
 the labelled sample by the chi-square of their presence against grade > 0. The fit is by gradient steps on the driver over
 a bounded sample of labelled rows; scoring runs in Spark over all rows.
 
-The labels say toxic or not. A toxic document's grade is 1 or 2 by how many of the chosen toxic words it has for its
-length: 2 in the upper half of the toxic sample. The operator itself takes any integer grades."""
+The labels say toxic or not. A toxic document's grade is 1 or 2 by how many of the chosen toxic words it has: 2 above
+the median of the toxic sample. The operator itself takes any integer grades."""
 
 from __future__ import annotations
 
@@ -23,7 +23,9 @@ from . import textvec
 from .features import labelled_sample, ngrams
 from .stage import written
 
-BITS = 18
+BITS = 20
+#: Bytes of a word's beginning that are features too, so that unseen forms of a word are known by their stem.
+STEMS = range(4, 9)
 #: Labelled rows that are fitted, at most (expected number), and features of the model.
 LABELLED = 12_000
 FEATURES = 512
@@ -36,16 +38,23 @@ def _presence(features: np.ndarray | None):
     """(row, bucket, count) of each text's buckets; of the given buckets, if any."""
     wanted = None
     if features is not None:
-        wanted = np.full(1 << BITS, -1)
+        wanted = np.full(1 << BITS, -1, np.int32)
         wanted[features] = np.arange(len(features))
 
+    def chosen(bucket: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if wanted is None:
+            return bucket, doc
+        bucket = wanted[bucket]
+        return bucket[bucket >= 0], doc[bucket >= 0]
+
     def of(column: pa.Array) -> tuple[np.ndarray, ...]:
         bucket, doc, w = ngrams(column, BITS)
-        if wanted is not None:
-            bucket = wanted[bucket]
-            doc, bucket = doc[bucket >= 0], bucket[bucket >= 0]
-        code, count = np.unique(doc.astype(np.int64) << 20 | bucket, return_counts=True)
-        return code >> 20, code & ((1 << 20) - 1), count, w.counts
+        found = [chosen(bucket, doc)]
+        for h, rows in textvec.prefixes(column, w, STEMS):
+            found.append(chosen((h >> np.uint64(64 - BITS)).astype(np.int64), rows))
+        bucket, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        code, count = np.unique(doc.astype(np.int64) << BITS | bucket, return_counts=True)
+        return code >> BITS, code & ((1 << BITS) - 1), count, w.counts
 
     return of
 
@@ -119,7 +128,7 @@ class OrdinalToxicity:
         return np.repeat(np.arange(n), size), cols, vals, (got.column("grade").to_numpy() if n else empty)
 
     def _degrees(self, rows, cols, vals, grades):
-        told = np.bincount(rows, vals * self.telling[cols], minlength=len(grades)) / np.maximum(self._words, 1)
+        told = np.bincount(rows, vals * self.telling[cols], minlength=len(grades))
         bad = grades > 0
         return np.where(bad & (told > np.median(told[bad])), 2, grades)
 
