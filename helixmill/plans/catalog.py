@@ -9,3 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "kmer_index_lca"
+
+
+def load() -> None:
+    """Fill the registry; importing the module of queries registers them."""
+    from . import queries  # noqa: F401
