@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import stage, textvec
 
 DEPTH = 5
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 _PAD, _GAP = 0x0A, 0x20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -35,19 +35,23 @@ _TABLE = 1 << 16
 _HASHES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0x94D049BB133111EB)]
 
 
-def coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def coded(column: pa.Array, w: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
     """The coded bytes of the rows, each after DEPTH padding bytes, and the offset of each row's padding."""
     raw, off = textvec.text_bytes(column)
     n = len(off) - 1
-    w = textvec.words(column)
-    solid = np.flatnonzero(~_SPACE[raw])
-    before = np.searchsorted(w.starts, solid, "right") - 1  # the word of each byte
-    doc = w.doc[before] if len(solid) else solid
+    solid = ~_SPACE[raw]
+    first = np.zeros(len(raw), bool)
+    first[w.starts] = True
+    before = np.cumsum(first[solid], dtype=np.int32) - 1  # the word of each byte
+    doc = w.doc.astype(np.int32)[before]
     size = np.bincount(doc, minlength=n) + w.counts + DEPTH + 1
     ends = np.cumsum(size)
     begins = ends - size
     out = np.full(int(ends[-1]) if n else 0, _GAP, np.uint8)
-    out[np.arange(len(solid)) + before + (doc + 1) * DEPTH + doc] = _LOWER[raw[solid]]
+    # before a byte come the bytes before it, a gap for each earlier word, and the padding and ends of earlier rows
+    place = np.arange(len(before), dtype=np.int32) + before
+    place += doc * np.int32(DEPTH + 1) + np.int32(DEPTH)
+    out[place] = _LOWER[raw[solid]]
     for j in range(DEPTH):
         out[begins + j] = _PAD
     out[ends - 1] = _PAD
@@ -87,10 +91,9 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def grams(out: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of the distinct grams (the predicted byte lowest, older bytes higher), the gram of each coded byte, and where
     each row's coded bytes begin among them."""
-    byte = out.astype(np.uint64)
-    codes = byte[DEPTH:].copy()
+    codes = out[DEPTH:].astype(np.uint64)
     for j in range(1, DEPTH + 1):
-        codes |= byte[DEPTH - j : len(byte) - j] << np.uint64(8 * j)
+        codes |= out[DEPTH - j : len(out) - j].astype(np.uint64) << np.uint64(8 * j)
     # codes[i] ends at byte i + DEPTH; grams that end in the padding of a later row are not wanted
     wanted = np.ones(len(codes), bool)
     for j in range(DEPTH):
@@ -226,8 +229,8 @@ class _Block:
     """The distinct grams and words of a block, found alike whenever they are needed."""
 
     def __init__(self, texts: pa.Array):
-        self.codes, self.gram, self.gram_at = grams(*coded(texts))
         w = textvec.words(texts)
+        self.codes, self.gram, self.gram_at = grams(*coded(texts, w))
         self.words, self.word = np.unique(w.hashes, return_inverse=True)
         self.n_words = w.counts
         self.lengths = np.diff(np.append(self.gram_at, len(self.gram)))
@@ -251,10 +254,13 @@ def _blocks(parts: int, size: int):
 
         number = TaskContext.get().partitionId() << 32
         for batch in textvec.slices(batches, "text", size):
-            b = _Block(batch.column("text"))
+            texts = batch.column("text").cast(pa.large_string()).fill_null("")
+            b = _Block(texts)
             held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             g, w = b.lists(parts, ~held)
-            row = {"block": [number], "row_ids": [batch.column("row_id").to_pylist()], "held": [held.tolist()], "texts": [batch.column("text").fill_null("").to_pylist()], "grams": pa.array([g], pa.list_(pa.binary())), "words": pa.array([w], pa.list_(pa.binary()))}
+            del b
+            listed = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts.cast(pa.string()))
+            row = {"block": [number], "row_ids": [batch.column("row_id").to_pylist()], "held": [held.tolist()], "texts": listed, "grams": pa.array([g], pa.list_(pa.binary())), "words": pa.array([w], pa.list_(pa.binary()))}
             yield pa.RecordBatch.from_pydict(row)
             number += 1
 
@@ -342,8 +348,10 @@ def _scored(parts: int, tokens: int, known: int, ends: int, kind: pa.DataType):
         total = tokens + ends
         rest = total + 0.1 * (known + (ends > 0) + 1)
         for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(pa.array(row["texts"], pa.large_string()))
+            for i in range(batch.num_rows):
+                texts = batch.column("texts")[i].values
+                row = batch.slice(i, 1).drop_columns("texts").to_pylist()[0]
+                b = _Block(texts)
                 held = np.array(row["held"], bool)
                 g_place, w_place = b.places(parts)
                 got = sorted(row["lists"] or [], key=lambda x: x["part"])

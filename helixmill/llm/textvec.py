@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n + n // 8, SLICE_BYTES)
         out = []
         for r in (_R, _R_INV):
             p = np.full(size, r, np.uint64)
