@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,19 +40,22 @@ def train(spark: SparkSession, shape: Shape, bits: int) -> DataFrame:
         raise ValueError(f"at most {MOST_BITS} k-mers")
     span = bits + len(shape) - 1
     masks = [sum(1 << (i + o) for o in shape.take) for i in range(bits)]
-    kmers = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(masks)])
-    none = F.lit(0).cast("long")
-    rows = spark.range(0, (1 << bits) - 1).select(F.col("id").alias("pattern"), kmers.alias("kmers"))
-    # arrays, not one long expression, so that the plan does not grow with the number of k-mers
-    missed = F.filter("kmers", lambda k: F.col("pattern").bitwiseAND(k["bit"]) == 0)
-    covered = F.aggregate(F.filter("kmers", lambda k: F.col("pattern").bitwiseAND(k["bit"]) != 0), none, lambda acc, k: acc.bitwiseOR(k["mask"]))
-    rows = rows.select("pattern", missed.alias("missed"), F.bitwise_not(covered).bitwiseAND((1 << span) - 1).alias("free"))
-    own = rows.select("pattern", F.transform("missed", lambda k: F.col("free").bitwiseAND(k["mask"])).alias("own"))
-    rows = own.filter(F.forall("own", lambda x: x != 0))
-    certain = F.aggregate(F.filter("own", lambda x: F.bit_count(x) == 1), none, lambda acc, x: acc.bitwiseOR(x))
-    rows = rows.select("pattern", certain.alias("certain"))
-    found = F.filter(F.sequence(F.lit(0), F.lit(span - 1)), lambda j: F.col("certain").bitwiseAND(F.pow(F.lit(2), j).cast("long")) != 0)
-    return rows.select("pattern", found.alias("mutations"))
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("id").to_numpy()
+            covered, certain, possible = np.zeros_like(p), np.zeros_like(p), np.ones(len(p), bool)
+            for i, m in enumerate(masks):
+                covered |= np.where(p >> i & 1, m, 0)
+            for i, m in enumerate(masks):
+                own, miss = m & ~covered, (p >> i & 1) == 0
+                possible &= ~miss | (own != 0)
+                certain |= np.where(miss & (np.bitwise_count(own) == 1), own, 0)
+            told = [[j for j in range(span) if c >> j & 1] for c in certain[possible].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(p[possible]), pa.array(told, pa.list_(pa.int32()))], ["pattern", "mutations"])
+
+    # in Arrow batches: as expressions the optimizer would infer the same conditions for whatever is joined to a pattern
+    return spark.range(0, (1 << bits) - 1).mapInArrow(invert, "pattern long, mutations array<int>")
 
 
 def call(rows: DataFrame, table: DataFrame, read: str, shape: Shape, bits: int) -> DataFrame:
