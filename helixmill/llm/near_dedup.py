@@ -239,10 +239,7 @@ class NearDedup:
         rows = classes.select(F.explode(roots).alias("node"), "cls", F.col("cls").alias("label"))
         groups, edges = [], []
         for depth in range(DEEPEST + 1):
-            sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cls", "label")).alias("pivot"), F.max("label").alias("top"), F.min("label").alias("bottom"))
-            rows = written(rows.join(sizes.filter("n > 1 and top <> bottom").drop("top", "bottom"), "node"))
-            small = rows.filter(f"n <= {self.small}").select("node", "cls", "label")
-            large = rows.filter(f"n > {self.small}")
+            small, large = self._sized(rows)
             if depth == DEEPEST:
                 small = small.union(self._blocks(large))
             groups.append(self._compared(small, classes))
@@ -264,6 +261,20 @@ class NearDedup:
             out = out.union(x)
         return out
 
+    def _sized(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of small nodes, and rows of large ones with n and pivot; nodes of one class or one label are left out.
+
+        Sizes are counted with a map-side combine. Rows of a large node are not brought together: they meet its size and
+        pivot in a broadcast, and only rows of small nodes are shuffled by node."""
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cls", "label")).alias("pivot"), F.max("label").alias("top"), F.min("label").alias("bottom"))
+        sizes = written(sizes.filter("n > 1").select("node", "n", F.when(F.col("n") > self.small, F.col("pivot")).alias("pivot"), (F.col("top") != F.col("bottom")).alias("open")))
+        big = sizes.filter(F.col("n") > self.small)
+        if big.count() <= BROADCAST_ROWS:
+            big = F.broadcast(big)
+        large = rows.join(big.filter("open").drop("open"), "node")
+        small = rows.join(big.select("node"), "node", "left_anti").join(sizes.filter((F.col("n") <= self.small) & F.col("open")).select("node"), "node", "left_semi")
+        return written(small), written(large)
+
     def _branched(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
         pick = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(POSITIONS)).cast("int") for j in range(BRANCHES)]
         children = F.array(*[F.xxhash64("node", F.lit(j), F.get("signature", p)) for j, p in enumerate(pick)])
