@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .components import components
-from .stage import written
+from .stage import partitions, written, written_by
 
 POSITIONS = 64
 TREES, BRANCHES = 3, 2
@@ -35,6 +35,10 @@ DEEPEST = 10
 SLACK = 0.20
 #: Classes whose ids are broadcast when their texts are looked up; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Pivots whose signatures are broadcast (300 bytes each); more are joined by a shuffle.
+BROADCAST_PIVOTS = 100_000
+#: Classes that are confirmed against a pivot in one group.
+STAR = 64
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -213,7 +217,9 @@ class NearDedup:
         docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tid"))
         kind = docs.schema["key"].dataType.simpleString()
         sketches = written(docs.mapInArrow(_sketch(self.k), f"key {kind}, tid long, n_shingles long, cls string, signature array<int>"))
-        classes = written(sketches.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("low"), F.first("tid").alias("tid"), F.first("signature").alias("signature")))
+        # signatures are asked for by class at every level: in buckets they stay where they are
+        classes = sketches.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("low"), F.first("tid").alias("tid"), F.first("signature").alias("signature"))
+        classes = written_by(classes, "cls", partitions(docs.sparkSession))
         roots = components(self._links(docs, classes))
         members = classes.select("cls", "low").join(roots.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         least = members.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -295,12 +301,23 @@ class NearDedup:
         return written(full.mapInArrow(_candidates(self._least()), "grp long, cls string"))
 
     def _stars(self, stars: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs with a pivot whose signatures agree enough, as groups of two."""
+        """Pairs with a pivot whose signatures agree enough, as groups of the pivot and a block of its classes.
+
+        A pivot is the smallest class of its group, so that the forest of a group hangs whatever is linked with it under it."""
+        stars = written(stars)
+        hubs = stars.select("hub").distinct()
         s = classes.select("cls", "signature")
-        both = stars.join(s, "cls").join(s.withColumnRenamed("cls", "hub").withColumnRenamed("signature", "other"), "hub")
+        other = s.withColumnRenamed("cls", "hub").withColumnRenamed("signature", "other").join(hubs, "hub", "left_semi")
+        if hubs.count() <= BROADCAST_PIVOTS:
+            other = F.broadcast(other)
+        both = stars.join(s, "cls").join(other, "hub")
         same = F.aggregate(F.zip_with("signature", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-        both = both.filter(same >= self._least()).withColumn("grp", F.xxhash64("cls", "hub"))
-        return both.select("grp", F.explode(F.array("cls", "hub")).alias("cls"))
+        near = written(both.filter(same >= self._least()).select("cls", "hub"))
+        blocks = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("blocks"))
+        if hubs.count() <= BROADCAST_PIVOTS:
+            blocks = F.broadcast(blocks)
+        dealt = near.join(blocks, "hub").select("cls", "hub", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), "blocks")).alias("grp"))
+        return dealt.select("grp", "cls").union(dealt.select("grp", F.col("hub").alias("cls")).distinct())
 
     def _confirmed(self, groups: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """Links (a, b) that connect what is linked within each group, by full shingle sets taken from the texts."""
