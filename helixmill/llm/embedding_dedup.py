@@ -10,19 +10,22 @@ Vectors with the same components form a class; the graph is over classes.
 3. Every comparison that reaches the threshold is kept as an edge, whether or not it fits a list. Edges give components.
    A list whose entries all reach the threshold is saturated: it may lack links. Such lists are enlarged to the whole
    component: its members are compared exhaustively, in blocks, which gives the exact number of links inside it.
-4. Audit: the links of some classes, drawn by a hash, are counted against all vectors. If too many are missing, lists are
-   made longer and more cells are cut, and the descent goes on.
+4. Audit: the links of some classes, drawn by a hash from strata of classes with about as many found links (most from those
+   with none), are counted against all vectors. Recall is a mean over classes, taken apart for classes with few and with many
+   true links; the least mean counts, so that no dense group speaks for pairs. If it is too low, lists are made longer and
+   more cells are cut, and the descent goes on. If it stays too low, the run fails: links are not given out then.
 
 Cosines are taken in double precision."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -30,12 +33,15 @@ from .near_dedup import _by_group, _forest
 from .stage import written
 
 NEIGHBOURS = 12
-TABLES = 8
-#: Classes in a cell or a block of one, and in a block of a component.
+#: Tables of an attempt: as many as leave a pair at the threshold unmet in cells with MISS, at least TABLES.
+TABLES, MISS = 8, 1e-3
+#: Classes in a cell on average, at most; in a block of a large cell, and in a block of a component.
 CELL, BLOCK = 128, 256
 ROUNDS = 4  # of the descent, at most, in each attempt
 SETTLED = 0.01  # share of list entries that change
-AUDITED, RECALL, ATTEMPTS = 256, 0.999, 3
+#: Audited classes: of those without a found link, and of each other stratum.
+AUDITED_SINGLE, AUDITED, STRATA = 4096, 256, 5
+RECALL, ATTEMPTS = 0.999, 4
 
 
 def _classes(kind: str):
@@ -63,9 +69,25 @@ def _unit(vecs, kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _bits(n: int) -> int:
+    """Hyperplanes of a table for n classes."""
+    return max(0, math.ceil(math.log2(max(n, 1) / CELL)))
+
+
+def tables_for(n: int, threshold: float, least: int = TABLES) -> int:
+    """Tables in which a pair at the threshold meets with 1 - MISS: more, the more hyperplanes cut it."""
+    meet = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** _bits(n)
+    return least if meet >= 1 else max(least, math.ceil(math.log(MISS) / math.log1p(-meet))) if meet > 0 else least
+
+
+def _stratum(links: Column) -> Column:
+    """0 without links, then 1-3, 4-15, 16-63, and more."""
+    return F.when(links < 1, 0).otherwise(F.least(F.lit(STRATA - 1), 1 + F.floor(F.log2(links) / 2 + 1e-9))).cast("int")
+
+
 def _cells(tables: range, n: int, kind: str):
     """(cell, cls, vec) for each table: the side of each hyperplane on which a vector lies."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / CELL))))
+    bits = _bits(n)
     size = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +156,8 @@ def _block_links(kind: str, threshold: float):
 
 
 class EmbeddingDedup:
-    """key, n_links, component_id and kept for each row; `recall` holds the last audit.
+    """key, n_links, component_id and kept for each row; `recall` holds the last audit, which is RECALL at least: a run that
+    does not get there in ATTEMPTS raises RuntimeError.
 
     Vectors with cosine at the threshold or above are linked. n_links counts the other rows a row is linked with, copies
     included. component_id is the smallest key reachable over links, kept marks the row that has it. Null vectors, vectors
@@ -157,15 +180,18 @@ class EmbeddingDedup:
         classes = written(rows.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")))
         n = classes.count()
         lists, edges = None, None
+        tables = tables_for(n, self.threshold, self.tables)
         for attempt in range(ATTEMPTS):
-            k = self.neighbours << attempt
-            lists, more = self._descent(classes, n, lists, range(attempt * self.tables, (attempt + 1) * self.tables), k)
+            k = self.neighbours * (attempt + 1)
+            lists, more = self._descent(classes, n, lists, range(attempt * tables, (attempt + 1) * tables), k)
             edges = more if edges is None else edges.union(more)
             roots = written(components(edges))
             links = written(self._links(classes, roots))
             self.recall = self._audit(classes, links, n)
             if self.recall >= RECALL:
                 break
+        else:
+            raise RuntimeError(f"audited recall is {self.recall:.4f} after {ATTEMPTS} attempts with {tables} tables each, {RECALL} was asked for")
         members = classes.select("cls", "low", "copies").join(roots.withColumnRenamed("vertex", "cls"), "cls", "left").join(links, "cls", "left")
         members = members.withColumn("root", F.coalesce("root", "cls")).withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
         least = members.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -180,7 +206,7 @@ class EmbeddingDedup:
 
     def _descent(self, classes: DataFrame, n: int, lists: DataFrame | None, tables: range, k: int) -> tuple[DataFrame, DataFrame]:
         cells = written(classes.select("cls", "vec").mapInArrow(_cells(tables, n, self.kind), "grp string, cls string, vec binary"))
-        full = cells.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("blocks"))
+        full = cells.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
         block = F.pmod(F.xxhash64("cls", "grp"), F.col("blocks"))
         cells = cells.join(full, "grp").select(F.concat_ws("/", "grp", block).alias("grp"), "cls", "vec", F.lit(-2.0).alias("least"))
         met = self._compared(cells, k)
@@ -226,31 +252,48 @@ class EmbeddingDedup:
         return found.groupBy("cls").agg(F.sum("n").alias("n"))
 
     def _audit(self, classes: DataFrame, links: DataFrame, n: int) -> float:
-        """Of the true links of AUDITED classes (fewer if there are fewer), the share that has been found."""
-        chance = min(1.0, AUDITED / max(n, 1))
-        drawn = classes.filter(F.pmod(F.xxhash64("cls", F.lit("audit")), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30))))
-        rows = drawn.select("cls", "vec").toArrow().to_pylist()
+        """The least, over classes with few to many true links, of the mean share of a class's true links that has been found."""
+        known = classes.select("cls", "vec").join(links, "cls", "left").withColumn("stratum", _stratum(F.coalesce("n", F.lit(0))))
+        sizes = {r["stratum"]: r["count"] for r in known.groupBy("stratum").count().collect()}  # STRATA rows
+        chance = F.lit(0.0)
+        for at, size in sizes.items():
+            chance = F.when(F.col("stratum") == at, min(1.0, (AUDITED if at else AUDITED_SINGLE) / size)).otherwise(chance)
+        drawn = known.filter(F.pmod(F.xxhash64("cls", F.lit("audit")), F.lit(1 << 30)) < chance * float(1 << 30))
+        rows = drawn.select("cls", "vec", "stratum", F.coalesce("n", F.lit(0)).alias("n")).toArrow().to_pylist()
         if not rows:
             return 1.0
         kind, threshold = self.kind, self.threshold
         by_size: dict[int, list] = {}
         for r in rows:
-            by_size.setdefault(len(r["vec"]), []).append(r)
+            by_size.setdefault(len(r["vec"]), []).append((r["cls"], r["vec"]))
+        step = max(1, (1 << 22) // len(rows))  # so many vectors are compared with all drawn ones at once
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked = {s: ([r["cls"] for r in q], _unit([r["vec"] for r in q], kind)) for s, q in by_size.items()}
-            total: dict[str, int] = {}
+            asked = {s: (np.array([c for c, _ in q]), _unit([v for _, v in q], kind)) for s, q in by_size.items()}
+            total = {s: np.zeros(len(q), np.int64) for s, q in by_size.items()}
+            place = {c: i for q in by_size.values() for i, (c, _) in enumerate(q)}
             for batch in batches:
                 vecs, cls, copies = (batch.column(c).to_pylist() for c in ("vec", "cls", "copies"))
-                for s, (names, q) in asked.items():
-                    own = [i for i, v in enumerate(vecs) if len(v) == s]
-                    if own:
+                for s, (_, q) in asked.items():
+                    all_of = [i for i, v in enumerate(vecs) if len(v) == s]
+                    for at in range(0, len(all_of), step):
+                        own = all_of[at : at + step]
                         linked = np.clip(q @ _unit([vecs[i] for i in own], kind).T, -1, 1) >= threshold
-                        linked &= np.array(names)[:, None] != np.array([cls[i] for i in own])[None, :]
-                        for c, m in zip(names, (linked * np.array([copies[i] for i in own])).sum(1).tolist(), strict=True):
-                            total[c] = total.get(c, 0) + m
-            yield pa.RecordBatch.from_pydict({"cls": pa.array(list(total), pa.string()), "true": pa.array(list(total.values()), pa.int64())})
+                        for j, i in enumerate(own):  # not with itself
+                            if cls[i] in place:
+                                linked[place[cls[i]], j] = False
+                        total[s] += linked @ np.array([copies[i] for i in own], np.int64)
+            for s, (names, _) in asked.items():
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(names.tolist(), pa.string()), "true": pa.array(total[s])})
 
         true = classes.select("cls", "vec", "copies").mapInArrow(run, "cls string, true long").groupBy("cls").agg(F.sum("true").alias("true"))
-        got = true.join(links, "cls", "left").agg(F.coalesce(F.sum("true"), F.lit(0)), F.coalesce(F.sum(F.least(F.coalesce("n", F.lit(0)), "true")), F.lit(0))).first()
-        return got[1] / got[0] if got[0] else 1.0
+        true = {r["cls"]: r["true"] for r in true.collect()}  # the drawn classes
+        weight = {at: sizes[at] / sum(r["stratum"] == at for r in rows) for at in {r["stratum"] for r in rows}}
+        found, of = [0.0] * 32, [0.0] * 32
+        for r in rows:
+            t = true[r["cls"]]
+            if t:
+                many = min(31, (t.bit_length() - 1) // 2)
+                of[many] += weight[r["stratum"]]
+                found[many] += weight[r["stratum"]] * min(r["n"], t) / t
+        return min((f / o for f, o in zip(found, of, strict=True) if o), default=1.0)

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from helixmill.llm import embedding_dedup
 from helixmill.llm.embedding_dedup import EmbeddingDedup
 
 
@@ -41,3 +43,33 @@ def test_nulls_repeats_and_empty(spark):
     got = EmbeddingDedup()(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in got), key=str) == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (5, 0, 5, True)], key=str)
     assert EmbeddingDedup()(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_audit_sees_missed_pairs_beside_a_dense_group(spark):
+    r = np.random.default_rng(1)
+    dense = r.standard_normal(32) + 0.02 * r.standard_normal((400, 32))
+    pairs = np.repeat(r.standard_normal((400, 32)), 2, 0) + 0.02 * r.standard_normal((800, 32))
+    vecs = np.concatenate([dense, pairs]).astype("<f4")
+    classes = spark.createDataFrame([(f"{i:04d}", bytearray(v.tobytes()), 1) for i, v in enumerate(vecs)], "cls string, vec binary, copies long")
+    op = EmbeddingDedup()
+    op.kind = "<f4"
+    found = [(f"{i:04d}", 399) for i in range(400)]
+    assert op._audit(classes, spark.createDataFrame(found, "cls string, n long"), len(vecs)) < 0.1
+    found += [(f"{i:04d}", 1) for i in range(400, 1200)]
+    assert op._audit(classes, spark.createDataFrame(found, "cls string, n long"), len(vecs)) == 1.0
+    assert op._audit(classes, spark.createDataFrame(found[:-80], "cls string, n long"), len(vecs)) == pytest.approx(0.9, abs=0.05)
+
+
+def test_tables_grow_with_hyperplanes():
+    for n in (10_000, 1_000_000, 10_000_000):
+        bits = np.ceil(np.log2(n / embedding_dedup.CELL))
+        assert (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** embedding_dedup.tables_for(n, 0.9) <= 1e-3
+    assert embedding_dedup.tables_for(0, 0.9) == embedding_dedup.tables_for(10, 1.0) == embedding_dedup.TABLES
+
+
+def test_no_links_below_the_target(spark, monkeypatch):
+    monkeypatch.setattr(EmbeddingDedup, "_audit", lambda *a: 0.5)
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1)
+    rows = [(i, [1.0, float(i)]) for i in range(4)]
+    with pytest.raises(RuntimeError, match="recall"):
+        EmbeddingDedup()(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
