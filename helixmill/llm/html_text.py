@@ -4,7 +4,13 @@ A page is a sequence of tags and words. A word scores above zero, a tag below; t
 against outside the article, counted on labelled pages: those that mark their article with one <article> element. One
 scan finds the contiguous stretch with the largest sum, and its words are the text. Words inside elements that are no
 part of any article (scripts, forms, menus, adverts, comments and so on, by element name or by class, id or role) neither score
-nor are put out; their tags score as others do."""
+nor are put out; their tags score as others do.
+
+A class, id or role bars its element if all parts of one whole token are MARKS ("ad", "cookie-notice", not "has-sidebar").
+Headings are never barred by it, nor, within <article> or <main>, are elements by an id of one word (an anchor) or by a
+token that names SECTIONS. A marked element or a form that holds more than half of the words of the page's <article> and
+<main> elements (of the page, if it has none) is a wrapper and bars nothing. An element that is not barred, with a mark among the
+parts of its tokens, costs what is learnt for marks, outside <article> and <main> alone. Formulas are text."""
 
 from __future__ import annotations
 
@@ -29,7 +35,7 @@ _LEAST = 0.05
 # HTML element names by what they mean for text.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style textarea title noscript iframe template svg math select object canvas audio video"
+RAW = "script style textarea title noscript iframe template svg select object canvas audio video"
 NEVER = set("head nav footer aside form button dialog menu fieldset".split())
 CONTENT = {"article", "main"}
 # Words in class, id and role attributes that mark what is not the article.
@@ -39,50 +45,86 @@ MARKS = set(
     " disqus discussion related recommended recommendations trending pagination pager toolbar complementary contentinfo skip".split()
 )
 PAGE_HEAD = {"header", "masthead", "topbar", "site"}
+# Marks that are also names of an article's sections.
+SECTIONS = {"discussion", "search", "register", "recommendations"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements barred by name that may wrap a page.
+WRAPS = {"form", "fieldset"}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<math\b[^>]*>(?P<math>.*?)</math\s*>|<(?P<raw>{'|'.join(RAW.split())})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: What of a formula is not shown: comments, annotations, tags.
+_UNSHOWN = re.compile(r"<!--.*?-->|<(annotation(?:-xml)?)\b[^>]*>.*?</\1\s*>|<[^>]*>", re.S | re.I)
 
 
 class Piece:
-    """A tag (name, closing or not) or a text; `out` tells that it is no part of an article, `inside` that <article> is open."""
+    """A tag (name, closing or not) or a text of so many words; `out` tells that it is no part of an article, `inside` that
+    <article> or <main> is open, `mark` that a tag's class, id or role has a mark."""
 
-    __slots__ = ("name", "closes", "text", "out", "inside")
+    __slots__ = ("name", "closes", "text", "out", "inside", "mark", "words")
 
-    def __init__(self, name: str | None, closes: bool, text: str, out: bool, inside: bool):
-        self.name, self.closes, self.text, self.out, self.inside = name, closes, text, out, inside
+    def __init__(self, name: str | None, closes: bool, text: str, out: bool, inside: bool, mark: bool = False):
+        self.name, self.closes, self.text, self.out, self.inside, self.mark = name, closes, text, out, inside, mark
+        self.words = len(text.split())
 
 
-def _barred(name: str, attrs: str, in_content: bool) -> bool:
-    if name in NEVER or (name == "header" and not in_content):
-        return True
+def _barred(name: str, attrs: str, in_content: bool) -> tuple[bool, bool]:
+    """Whether an element is barred, and whether it has a mark."""
+    named = name in NEVER or (name == "header" and not in_content)
     if not attrs or name in ("html", "body") or name in CONTENT:
-        return False
-    words = {w for m in _MARKED.findall(attrs) for w in _WORD.findall("".join(m).lower())}
-    return bool(words & MARKS) or (not in_content and bool(words & PAGE_HEAD) and "content" not in words)
-
-
-def pieces(page: str) -> Iterator[Piece]:
+        return named, False
+    bar = mark = False
+    marks = MARKS if in_content else MARKS | PAGE_HEAD
+    for m in _MARKED.finditer(attrs):
+        anchor = in_content and m[0][:2].lower() == "id"
+        for token in "".join(x or "" for x in m.groups()).lower().split():
+            words = _WORD.findall(token)
+            mark = mark or not MARKS.isdisjoint(words)
+            if words and words != ["site"] and marks.issuperset(words) and not (in_content and SECTIONS.issuperset(words)):
+                bar = bar or not (anchor and len(words) == 1)
+    return named or (bar and name not in HEADINGS), mark
+
+
+def pieces(page: str) -> list[Piece]:
     """Tags and texts in page order. An end tag closes the nearest open element of its name; <article> and <main> end
     whatever unclosed element would bar them."""
-    stack: list[tuple[str, bool]] = []
+    spared: set[int] = set()
+    while True:
+        out, held = _walk(page, spared)
+        content = sum(p.words for p in out if p.name is None and p.inside)
+        half = (content or sum(p.words for p in out if p.name is None)) / 2
+        wraps = {at for at, (words, within) in held.items() if words > half and (within or not content)}
+        if not wraps:
+            return out
+        spared |= wraps
+
+
+def _walk(page: str, spared: set[int]) -> tuple[list[Piece], dict[int, tuple[int, bool]]]:
+    """The pieces of a page if the tags at `spared` bar nothing; and for each outermost tag that bars and may be a wrapper,
+    the words it holds and whether it is within <article> or <main>."""
+    out: list[Piece] = []
+    held: dict[int, tuple[int, bool]] = {}
+    stack: list[tuple[str, int | None]] = []  # names of open elements, and the place of a tag that bars
     barred = content = 0
+    holder = None
     for m in _TOKEN.finditer(page):
-        if (text := m["text"]) is not None:
-            yield Piece(None, False, text, barred > 0, content > 0)
+        if m["math"] is not None or m["text"] is not None:
+            out.append(Piece(None, False, m["text"] if m["math"] is None else _UNSHOWN.sub("", m["math"]), barred > 0, content > 0))
+            if barred and holder in held:
+                held[holder] = held[holder][0] + out[-1].words, held[holder][1]
         elif (name := m["name"]) is not None:
             name = name.lower()
             if m["close"]:
-                yield Piece(name, True, "", barred > 0, content > 0)
+                out.append(Piece(name, True, "", barred > 0, content > 0))
                 if any(n == name for n, _ in stack):
                     while True:
                         n, bar = stack.pop()
-                        barred -= bar
+                        barred -= bar is not None
                         content -= n in CONTENT
                         if n == name:
                             break
@@ -91,33 +133,42 @@ def pieces(page: str) -> Iterator[Piece]:
                 for at in range(len(stack) - 1, -1, -1):
                     n, bar = stack[at]
                     if n == "p" or n == name == "li":
-                        barred -= sum(x for _, x in stack[at:])
+                        barred -= sum(x is not None for _, x in stack[at:])
                         del stack[at:]
                         break
                     if n not in INLINE:
                         break
             if name in CONTENT and barred:
-                stack, barred = [(n, False) for n, _ in stack], 0
-            bar = _barred(name, m["attrs"], content > 0)
+                stack, barred = [(n, None) for n, _ in stack], 0
+            bar, mark = _barred(name, m["attrs"], content > 0)
+            bar = bar and m.start() not in spared
             if name not in VOID and not m["attrs"].endswith("/"):
-                stack.append((name, bar))
+                stack.append((name, m.start() if bar else None))
+                if bar and not barred:
+                    holder = m.start()
+                    if name in WRAPS or (name not in NEVER and name != "header"):
+                        held[holder] = 0, content > 0
                 barred += bar
                 content += name in CONTENT
-            yield Piece(name, False, "", barred > 0, content > 0)
+            out.append(Piece(name, False, "", barred > 0, content > 0, mark))
         else:
-            yield Piece(m["raw"].lower() if m["raw"] else "other", False, "", barred > 0, content > 0)
+            out.append(Piece(m["raw"].lower() if m["raw"] else "other", False, "", barred > 0, content > 0))
+    return out, held
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The words of the best stretch: character references decoded, white space as one space, blocks parted by one space."""
-    seq = list(pieces(page or ""))
+    seq = pieces(page or "")
+    mark = weights.get("marked", -_LEAST)
     word, other = weights.get("", 1.0), weights.get("other", -_LEAST)
     best, total, start, found = 0.0, 0.0, 0, (0, 0)
     for i, p in enumerate(seq):
         if p.name is not None:
             total += weights.get(p.name, other)
+            if p.mark and not (p.out or p.inside or p.name in HEADINGS):
+                total += mark
         elif not p.out:
-            total += word * len(p.text.split())
+            total += word * p.words
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -133,7 +184,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def fit(pages: DataFrame, labelled: int = LABELLED, url: str = "url", page: str = "html") -> dict[str, float]:
-    """Weights by tag name, and of a word under "": log odds counted on pages with one <article>, smoothed by one; a word
+    """Weights by tag name, of a word under "" and of a mark under "marked": log odds counted on pages with one <article>, smoothed by one; a word
     keeps at least a small positive weight and a tag a small negative one. Without such pages, 1 and -1."""
     marked = F.col(page).rlike("(?i)<article[\\s>]")
     chance = min(1.0, labelled / max(pages.filter(marked).count(), 1))
@@ -143,16 +194,18 @@ def fit(pages: DataFrame, labelled: int = LABELLED, url: str = "url", page: str
         inside, outside = Counter(), Counter()
         for batch in batches:
             for x in batch.column("html").to_pylist():
-                seq = list(pieces(x or ""))
+                seq = pieces(x or "")
                 if sum(p.name == "article" and not p.closes for p in seq) != 1:
                     continue
                 for p in seq:
                     if p.name is None and p.out:
                         continue
                     if p.name is None:
-                        (inside if p.inside else outside)[""] += len(p.text.split())
+                        (inside if p.inside else outside)[""] += p.words
                     elif p.name != "article":
                         (inside if p.inside else outside)[p.name if p.name in known else "other"] += 1
+                        if p.mark:
+                            (inside if p.inside else outside)["marked"] += 1
         names = sorted({*inside, *outside})
         yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "inside": pa.array([inside[n] for n in names], pa.int64()), "outside": pa.array([outside[n] for n in names], pa.int64())})
 

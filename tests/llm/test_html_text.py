@@ -39,3 +39,27 @@ def test_table(spark):
         if body:
             want = re.sub(r"</?(?:b|i|em|a)\b[^>]*>", "", body[1])
             assert got[r.page_id] == " ".join(h.unescape(re.sub(r"<[^>]*>", " ", want)).split())
+
+
+WEIGHTS = {"": 1.0, "other": -0.1, "marked": -2.0}
+
+
+def test_marks_in_parts_of_names_bar_nothing():
+    parts = ['<h2 id="discussion">One two three</h2>', '<section id="related-work"><p>four five six</p></section>', '<h3 id="search-algorithms">seven eight nine</h3>',
+             '<div id="notice-period"><p>ten eleven twelve</p></div>', '<section id="discussion"><p>a b c</p></section>', '<h2 class="related">d e f</h2>']
+    page = f"<body><article><p>{'word ' * 30}</p>{''.join(parts)}<div class='advert'>buy</div><p>last words of it</p></article></body>"
+    want = "word " * 30 + "One two three four five six seven eight nine ten eleven twelve a b c d e f last words of it"
+    assert extract(page, WEIGHTS) == want
+
+
+def test_wrappers_bar_nothing():
+    text = "plain words of a page that has no article " * 3
+    for tag in ('div class="layout has-sidebar"', 'div class="no-sidebar"', 'div id="search"', 'div class="site"', "form"):
+        assert extract(f"<body><{tag}><p>{text}</p><div class='ad'>buy this</div></{tag.split()[0]}></body>", WEIGHTS) == text.strip()
+    page = f"<article><div class='overlay'><p>{text}</p></div><div class='ad'>buy this</div></article>"
+    assert extract(page, WEIGHTS) == text.strip()
+
+
+def test_formulas_are_text():
+    page = "<article><p>we know that <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m tex</annotation></semantics></math> holds here</p></article>"
+    assert extract(page, WEIGHTS) == "we know that E=m holds here"
