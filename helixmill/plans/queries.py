@@ -654,18 +654,39 @@ def confusion_metrics(spark, read):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY s, l_partkey, l_orderkey, l_linenumber) AS BIGINT) AS place, '>' || s || '_' || l_partkey AS header FROM (SELECT l_suppkey % 7 AS s, * FROM lineitem) WHERE l_quantity > 45")
 def sort_records(spark, read):
-    rows = read("lineitem").filter("l_quantity > 45").withColumn("s", F.col("l_suppkey") % 7)
-    # a total order has one place for each row; the range partitions' counts give each its first place
-    ordered = rows.repartitionByRange("s", "l_partkey", "l_orderkey", "l_linenumber").withColumn("part", F.spark_partition_id())
-    return _placed(ordered, ["s", "l_partkey", "l_orderkey", "l_linenumber"]).select("place", F.concat(F.lit(">"), "s", F.lit("_"), "l_partkey").alias("header"))
-
-
-def _placed(ordered: DataFrame, by: list[str]) -> DataFrame:
-    """Places of a total order: rows are numbered within the first order column, whose groups' sizes are summed."""
-    within = Window.partitionBy(by[0]).orderBy(*by[1:])
-    sizes = ordered.groupBy(by[0]).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(by[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return ordered.withColumn("r", F.row_number().over(within)).join(before, by[0]).withColumn("place", F.col("r") + F.col("before"))
+    return sorted_records(read("lineitem").filter("l_quantity > 45"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY s, l_partkey, l_orderkey, l_linenumber) AS BIGINT) AS place, '>' || s || '_' || l_partkey AS header FROM (SELECT l_suppkey % 7 AS s, * FROM lineitem)")
+def sort_records_whole(spark, read):
+    return sorted_records(read("lineitem"))
+
+
+def sorted_records(lines: DataFrame) -> DataFrame:
+    by = ["s", "l_partkey", "l_orderkey", "l_linenumber"]
+    rows = lines.select((F.col("l_suppkey") % 7).alias("s"), *by[1:])
+    return _placed(rows, by).select("place", F.concat(F.lit(">"), "s", F.lit("_"), "l_partkey").alias("header"))
+
+
+#: Rows drawn for each range of a total order.
+DRAWN = 64
+
+
+def _placed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Places of a total order: splitters drawn by a hash cut it into ranges, rows are numbered within their range, and the
+    counts of the ranges before are added. A row's range depends on its key alone, so it is the same whenever it is asked."""
+    spark, key = rows.sparkSession, F.struct(*by)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chance = min(1.0, DRAWN * ranges / max(rows.count(), 1))
+    drawn = rows.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(chance * (1 << 30))).select(*by).orderBy(*by).collect()
+    cuts = drawn[DRAWN - 1 :: DRAWN] if len(drawn) > DRAWN * ranges else drawn[:: max(1, -(-len(drawn) // ranges))]
+    kind = rows.select(key.alias("k")).schema["k"].dataType.simpleString()
+    listed = spark.createDataFrame([([tuple(c) for c in cuts],)], f"_cuts array<{kind}>")
+    cut = rows.crossJoin(F.broadcast(listed)).withColumn("part", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
+    sizes = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy(*by)
+    return cut.withColumn("r", F.row_number().over(within)).join(F.broadcast(before), "part").withColumn("place", F.col("r") + F.col("before"))
 
 
 @query("SELECT p_partkey, upper(p_name) AS up, split_part(p_name, ' ', 1) AS first_token, CASE WHEN length(p_brand) >= 12 THEN p_brand ELSE rpad(p_brand, 12, '.') END AS padded, '/data/' || p_brand AS directory, 'x' || p_size || '.fq' AS base, 'x' || p_size AS stem, CAST(p_size // 3600 AS VARCHAR) || ':' || lpad(CAST(p_size // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(p_size % 60 AS VARCHAR), 2, '0') AS clock FROM part")
