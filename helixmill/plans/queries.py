@@ -214,8 +214,18 @@ def taxonomy_lineage(spark, read):
 @query(f"""WITH RECURSIVE {SQL_GEO_CLOSED}, p AS (SELECT DISTINCT CAST(o_custkey + 10000 AS INT) AS a, CAST((o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) + 10000 AS INT) AS b FROM orders WHERE o_orderkey % 3 = 0)
 SELECT a, b, min_by(x.ancestor_id, x.distance) AS lca_id FROM p JOIN cl x ON x.id = a JOIN cl y ON y.id = b AND y.ancestor_id = x.ancestor_id GROUP BY a, b""")
 def taxonomy_lca_pairs(spark, read):
+    return order_ancestors(read, read("orders").filter("o_orderkey % 3 = 0"))
+
+
+@query(f"""WITH RECURSIVE {SQL_GEO_CLOSED}, p AS (SELECT DISTINCT CAST(o_custkey + 10000 AS INT) AS a, CAST((o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) + 10000 AS INT) AS b FROM orders)
+SELECT a, b, min_by(x.ancestor_id, x.distance) AS lca_id FROM p JOIN cl x ON x.id = a JOIN cl y ON y.id = b AND y.ancestor_id = x.ancestor_id GROUP BY a, b""")
+def taxonomy_lca_pairs_whole(spark, read):
+    return order_ancestors(read, read("orders"))
+
+
+def order_ancestors(read, orders: DataFrame) -> DataFrame:
     n = read("customer").agg(F.count(F.lit(1)).alias("n"))
-    pairs = read("orders").filter("o_orderkey % 3 = 0").join(F.broadcast(n)).select((F.col("o_custkey") + 10000).cast("int").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % F.col("n") + 10000).cast("int").alias("b"))
+    pairs = orders.join(F.broadcast(n)).select((F.col("o_custkey") + 10000).cast("int").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % F.col("n") + 10000).cast("int").alias("b"))
     return taxonomy.common_ancestors(pairs, taxonomy.closure(geo_nodes(read)))
 
 
@@ -603,25 +613,46 @@ sd AS (SELECT taxid, sample_a, sample_b, count(*) AS genes, sum(shared_length) A
 ds AS (SELECT *, CASE WHEN genes >= 3 AND differences / shared_length < 0.75 THEN -0.75 * ln(1 - 4 / 3 * differences / shared_length) END AS distance FROM sd)"""
 
 
-def gene_pairs(read) -> DataFrame:
+#: What the SQL of three queries leaves; their _whole forms take all loci with a major allele.
+SOME_LOCI = "(sample + position) % 3 <> 0"
+SQL_STRAIN_WHOLE = SQL_STRAIN.replace(" AND (sample + position) % 3 <> 0", "")
+
+
+def gene_pairs(read, loci: str = "true") -> DataFrame:
     at = F.col("sample") * 9 + F.col("gene_id") * 5
     r = seen(read).select("sample", "taxid", "gene_id", at.alias("start"), (at + 30).alias("end")).distinct()
-    major = strains.locus_statistics(with_reference(read)).filter("major is not null and (sample + position) % 3 <> 0").select(*strains.LOCUS, F.col("major").alias("base"))
+    major = strains.locus_statistics(with_reference(read)).filter("major is not null").filter(loci).select(*strains.LOCUS, F.col("major").alias("base"))
     return strains.gene_distance(major, intervals.merge(r, ["sample", "taxid", "gene_id"]).drop("n"))
 
 
 @query(f"WITH {SQL_STRAIN} SELECT * FROM gd")
 def gene_distance(spark, read):
+    return gene_pairs(read, SOME_LOCI)
+
+
+@query(f"WITH {SQL_STRAIN_WHOLE} SELECT * FROM gd")
+def gene_distance_whole(spark, read):
     return gene_pairs(read)
 
 
 @query(f"WITH {SQL_STRAIN} SELECT taxid, sample_a, sample_b, genes, shared_length, differences, round(distance, 6) AS distance FROM ds")
 def strain_distance_jc69(spark, read):
+    return strains.strain_distance(gene_pairs(read, SOME_LOCI)).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {SQL_STRAIN_WHOLE} SELECT taxid, sample_a, sample_b, genes, shared_length, differences, round(distance, 6) AS distance FROM ds")
+def strain_distance_jc69_whole(spark, read):
     return strains.strain_distance(gene_pairs(read)).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""WITH {SQL_STRAIN} SELECT taxid, sample_a AS samples, round(max(distance) FILTER (sample_b = 0), 6) AS "0", round(max(distance) FILTER (sample_b = 1), 6) AS "1", round(max(distance) FILTER (sample_b = 2), 6) AS "2", round(max(distance) FILTER (sample_b = 3), 6) AS "3" FROM ds GROUP BY taxid, sample_a""")
 def sample_matrix(spark, read):
+    m = strains.matrix(strains.strain_distance(gene_pairs(read, SOME_LOCI)), [0, 1, 2, 3])
+    return m.select("taxid", "samples", *[F.round(F.col(f"`{i}`"), 6).alias(str(i)) for i in range(4)])
+
+
+@query(f"""WITH {SQL_STRAIN_WHOLE} SELECT taxid, sample_a AS samples, round(max(distance) FILTER (sample_b = 0), 6) AS "0", round(max(distance) FILTER (sample_b = 1), 6) AS "1", round(max(distance) FILTER (sample_b = 2), 6) AS "2", round(max(distance) FILTER (sample_b = 3), 6) AS "3" FROM ds GROUP BY taxid, sample_a""")
+def sample_matrix_whole(spark, read):
     m = strains.matrix(strains.strain_distance(gene_pairs(read)), [0, 1, 2, 3])
     return m.select("taxid", "samples", *[F.round(F.col(f"`{i}`"), 6).alias(str(i)) for i in range(4)])
 

@@ -35,3 +35,10 @@ def test_one_group_is_cut_into_ranges(spark):
     assert [(r.v, r.id) for r in got] == sorted((r.v, r.id) for r in got)
     assert len({r.part for r in got}) >= 8
     assert queries._placed(rows.limit(0), ["s", "v", "id"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["taxonomy_lca_pairs", "gene_distance", "strain_distance_jc69", "sample_matrix"])
+def test_whole_equals_its_sql(spark, name):
+    n = same(spark, f"{name}_whole")
+    assert "% 3" not in catalog.ORACLES[f"{name}_whole"].replace("position % 3", "")
+    assert name != "taxonomy_lca_pairs" or n > 2 * same(spark, name)
