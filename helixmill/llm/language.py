@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from . import textvec
 from .ctw import held_out
 
-#: Letters of labelled text in a language's automaton, and as many to normalise by.
-LETTERS = 60_000
-#: Labelled documents of a language that are read for it, drawn by a hash of the key, and letters of one of them.
-SAMPLE_DOCS, SAMPLE_LETTERS = 400, 2_000
+#: Distinct labelled texts of a language that are learnt from, drawn by a hash, and letters of the piece drawn from each.
+SAMPLE_DOCS, SAMPLE_LETTERS = 400, 300
+#: Letters of a language's automaton, and as many to normalise by: the pieces of half the texts, with spaces between.
+LETTERS = SAMPLE_DOCS // 2 * (SAMPLE_LETTERS + 1)
 PIECE = 2_048
 SLICE_BYTES = 4 << 20
 
@@ -35,6 +35,13 @@ def letters(text: str | None) -> str:
     return " ".join(regex.findall(r"[\p{L}\p{M}]+", (text or "").lower()))
 
 
+def piece(text: str, h: int) -> str:
+    """SAMPLE_LETTERS letters of a text from a place drawn by the hash, over the whole text."""
+    whole = letters(text)
+    at = h % (max(len(whole) - SAMPLE_LETTERS, 0) + 1)
+    return whole[at : at + SAMPLE_LETTERS].strip()
+
+
 class Automaton:
     """The suffix automaton of a text as a table: next state by state and letter, -1 where there is none."""
 
@@ -140,16 +147,24 @@ class Model:
 
 def fit(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text") -> Model:
     """A model of the languages named in docs; rows without language or letters teach nothing. The sample of each language
-    is SAMPLE_DOCS rows of smallest hash: ranks are taken in 64 parts of a language first, so no task ranks all its rows."""
+    is SAMPLE_DOCS distinct texts of smallest hash, each of which teaches a piece drawn from all of it: ranks are taken in 64 parts of a language first, so no task ranks all its rows."""
     pick = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    pick = pick.select(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_LETTERS).alias("text"), F.xxhash64(key, text).alias("h"))
-    small = pick.select("lang", "h").withColumn("part", F.pmod("h", F.lit(64)))
+    pick = pick.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    small = pick.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(64)))
     w = Window.partitionBy("lang", "part").orderBy("h")
     small = small.withColumn("r", F.row_number().over(w)).filter(f"r <= {SAMPLE_DOCS}")
     small = small.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(f"r <= {SAMPLE_DOCS}")
     texts: dict[str, list[str]] = {}
-    for r in pick.join(F.broadcast(small.select("lang", "h", "r").distinct()), ["lang", "h"]).orderBy("lang", "r").collect():  # SAMPLE_DOCS for each language
-        texts.setdefault(r.lang, []).append(letters(r.text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [piece(t, h) for t, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("r"), pa.array(drawn, pa.string())], ["lang", "r", "text"])
+
+    drawn = pick.join(F.broadcast(small.select("lang", "h", "r")), ["lang", "h"]).select("lang", "r", "h", "text")
+    drawn = drawn.mapInArrow(run, f"lang {pick.schema['lang'].dataType.simpleString()}, r int, text string").distinct()
+    for r in drawn.orderBy("lang", "r").collect():  # SAMPLE_DOCS for each language
+        texts.setdefault(r.lang, []).append(r.text)
     return Model({n: [x for x in t if x] for n, t in texts.items() if any(t)})
 
 

@@ -46,3 +46,17 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = evaluate(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) == pytest.approx(1, abs=0.02)
+
+
+def test_all_sampled_texts_teach_beyond_a_shared_opening(spark, monkeypatch):
+    r = random.Random(4)
+    opening = "licence words " * 200
+    rows = [(i, opening + "".join(r.choice("abcdefgh ") for _ in range(6000)), "x") for i in range(60)]
+    rows += [(100 + i, rows[0][1], "x") for i in range(40)]
+    taught = {}
+    monkeypatch.setattr(language, "Model", lambda texts: taught.update(texts))
+    fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(taught["x"]) == 60
+    own = sum(not set(t) - set("abcdefgh ") for t in taught["x"])
+    assert own > 30
+    assert len(" ".join(["z" * language.SAMPLE_LETTERS] * (language.SAMPLE_DOCS // 2))) <= language.LETTERS
