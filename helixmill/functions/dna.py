@@ -61,7 +61,7 @@ class Shape:
 
 def letters_to_dna(text: Column | str) -> Column:
     """A stand-in for sequence data: the letters a-z of a text, mapped to ACGT cyclically."""
-    return F.translate(F.regexp_replace(F.lower(col(text)), "[^a-z]", ""), LETTERS, (BASES * 7)[:26])
+    return F.translate(F.regexp_replace(F.lower(col(text)), "[^a-z]+", ""), LETTERS, (BASES * 7)[:26])
 
 
 def reverse_complement(s: Column | str) -> Column:

@@ -65,12 +65,28 @@ def format_seconds(s: Column | str) -> Column:
     return F.format_string("%d:%02d:%02d", F.floor(m / 3600), F.pmod(F.floor(m / 60), F.lit(60)), F.pmod(m, F.lit(60)))
 
 
-def choose(n: Column | str, k: Column | str, most: int = 30) -> Column:
-    """n choose k as a long, exact while it fits; 0 where k is outside 0..n."""
+def choose(n: Column | str, k: Column | str) -> Column:
+    """n choose k as a long, exact for all that fit one; 0 where k is outside 0..n, an error where the result does not fit.
+
+    Each factor is divided by what it has in common with the divisor before it is multiplied, so no intermediate product is
+    larger than the next binomial."""
     a, b = col(n).cast("long"), col(k).cast("long")
     small = F.least(b, a - b)
-    step = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.lit(1).cast("long"), lambda acc, i: F.when(i <= small, F.expr("0") + F.floor(acc * (a - small + i) / i).cast("long")).otherwise(acc))
-    return F.when((b < 0) | (b > a), F.lit(0).cast("long")).otherwise(step)
+    one = F.lit(1).cast("long")
+
+    def gcd(x: Column, y: Column) -> Column:
+        """Euclid's rule; 92 steps are enough for any two longs."""
+        pair = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(x.alias("x"), y.alias("y")), lambda p, _: F.when(p.y == 0, p).otherwise(F.struct(p.y.alias("x"), F.pmod(p.x, F.when(p.y == 0, one).otherwise(p.y)).alias("y"))))
+        return pair.x
+
+    def step(acc: Column, i: Column) -> Column:
+        factor = a - small + i
+        # acc * factor / i is whole: i first loses what it shares with factor, and then divides acc
+        shared = F.get(F.transform(F.array(gcd(factor, i)), lambda g: F.call_function("div", factor, g) * F.call_function("div", acc, F.call_function("div", i, g))), F.lit(0))
+        return shared
+
+    steps = F.when(small > 0, F.sequence(one, small)).otherwise(F.array().cast("array<bigint>"))
+    return F.when((b < 0) | (b > a), F.lit(0).cast("long")).otherwise(F.aggregate(steps, one, step))
 
 
 def bit_string(x: Column | str, width: int) -> Column:

@@ -2,61 +2,174 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from helixmill.functions.dna import Shape, codes, col
-
-
-def kmer_array(sequence: Column | str, shape: Shape, strands: bool = False) -> Column:
-    """array<struct<pos, key>> of the canonical keys at all positions (strands: also fw and rv, the keys of either strand).
-
-    The sequence is coded once; each position sums shifted codes, so no substring is cut. A key with a letter other than
-    A, C, G, T is null. Sequences shorter than the shape have none. The reverse key is that of the reverse complement, read
-    under the same shape; with a palindromic shape the canonical key is the same from either strand."""
-    c = codes(sequence)
-    n = F.length(col(sequence)) - len(shape)
-    places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    k, last = shape.k, len(shape) - 1
-
-    def packed(values: list[Column]) -> Column:
-        total = F.lit(0).cast("long")
-        for i, v in enumerate(values):
-            total = total + v * F.lit(4 ** (k - 1 - i)).cast("long")
-        return total
+from collections.abc import Iterator
 
-    def at(base: Column, p: Column) -> Column:
-        take = [F.get(base, p + o).cast("long") for o in shape.take]
-        other = [F.get(base, p + last - o).cast("long") for o in shape.take]  # the reverse strand, from its beginning
-        fw, rv = packed(take), packed([F.lit(3) - x for x in other])
-        both = take if shape.palindromic else [*take, *other]
-        bad = F.exists(F.array(*both), lambda x: x < 0)
-        strand = [F.when(~bad, fw).alias("fw"), F.when(~bad, rv).alias("rv")] if strands else []
-        return F.struct(p.alias("pos"), F.when(~bad, F.least(fw, rv)).alias("key"), *strand)
-
-    # the coded sequence is bound once: an array of one element, whose elements are what `base` stands for
-    return F.flatten(F.transform(F.array(c), lambda base: F.transform(places, lambda p: at(base, p))))
-
-
-def kmers(df: DataFrame, sequence: str, shape: Shape, keep: list[str], skip_ambiguous: bool = True, strands: bool = False) -> DataFrame:
-    """keep, pos and key (and fw, rv) of every position of every sequence; columns that are not kept never reach the explode."""
-    rows = df.select(*keep, F.explode(kmer_array(sequence, shape, strands)).alias("_k")).select(*keep, "_k.*")
-    return rows.filter("key is not null") if skip_ambiguous else rows
-
-
-def prefix_histogram(rows: DataFrame, key_bits: int, prefix_bits: int) -> DataFrame:
-    """k-mers and distinct k-mers of each key prefix. Keys are counted first, so that the distinct count needs one shuffle
-    of distinct keys and a second one of prefixes only."""
-    each = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from helixmill.functions.dna import Shape
+
+
+#: Positions of one Arrow batch: rows made from a long sequence leave in pieces of so many.
+PIECE = 1 << 18
+#: Positions whose keys are combined before they leave Python.
+COMBINED = 1 << 22
+
+_CODE = np.full(256, -1, np.int8)
+_CODE[list(b"ACGT")] = range(4)
+
+
+def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Base codes of all rows end to end (-1: not A, C, G or T), and the n + 1 offsets of the rows. A letter of several bytes
+    is one position."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+    off = off - off[0]
+    if len(raw) and raw.max() > 127:
+        first = (raw & 0xC0) != 0x80
+        raw, off = raw[first], np.concatenate([[0], np.cumsum(first)])[off]
+    return _CODE[raw], off
+
+
+def _keys(code: np.ndarray, take: tuple[int, ...], length: int, reverse: bool) -> np.ndarray:
+    """The packed key at each position of a run of codes; -1 where a taken position has no base."""
+    n = len(code) - length + 1
+    key, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+    for o in take:
+        c = code[length - 1 - o : length - 1 - o + n] if reverse else code[o : o + n]
+        bad |= c < 0
+        key <<= 2
+        key |= (3 - c if reverse else c).astype(np.int64)
+    key[bad] = -1
+    return key
+
+
+def _stretches(batch: pa.RecordBatch, shape: Shape, fill: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, position, forward key, reverse key, bad) of all positions of a batch's sequences, PIECE at a time."""
+    length, take = len(shape), shape.take
+    code, off = _coded(batch.column("_sequence"))
+    if fill is not None:
+        code = np.where(code < 0, np.int8(fill), code)
+    for at in range(0, len(code) - length + 1, PIECE):
+        part = code[at : at + PIECE + length - 1]
+        fw, rv = _keys(part, take, length, False), _keys(part, take, length, True)
+        start = np.arange(at, at + len(fw))
+        row = np.searchsorted(off, start, "right") - 1
+        own = start + length <= off[row + 1]
+        row, fw, rv = row[own], fw[own], rv[own]
+        yield row, start[own] - off[row], fw, rv, (fw < 0) | (rv < 0)
+
+
+def kmers(df: DataFrame, sequence: str, shape: Shape, keep: list[str], skip_ambiguous: bool = True, strands: bool = False, unknown_as: str | None = None) -> DataFrame:
+    """keep, pos and canonical key (and fw, rv, the keys of either strand) of every position of every sequence.
+
+    Each sequence is coded once in an Arrow batch, and a key is a sum of shifted slices of the codes, so no substring is cut
+    and a sequence of any length leaves in pieces of PIECE rows. A key over a letter other than A, C, G, T (lower case too)
+    is skipped, or null (skip_ambiguous=False), or reads that letter as the base unknown_as. Null sequences and those
+    shorter than the shape have no keys. The reverse key is that of the reverse complement, read under the same shape; with
+    a palindromic shape the canonical key is the same from either strand. Columns that are not kept never reach Python;
+    kept columns may not be called pos, key, fw or rv."""
+    made = ["pos", "key", *(["fw", "rv"] if strands else [])]
+    rows = _rows(df, sequence, keep, made)
+    fill = None if unknown_as is None else "ACGT".index(unknown_as)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, pos, fw, rv, bad in _stretches(batch, shape, fill):
+                own = np.flatnonzero(~bad) if skip_ambiguous else np.arange(len(row))
+                if not len(own):
+                    continue
+                none = None if skip_ambiguous else bad
+                columns = [batch.column(c).take(pa.array(row[own])) for c in keep]
+                columns.append(pa.array(pos[own].astype(np.int32)))
+                columns += [pa.array(k[own], mask=none) for k in (np.minimum(fw, rv), *((fw, rv) if strands else ()))]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
+
+    fields = [rows.schema[c] for c in keep] + [StructField("pos", IntegerType()), *(StructField(c, LongType()) for c in made[1:])]
+    return rows.mapInArrow(run, StructType(fields))
+
+
+def counted(df: DataFrame, sequence: str, shape: Shape, keep: list[str] | None = None) -> DataFrame:
+    """(keep, key, n, n_forward): how often canonical keys occur, and how often the forward key is the smaller one.
+
+    Keys are combined within Arrow batches, so that far fewer rows than positions leave Python; a key may come in several
+    rows, which the caller adds up. Without keep, COMBINED positions of whatever sequences are combined at once; with it,
+    the keys of a sequence (of a piece of a long one). Ambiguous keys are skipped."""
+    keep = keep or []
+    rows = _rows(df, sequence, keep, ["key", "n", "n_forward"])
+
+    def emitted(batch: pa.RecordBatch | None, row: np.ndarray | None, key: np.ndarray, forward: np.ndarray) -> pa.RecordBatch:
+        if row is None:
+            order = np.argsort(key, kind="stable")
+        elif 2 * shape.k + int(len(row)).bit_length() < 63:
+            order = np.argsort((row - row[0]) << (2 * shape.k) | key, kind="stable")
+        else:
+            order = np.lexsort((key, row))
+        key, forward = key[order], forward[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        if row is not None:
+            row = row[order]
+            new[1:] |= row[1:] != row[:-1]
+        at = np.flatnonzero(new)
+        held = [] if row is None else [batch.column(c).take(pa.array(row[at])) for c in keep]
+        n = np.diff(np.append(at, len(key)))
+        return pa.RecordBatch.from_arrays([*held, pa.array(key[at]), pa.array(n), pa.array(np.add.reduceat(forward.astype(np.int64), at))], [*keep, "key", "n", "n_forward"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for row, _, fw, rv, bad in _stretches(batch, shape, None):
+                row, fw, rv = row[~bad], fw[~bad], rv[~bad]
+                if not len(row):
+                    continue
+                if keep:
+                    yield emitted(batch, row, np.minimum(fw, rv), fw < rv)
+                    continue
+                waiting.append((np.minimum(fw, rv), fw < rv))
+                if sum(len(k) for k, _ in waiting) >= COMBINED:
+                    yield emitted(None, None, *(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                    waiting = []
+        if waiting:
+            yield emitted(None, None, *(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
+    fields = [rows.schema[c] for c in keep] + [StructField(c, LongType()) for c in ("key", "n", "n_forward")]
+    return rows.mapInArrow(run, StructType(fields))
+
+
+def _rows(df: DataFrame, sequence: str, keep: list[str], made: list[str]) -> DataFrame:
+    if clash := set(keep) & set(made):
+        raise ValueError(f"kept columns clash with {sorted(clash)}")
+    return df.select(*keep, F.col(sequence).cast("string").alias("_sequence"))
+
+
+def pieces(df: DataFrame, sequence: str, shape: Shape, length: int) -> DataFrame:
+    """df with long sequences cut into pieces of `length` positions (which overlap by the shape) and the column `start` of
+    each piece, so that one chromosome is the work of many tasks once the pieces are repartitioned."""
+    n = F.greatest(F.length(sequence) - (len(shape) - 1), F.lit(1))
+    starts = F.sequence(F.lit(0), F.floor((n - 1) / length).cast("int"))
+    rows = df.withColumn("start", F.explode(F.transform(starts, lambda i: i * length)))
+    return rows.withColumn(sequence, F.substring(sequence, F.col("start") + 1, F.lit(length + len(shape) - 1)))
+
+
+def prefix_histogram(counts: DataFrame, key_bits: int, prefix_bits: int) -> DataFrame:
+    """k-mers and distinct k-mers of each key prefix, from counted(). Keys are added up first, so that the distinct count
+    needs one shuffle of distinct keys and a second one of prefixes only."""
+    each = counts.groupBy("key").agg(F.sum("n").alias("n"))
     return each.groupBy(F.shiftright("key", key_bits - prefix_bits).alias("prefix")).agg(F.sum("n").alias("n_kmers"), F.count(F.lit(1)).alias("n_distinct"))
 
 
 def prefix_estimate(rows: DataFrame, key_bits: int, prefix_bits: int) -> DataFrame:
-    """Approximate distinct keys of each prefix: sketches are merged, keys are not shuffled."""
+    """Approximate distinct keys of each prefix, with a relative standard deviation of 0.02: sketches are merged, keys are not shuffled."""
     return rows.groupBy(F.shiftright("key", key_bits - prefix_bits).alias("prefix")).agg(F.approx_count_distinct("key", 0.02).alias("n_distinct"))
 
 
-def multiplicities(rows: DataFrame) -> DataFrame:
-    """How many keys occur how often."""
-    each = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+def multiplicities(counts: DataFrame) -> DataFrame:
+    """How many keys occur how often, from counted()."""
+    each = counts.groupBy("key").agg(F.sum("n").alias("times"))
     return each.groupBy("times").agg(F.count(F.lit(1)).alias("n_keys"))

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.dna import col
+from helixmill.staging import written
 
 #: Ranks of a lineage from the top, and their slots.
 RANKS = ["domain", "phylum", "class", "order", "family", "genus", "species", "subspecies", "genome"]
 RANK_IDS = {r: i for i, r in enumerate(RANKS)} | {"superkingdom": 0}
-MOST_LEVELS = 64
+#: Levels that the first step of a closure reaches.
+FIRST = 4
 
 
 def rank_id(rank: Column | str) -> Column:
@@ -22,23 +24,33 @@ def rank_id(rank: Column | str) -> Column:
 def closure(nodes: DataFrame, id_: str = "id", parent: str = "parent_id") -> DataFrame:
     """(id, ancestor_id, distance), each node with itself at 0. The root is its own parent or has none.
 
-    Paths are doubled: the distances known after a step reach twice as far, so a tree of depth d takes log2(d) joins."""
+    Paths are doubled: the distances known after a step reach twice as far, so a tree of depth d takes log2(d) steps, each
+    written once. The first step reaches FIRST levels. A cycle is an error."""
     edge = nodes.select(F.col(id_).alias("id"), F.col(parent).alias("up")).filter("up is not null and id <> up")
-    known = edge.select("id", F.col("up").alias("ancestor_id"), F.lit(1).alias("distance"))
-    far = known
-    reach = 1
-    while reach < MOST_LEVELS:
-        # `far` ends exactly `reach` levels up; whatever is known from there on lies beyond
-        step = far.alias("a").join(known.alias("b"), F.col("a.ancestor_id") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.ancestor_id").alias("ancestor_id"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        reach *= 2
-        if step.isEmpty():
+    one = edge.select("id", F.col("up").alias("ancestor_id"), F.lit(1).alias("distance"))
+    two = one.union(_beyond(one, one))
+    known = step = written(two.union(_beyond(two.filter("distance = 2"), two)))
+    reach = FIRST
+    while True:
+        cycles, ends = step.agg(F.count_if(F.col("id") == F.col("ancestor_id")), F.count_if(F.col("distance") == reach)).first()
+        if cycles:
+            raise ValueError("the taxonomy has a cycle")
+        if not ends:
             break
+        # a path that ends exactly `reach` levels up goes on with whatever is known from there
+        step = written(_beyond(step.filter(F.col("distance") == reach), known))
         known = known.union(step)
-        far = step.filter(F.col("distance") == reach)
+        reach *= 2
     own = nodes.select(F.col(id_).alias("id"), F.col(id_).alias("ancestor_id"), F.lit(0).alias("distance"))
     return own.union(known)
 
 
+def _beyond(far: DataFrame, known: DataFrame) -> DataFrame:
+    """Paths of `far` continued by paths of `known`."""
+    on = known.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("next"), F.col("distance").alias("more"))
+    return far.join(on, "ancestor_id").select("id", F.col("next").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
+
+
 def levels(closed: DataFrame) -> DataFrame:
     """(id, level): the number of ancestors."""
     return closed.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("level"))

@@ -52,8 +52,16 @@ def sql_kmers(table: str, keep: str) -> str:
         FROM (SELECT *, list_transform(string_split({sql_dna('text')}, ''), lambda x: CAST(instr('ACGT', x) - 1 AS BIGINT)) AS c FROM {table})))"""
 
 
-def doc_kmers(read, strands: bool = False) -> DataFrame:
-    return kmers.kmers(read("documents").select("doc_id", dna.letters_to_dna("text").alias("dna")), "dna", SHAPE, ["doc_id"], strands=strands)
+def doc_dna(read) -> DataFrame:
+    return read("documents").select("doc_id", dna.letters_to_dna("text").alias("dna"))
+
+
+def doc_kmers(read) -> DataFrame:
+    return kmers.kmers(doc_dna(read), "dna", SHAPE, ["doc_id"])
+
+
+def doc_counts(read, keep: list[str] | None = None) -> DataFrame:
+    return kmers.counted(doc_dna(read), "dna", SHAPE, keep)
 
 
 DOC_KMERS = sql_kmers("documents", "doc_id")
@@ -61,28 +69,28 @@ DOC_KMERS = sql_kmers("documents", "doc_id")
 
 @query(f"SELECT doc_id, count(*) AS n_kmers, count(DISTINCT key) AS n_distinct, min(key) AS min_key, max(key) AS max_key, count(*) FILTER (fw < rv) AS n_forward FROM {DOC_KMERS} GROUP BY doc_id")
 def kmer_extract(spark, read):
-    each = doc_kmers(read, strands=True).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("fw") < F.col("rv"), 1)).alias("f"))
+    each = doc_counts(read, ["doc_id"]).groupBy("doc_id", "key").agg(F.sum("n").alias("n"), F.sum("n_forward").alias("f"))
     return each.groupBy("doc_id").agg(F.sum("n").alias("n_kmers"), F.count(F.lit(1)).alias("n_distinct"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum("f").alias("n_forward"))
 
 
 @query(f"SELECT key >> {2 * SHAPE.k - 8} AS prefix, count(*) AS n_kmers, count(DISTINCT key) AS n_distinct FROM {DOC_KMERS} GROUP BY 1")
 def kmer_histogram(spark, read):
-    return kmers.prefix_histogram(doc_kmers(read), 2 * SHAPE.k, 8)
+    return kmers.prefix_histogram(doc_counts(read), 2 * SHAPE.k, 8)
 
 
 @query(f"SELECT times, count(*) AS n_keys FROM (SELECT key, count(*) AS times FROM {DOC_KMERS} GROUP BY key) GROUP BY times")
 def kmer_multiplicity(spark, read):
-    return kmers.multiplicities(doc_kmers(read))
+    return kmers.multiplicities(doc_counts(read))
 
 
 @query()
 def kmer_prefix_estimate(spark, read):
-    return kmers.prefix_estimate(doc_kmers(read), 2 * SHAPE.k, 8)
+    return kmers.prefix_estimate(doc_counts(read), 2 * SHAPE.k, 8)
 
 
 @query(f"SELECT min(n_kmers) AS least, max(n_kmers) AS most, avg(n_kmers) AS mean, count(*) AS n_buckets FROM (SELECT key >> {2 * SHAPE.k - 8} AS b, count(DISTINCT key) AS n_kmers FROM {DOC_KMERS} GROUP BY 1)")
 def index_health(spark, read):
-    h = kmers.prefix_histogram(doc_kmers(read), 2 * SHAPE.k, 8)
+    h = kmers.prefix_histogram(doc_counts(read), 2 * SHAPE.k, 8)
     return h.agg(F.min("n_distinct").alias("least"), F.max("n_distinct").alias("most"), F.avg("n_distinct").alias("mean"), F.count(F.lit(1)).alias("n_buckets"))
 
 
