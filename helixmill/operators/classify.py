@@ -24,27 +24,75 @@ def is_leaf_hit(last_leaf: Column | int) -> Column:
     return (F.col("taxid") > 1) & (F.col("taxid") <= last_leaf) & (F.col("gene_id") > 0) & (F.col("gene_pos") > 0)
 
 
-def fold_offsets(leaf_hits: DataFrame, read: str) -> DataFrame:
-    """For each read, taxon and gene: the offsets on either strand that its first hit (by position) sets, and how many hits
+def fold_offsets(leaf_hits: DataFrame, read: str | list[str]) -> DataFrame:
+    """For each read (and mate, if read names both columns), taxon and gene: the offsets on either strand that its first hit (by position) sets, and how many hits
     agree with each. Forward: gene position - read position; reverse: their sum."""
-    by = [read, "taxid", "gene_id"]
+    by = [*_columns(read), "taxid", "gene_id"]
     fwd, rev = F.col("gene_pos") - F.col("pos"), F.col("gene_pos") + F.col("pos")
     first = Window.partitionBy(*by).orderBy("pos")
     marked = leaf_hits.select(*by, "pos", fwd.alias("f"), rev.alias("r")).withColumn("off_fwd", F.first("f").over(first)).withColumn("off_rev", F.first("r").over(first))
     return marked.groupBy(*by, "off_fwd", "off_rev").agg(F.count(F.when(F.col("f") == F.col("off_fwd"), 1)).alias("n_fwd"), F.count(F.when(F.col("r") == F.col("off_rev"), 1)).alias("n_rev"), F.min("pos").alias("first_pos"), (F.max("pos") - F.min("pos")).alias("span"))
 
 
+def _columns(read: str | list[str]) -> list[str]:
+    return [read] if isinstance(read, str) else list(read)
+
+
+def mate_hits(folded: DataFrame, pair: str, mate: str) -> DataFrame:
+    """(pair, taxid, gene_id, hits, hits_1, hits_2): hits of a placement, those of its mates (1 and 2) added up; each mate
+    counts the strand with more hits. folded: fold_offsets() by pair and mate."""
+    own = F.greatest("n_fwd", "n_rev")
+    each = [F.coalesce(F.sum(F.when(F.col(mate) == m, own)), F.lit(0)).alias(f"hits_{m}") for m in (1, 2)]
+    return folded.groupBy(pair, "taxid", "gene_id").agg(F.sum(own).alias("hits"), *each)
+
+
+def taxon_sums(nodes: DataFrame, answers: DataFrame, closed: DataFrame, leaves: Column, read: str) -> DataFrame:
+    """(read, taxid, gene_id, support): hits of an answer and its ancestors. nodes: (read, taxid, gene_id, hits). A node that is
+    a leaf counts if it is of the answer's gene, or the answer has none (0)."""
+    up = closed.select(F.col("id").alias("to_taxid"), F.col("ancestor_id").alias("taxid"))
+    asked = answers.select(read, F.col("taxid").alias("to_taxid"), F.col("gene_id").alias("to_gene")).join(up, "to_taxid")
+    rows = nodes.join(asked, [read, "taxid"]).filter(~leaves | (F.col("to_gene") < 1) | (F.col("to_gene") == F.col("gene_id")))
+    return rows.groupBy(read, F.col("to_taxid").alias("taxid"), F.col("to_gene").alias("gene_id")).agg(F.sum("hits").alias("support"))
+
+
+def inner_support(inner_hits: DataFrame, folded: DataFrame, closed: DataFrame, read: str) -> DataFrame:
+    """(read, taxid, gene_id, inner): hits on inner nodes that still have a gene and a place, counted for the leaf placement
+    that they agree with: a descendant of theirs, in the same gene and at an offset of either strand. Of several leaves the
+    one whose first hit comes first in the read counts, of equals the smallest taxon."""
+    up = closed.filter("distance > 0").select("id", F.col("ancestor_id").alias("inner"))
+    leaf = folded.select(read, F.col("taxid").alias("leaf"), "gene_id", "off_fwd", "off_rev", "first_pos")
+    rows = inner_hits.withColumnRenamed("taxid", "inner").join(leaf, [read, "gene_id"])
+    rows = rows.filter((F.col("gene_pos") - F.col("pos") == F.col("off_fwd")) | (F.col("gene_pos") + F.col("pos") == F.col("off_rev")))
+    rows = rows.join(up.withColumnRenamed("id", "leaf"), ["leaf", "inner"])
+    first = rows.groupBy(read, "pos", "gene_id").agg(F.min_by("leaf", F.struct("first_pos", "leaf")).alias("taxid"))
+    return first.groupBy(read, "taxid", "gene_id").agg(F.count(F.lit(1)).alias("inner"))
+
+
+def assign(taxa: DataFrame, read: str, strategy: str = "descent", closed: DataFrame | None = None, lineages: DataFrame | None = None, ranks: list[str] | None = None, root: int = 1, **options) -> DataFrame:
+    """(read, taxid, ...) by one of the strategies: "descent" (needs lineages and ranks), "pathsum" (needs closed) or
+    "pathsum_lca" (needs all). options go to the strategy."""
+    if strategy == "descent":
+        return descend(taxa, lineages, ranks, read, root=root, **options)
+    scores = path_scores(taxa, closed, read)
+    if strategy == "pathsum":
+        return best_taxon(scores, read, **options)
+    if strategy == "pathsum_lca":
+        return best_with_ties(scores, lineages, ranks, read, root, **options)
+    raise ValueError(f"no strategy {strategy!r}")
+
+
 def node_hits(folded: DataFrame) -> DataFrame:
     """Hits of a placement and its strand; of equal counts the reverse one."""
     return folded.withColumn("hits", F.greatest("n_fwd", "n_rev")).withColumn("forward", F.col("n_fwd") > F.col("n_rev"))
 
 
-def best_offsets(leaf_hits: DataFrame, read: str) -> DataFrame:
-    """The offset with most hits for each read, taxon and gene, over both strands; of equals the reverse, then the smaller."""
+def best_offsets(leaf_hits: DataFrame, read: str | list[str]) -> DataFrame:
+    """The offset with most hits for each read (and mate), taxon and gene, over both strands; of equals the reverse, then the smaller."""
     both = F.explode(F.array(F.struct(F.lit(True).alias("forward"), (F.col("gene_pos") - F.col("pos")).alias("offset")), F.struct(F.lit(False).alias("forward"), (F.col("gene_pos") + F.col("pos")).alias("offset"))))
-    votes = leaf_hits.select(read, "taxid", "gene_id", both.alias("o")).groupBy(read, "taxid", "gene_id", "o.forward", "o.offset").agg(F.count(F.lit(1)).alias("votes"))
+    by = [*_columns(read), "taxid", "gene_id"]
+    votes = leaf_hits.select(*by, both.alias("o")).groupBy(*by, "o.forward", "o.offset").agg(F.count(F.lit(1)).alias("votes"))
     order = F.struct("votes", ~F.col("forward"), -F.col("offset"))
-    return votes.groupBy(read, "taxid", "gene_id").agg(F.max_by(F.struct("forward", "offset", "votes"), order).alias("b")).select(read, "taxid", "gene_id", "b.*")
+    return votes.groupBy(*by).agg(F.max_by(F.struct("forward", "offset", "votes"), order).alias("b")).select(*by, "b.*")
 
 
 def read_taxa(hits: DataFrame, read: str) -> DataFrame:
@@ -81,18 +129,23 @@ def confidences(scores: DataFrame, read: str) -> DataFrame:
     return lifted.select(read, "taxid", (F.col("hits") / F.col("score")).alias("rank_confidence"), (F.col("lifted") / F.sum("lifted").over(w)).alias("candidate_confidence"))
 
 
-def descend(taxa: DataFrame, lineages: DataFrame, ranks: list[str], read: str, share: float = 0.7, least: int = 3, root: int = 1) -> DataFrame:
+def descend(taxa: DataFrame, lineages: DataFrame, ranks: list[str], read: str, share: float = 0.7, least: int = 3, root: int = 1, mates: list[str] | None = None) -> DataFrame:
     """(read, taxid, path_hits): from the root down, rank by rank, into the child that has more than `share` of the hits at
     or below this level and at least `least`; hits of every node on the way add up, and a read is classified if they
     exceed `least`.
 
+    mates: columns of hits of each mate, where `hits` is their sum. The way down is by the sum; path_<column> adds up each
+    mate's hits along it, and a pair is classified if one of them exceeds `least`.
+
     Hits of the taxa on the path so far are not part of a level's total. A read whose next set rank differs between taxa is
     compared at the first rank that one of them has; taxa that end there do not go further. Each rank is one window over
     the read's few taxa, all on the same partitioning, so the whole descent is one shuffle."""
     t = taxa.join(lineages.withColumnRenamed("id", "taxid"), "taxid", "left")
     w = Window.partitionBy(read)
     on = (F.col("taxid") == root)
-    t = t.withColumn("at", F.lit(root)).withColumn("path_hits", F.coalesce(F.sum(F.when(on, F.col("hits"))).over(w), F.lit(0))).withColumn("open", F.lit(True)).withColumn("live", ~on)
+    t = t.withColumn("at", F.lit(root)).withColumn("open", F.lit(True)).withColumn("live", ~on)
+    paths = {"path_hits": "hits"} if mates is None else {f"path_{m}": m for m in mates}
+    t = t.withColumns({p: F.coalesce(F.sum(F.when(on, F.col(h))).over(w), F.lit(0)) for p, h in paths.items()})
     for r in ranks:
         child = Window.partitionBy(read, "live", r)
         t = t.withColumn("total", F.sum(F.when(F.col("live"), F.col("hits"))).over(w))
@@ -103,10 +156,10 @@ def descend(taxa: DataFrame, lineages: DataFrame, ranks: list[str], read: str, s
         t = t.withColumn("some", some)
         t = t.withColumn("live", F.when(F.col("open") & F.col("some"), F.col("live") & F.coalesce(F.col(r) == F.col("to"), F.lit(False))).otherwise(F.col("live")))
         own = F.col("live") & (F.col("taxid") == F.col("to"))
-        t = t.withColumn("path_hits", F.col("path_hits") + F.coalesce(F.sum(F.when(own, F.col("hits"))).over(w), F.lit(0)))
+        t = t.withColumns({p: F.col(p) + F.coalesce(F.sum(F.when(own, F.col(h))).over(w), F.lit(0)) for p, h in paths.items()})
         t = t.withColumn("live", F.col("live") & ~F.coalesce(F.col("taxid") == F.col("to"), F.lit(False)))
         t = t.withColumn("at", F.coalesce("to", "at")).withColumn("open", F.col("open") & (~F.col("some") | F.col("to").isNotNull()))
-    return t.groupBy(read).agg(F.max("at").alias("taxid"), F.max("path_hits").alias("path_hits")).filter(F.col("path_hits") > least)
+    return t.groupBy(read).agg(F.max("at").alias("taxid"), *[F.max(p).alias(p) for p in paths]).filter(F.greatest(F.lit(0), *paths) > least)
 
 
 def orientation(offset: Column, read_length: Column, gene_length: Column, forward: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .taxonomy import lca_of_groups
@@ -26,6 +26,26 @@ def build_all_values(rows: DataFrame, taxid: str) -> DataFrame:
     return rows.select("key", F.col(taxid).alias("taxid"), "gene_id", F.col("pos").alias("gene_pos")).distinct()
 
 
+def upsert(index: DataFrame, rows: DataFrame, merge: dict[str, Column]) -> DataFrame:
+    """The index with rows added; values of equal keys are merged by aggregates, {column: aggregate over both sides' rows}.
+
+    An aggregate is an expression such as F.max("taxid"), or a grouped-aggregate pandas UDF over columns; it sees the values
+    of a key in no order. Built-in ones combine before the shuffle."""
+    names = ["key", *merge]
+    both = index.select(*names).unionByName(rows.select(*names))
+    return both.groupBy("key").agg(*[a.alias(n) for n, a in merge.items()])
+
+
+def composition(hits: DataFrame, ranks: DataFrame, read: str, named: list[str]) -> DataFrame:
+    """For each read, how many of its k-mers the index has at each of the named ranks, at none of them (no_rank), and not at
+    all (missing). hits: rows of a lookup; ranks: (taxid, rank)."""
+    each = hits.groupBy(read, "taxid").agg(F.count(F.lit(1)).alias("n")).join(ranks.select("taxid", "rank"), "taxid", "left")
+    have, zero = F.col("taxid").isNotNull(), F.lit(0)
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), zero)
+    other = have & ~F.coalesce(F.col("rank").isin(named), F.lit(False))
+    return each.groupBy(read).agg(*[count(have & (F.col("rank") == r)).alias(r) for r in named], count(other).alias("no_rank"), count(~have).alias("missing"))
+
+
 def pack_sizes(values: DataFrame) -> DataFrame:
     """How many keys have how many values."""
     return values.groupBy("key").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n_keys"))

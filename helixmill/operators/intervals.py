@@ -6,13 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Positions within which intervals of a group are merged before the group's intervals meet.
+STRETCH = 1 << 16
+
+
 def merge(rows: DataFrame, group: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Union of each group's intervals; touching ones join. n: intervals that went into each."""
+    """Union of each group's intervals; touching ones join. n: intervals that went into each.
+
+    Intervals are merged in stretches of STRETCH positions first, so that a group with very many intervals brings together
+    what is left of them, at most one for two positions, and no more."""
+    near = rows.select(*group, start, end).withColumn("_stretch", F.floor(F.col(start) / STRETCH)).withColumn("n", F.lit(1).cast("long"))
+    return _islands(_islands(near, [*group, "_stretch"], start, end).drop("_stretch"), group, start, end)
+
+
+def _islands(rows: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(start, end)
     seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.select(*group, start, end).withColumn("_new", F.when(F.col(start) <= seen, 0).otherwise(1))
+    marked = rows.withColumn("_new", F.when(F.col(start) <= seen, 0).otherwise(1))
     marked = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
+    return marked.groupBy(*group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n")).drop("_island")
+
+
+def starting_inside(reads: DataFrame, ranges: DataFrame, group: list[str], start: str = "start") -> DataFrame:
+    """The reads whose start lies in one of the group's ranges (which do not overlap), with their own columns."""
+    inside = containing(reads.select(*group, F.col(start).alias("_at")).distinct(), ranges, group, "_at").select(*group, F.col("_at").alias(start))
+    return reads.join(inside, [*group, start], "left_semi")
 
 
 def _binned(rows: DataFrame, start: str, end: str, width: int) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bases that a bucket of a gene is meant to have.
+TARGET = 100
+
+
 def ani(hits: Column, length: Column, span: int, k: int) -> Column:
     """Identity that explains the share of k-mers found: (hits / k-mers) ** (1 / k); null if the read has no k-mer."""
     n = length - span + 1
@@ -24,16 +28,38 @@ def clip(pos: Column, length: Column, gene_length: Column) -> Column:
 def taxon_table(reads: DataFrame, genes: DataFrame) -> DataFrame:
     """(taxid, reads, bases, present_genes, median_ani, n_genes, expected_genes) from reads of (taxid, gene_id, overlap, ani) and
     genes (taxid, gene_id, length). expected_genes: how many of the genes so many reads would touch, n(1 - ((n-1)/n)^r)."""
-    t = reads.groupBy("taxid").agg(
-        F.count(F.lit(1)).alias("reads"), F.sum("overlap").alias("bases"), F.countDistinct("gene_id").alias("present_genes"), F.median("ani").alias("median_ani")
+    # equal identities of a taxon are counted before they meet, so the median is over counts and not over reads
+    same = reads.groupBy("taxid", "gene_id", "ani").agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("overlap"))
+    t = same.groupBy("taxid").agg(
+        F.sum("n").alias("reads"), F.sum("overlap").alias("bases"), F.size(F.collect_set("gene_id")).cast("long").alias("present_genes"), F.percentile("ani", F.lit(0.5), F.col("n")).alias("median_ani")
     )
     n = genes.groupBy("taxid").agg(F.count(F.lit(1)).alias("n_genes"))
     rate = F.col("n_genes") * (1 - F.pow((F.col("n_genes") - 1) / F.col("n_genes"), F.col("reads")))
     return t.join(n, "taxid").withColumn("expected_genes", rate)
 
 
-def taxon_passes(reads: int, identity: float, expected: float) -> Column:
-    return (F.col("present_genes") / F.col("expected_genes") > expected) & (F.col("reads") > reads) & (F.col("median_ani") > identity)
+def taxon_passes(reads: int, identity: float, expected: float, leaf: Column | None = None) -> Column:
+    """leaf: whether the taxon is one; a taxon without genes is not in the table."""
+    return (F.lit(True) if leaf is None else leaf) & (F.col("n_genes") > 0) & (F.col("present_genes") / F.col("expected_genes") > expected) & (F.col("reads") > reads) & (F.col("median_ani") > identity)
+
+
+def bucket_count(length: Column) -> Column:
+    """How many buckets of about TARGET bases a gene is cut into: of the two nearest counts the one whose bucket length is
+    nearer to TARGET, the smaller of equals, at least one."""
+    few = F.floor(length / TARGET)
+    more = few + 1
+    nearer = F.lit(TARGET) - F.floor(length / more) < F.floor(length / F.greatest(few, F.lit(1))) - TARGET
+    return F.when((few == 0) | nearer, more).otherwise(few)
+
+
+def bucket_length(length: Column) -> Column:
+    return F.floor(length / bucket_count(length))
+
+
+def sized_buckets(reads: DataFrame, genes: DataFrame) -> DataFrame:
+    """(taxid, gene_id, bucket, reads): reads by the bucket of their gene in which they start (before it: the first)."""
+    at = F.floor(F.greatest(F.col("pos"), F.lit(0)) / bucket_length(F.col("length")))
+    return reads.join(genes.select("taxid", "gene_id", "length"), ["taxid", "gene_id"]).groupBy("taxid", "gene_id", at.alias("bucket")).agg(F.count(F.lit(1)).alias("reads"))
 
 
 def gene_buckets(reads: DataFrame, width: int = 100) -> DataFrame:
@@ -82,5 +108,15 @@ def biobox(abundance: DataFrame, names: DataFrame, ranks: list[str]) -> DataFram
     return out.orderBy("_place", F.desc("percentage"), "taxid").drop("_place")
 
 
-def running_share(rows: DataFrame, by: str, value: str) -> DataFrame:
-    return rows.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy(by)))
+def profile_rows(abundance: DataFrame, nodes: DataFrame, lineage: DataFrame, ranks: list[str]) -> DataFrame:
+    """(taxid, rank, taxpath, namepath, percentage, place): rows of a profile file in order of place, then larger shares.
+
+    Leaves come first, as rank strain and with .1 after their id; then all taxa of each rank, the lowest first, and the
+    root. nodes: (id, name, rank, leaf); lineage: (id, taxpath, namepath), of which closing separators are cut."""
+    each = abundance.select("id", "abundance").join(nodes.select("id", "rank", "leaf"), "id").join(lineage.select("id", "taxpath", "namepath"), "id")
+    order = {r: i + 1 for i, r in enumerate([*reversed(ranks), "root"])}
+    place = F.coalesce(*[F.when(F.col("rank") == r, F.lit(i)) for r, i in order.items()])
+    plain = each.filter(F.col("rank").isin(list(order))).select(F.col("id").cast("string").alias("taxid"), "rank", "taxpath", "namepath", "abundance", place.alias("place"))
+    strain = each.filter("leaf").select(F.concat(F.col("id").cast("string"), F.lit(".1")).alias("taxid"), F.lit("strain").alias("rank"), "taxpath", "namepath", "abundance", F.lit(0).alias("place"))
+    cut = lambda c: F.regexp_replace(c, r"\|+$", "").alias(c)
+    return strain.union(plain).select("taxid", "rank", cut("taxpath"), cut("namepath"), F.round(100 * F.col("abundance"), 6).alias("percentage"), "place")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,12 @@ def with_reference(alleles: DataFrame, coverage: DataFrame) -> DataFrame:
     return alleles.select(*LOCUS, "base", "n").union(rest)
 
 
-def frequent(alleles: DataFrame, share: float = 0.2, least: int = 2) -> DataFrame:
-    """Alleles with at least `least` observations and `share` of the locus's; the reference is no allele."""
+def frequent(alleles: DataFrame, share: float = 0.2, least: int = 2, where: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Alleles with at least `least` observations and `share` of the locus's; the reference is no allele. where: another
+    condition, of an allele's observations and its locus's."""
     total = F.sum("n").over(Window.partitionBy(*LOCUS))
-    return alleles.withColumn("_share", F.col("n") / total).filter((F.col("_share") >= share) & (F.col("n") >= least) & (F.col("base") != REFERENCE)).drop("_share")
+    good = where or (lambda n, of: (n / of >= share) & (n >= least))
+    return alleles.withColumn("_total", total).filter(good(F.col("n"), F.col("_total")) & (F.col("base") != REFERENCE)).drop("_total")
 
 
 def locus_statistics(alleles: DataFrame) -> DataFrame:
@@ -71,6 +75,35 @@ def gene_distance(major: DataFrame, ranges: DataFrame) -> DataFrame:
     return length.join(counts, by, "left").na.fill(0, ["shared", "only_a", "only_b", "differing"])
 
 
+def simple_gene_distance(snps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """As gene_distance() by position alone, whatever the base: columns as there without `differing`, and length_a, length_b,
+    and share, the shared length over the length that either sample covers."""
+    counts = gene_distance(snps.select(*LOCUS).distinct().withColumn("base", F.lit("N")), ranges).drop("differing")
+    sizes = ranges.groupBy(*GENE, "sample").agg(F.sum(F.col("end") - F.col("start")).alias("length"))
+    for s in "ab":
+        counts = counts.join(sizes.select(*GENE, F.col("sample").alias(f"sample_{s}"), F.col("length").alias(f"length_{s}")), [*GENE, f"sample_{s}"])
+    return counts.withColumn("share", F.col("shared_length") / (F.col("length_a") + F.col("length_b") - F.col("shared_length")))
+
+
+def simple_strain_distance(genes: DataFrame) -> DataFrame:
+    """(taxid, sample_a, sample_b, genes, shared_length, distance, share) from simple_gene_distance(): positions that one sample
+    alone has over the shared length, and the mean of the genes' shares weighted by their shared lengths."""
+    s = genes.groupBy("taxid", "sample_a", "sample_b").agg(
+        F.count(F.lit(1)).alias("genes"), F.sum("shared_length").alias("shared_length"), F.sum(F.col("only_a") + F.col("only_b")).alias("d"), F.sum(F.col("shared_length") * F.col("share")).alias("w")
+    )
+    size = F.when(F.col("shared_length") > 0, F.col("shared_length"))
+    return s.select("taxid", "sample_a", "sample_b", "genes", "shared_length", (F.col("d") / size).alias("distance"), (F.col("w") / size).alias("share"))
+
+
+def distances(major: DataFrame, ranges: DataFrame, kind: str = "jc69", least_genes: int = 3) -> DataFrame:
+    """Distances of strains between samples: "jc69" compares alleles, "simple" positions."""
+    if kind == "jc69":
+        return strain_distance(gene_distance(major, ranges), least_genes)
+    if kind == "simple":
+        return simple_strain_distance(simple_gene_distance(major, ranges))
+    raise ValueError(f"no distance {kind!r}")
+
+
 def jukes_cantor(p: Column) -> Column:
     """-3/4 ln(1 - 4/3 p); null where it is not defined."""
     return F.when(p < 0.75, -0.75 * F.log(1 - p * 4.0 / 3.0))

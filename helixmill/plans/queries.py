@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions import dna, text
+from helixmill.functions import dna, text, version
 from helixmill.functions.dna import Shape
-from helixmill.operators import classify, evaluate, index, intervals, kmers, profile, strains, taxonomy, variants
+from helixmill.operators import classify, correction, evaluate, index, intervals, kmers, placement, profile, shapes, strains, taxonomy, variants
+
+from helixmill.staging import written
 
 from .catalog import ORACLES, QUERIES
 
@@ -219,15 +221,9 @@ def taxonomy_lineage(spark, read):
     return out.withColumn("lineage", taxonomy.lineage_string(GEO)).withColumn("next_set", taxonomy.next_set_rank(GEO, 0)).withColumn("previous_set", taxonomy.previous_set_rank(GEO, 1))
 
 
-@query(f"""WITH RECURSIVE {SQL_GEO_CLOSED}, p AS (SELECT DISTINCT CAST(o_custkey + 10000 AS INT) AS a, CAST((o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) + 10000 AS INT) AS b FROM orders WHERE o_orderkey % 3 = 0)
-SELECT a, b, min_by(x.ancestor_id, x.distance) AS lca_id FROM p JOIN cl x ON x.id = a JOIN cl y ON y.id = b AND y.ancestor_id = x.ancestor_id GROUP BY a, b""")
-def taxonomy_lca_pairs(spark, read):
-    return order_ancestors(read, read("orders").filter("o_orderkey % 3 = 0"))
-
-
 @query(f"""WITH RECURSIVE {SQL_GEO_CLOSED}, p AS (SELECT DISTINCT CAST(o_custkey + 10000 AS INT) AS a, CAST((o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) + 10000 AS INT) AS b FROM orders)
 SELECT a, b, min_by(x.ancestor_id, x.distance) AS lca_id FROM p JOIN cl x ON x.id = a JOIN cl y ON y.id = b AND y.ancestor_id = x.ancestor_id GROUP BY a, b""")
-def taxonomy_lca_pairs_whole(spark, read):
+def taxonomy_lca_pairs(spark, read):
     return order_ancestors(read, read("orders"))
 
 
@@ -273,7 +269,7 @@ SQL_SCORES = f"{SQL_TAXA}, {SQL_LINEAGE}, sc AS MATERIALIZED (SELECT t.doc_id, t
 
 
 def doc_hits(read) -> DataFrame:
-    return classify.lookup(doc_kmers(read), gene_index(read))
+    return classify.lookup(doc_kmers(read), written(gene_index(read)))
 
 
 def doc_scores(read) -> DataFrame:
@@ -406,13 +402,174 @@ WHERE len(list_filter(range(0, {bits}), lambda i: (pattern >> i) & 1 = 0 AND (fr
 q AS (SELECT doc_id, pos, CASE WHEN taxid IS NULL THEN 0 ELSE 1 END AS hit FROM h SEMI JOIN g USING (doc_id)),
 w AS (SELECT a.doc_id, a.pos, sum(b.hit << CAST(b.pos - a.pos AS INT)) AS pattern FROM q a JOIN q b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + {BITS - 1} GROUP BY a.doc_id, a.pos HAVING count(*) = {BITS})
 SELECT DISTINCT doc_id, CAST(pos + m AS INT) AS position FROM w JOIN pt USING (pattern)""")
-def snp_call(spark, read):
+def hit_pattern_call(spark, read):
     hits = doc_hits(read)
     good = classify.enough_hits(hits, "doc_id", 20).select("doc_id")
     rows = hits.join(good, "doc_id", "left_semi").select("doc_id", "pos", F.col("taxid").isNotNull().alias("hit"))
     return variants.call(rows, variants.train(spark, SHAPE, BITS), "doc_id", SHAPE, BITS)
 
 
+SQL_PLACED = f"""{SQL_LEAF}, {SQL_NODES}, {SQL_CLOSED}, v AS (SELECT doc_id, taxid, gene_id, forward, o, count(*) AS votes FROM (SELECT *, true AS forward, gene_pos - pos AS o FROM lh UNION ALL SELECT *, false, gene_pos + pos FROM lh) GROUP BY ALL),
+pl AS (SELECT doc_id, taxid AS t, gene_id AS g, forward, o, n, m FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, forward, o, taxid, gene_id) AS r FROM v) JOIN (SELECT doc_id, length({sql_dna('text')}) AS n FROM documents) USING (doc_id)
+JOIN (SELECT CAST(item_id + 2 AS INT) AS taxid, CAST(item_id % 3 + 1 AS INT) AS gene_id, length({sql_dna('text')}) AS m FROM benchmark) USING (taxid, gene_id) WHERE r = 1),
+mk AS MATERIALIZED (SELECT h.doc_id, h.pos, t, g, forward, o, n, m, CASE WHEN (h.taxid = t AND h.gene_id = g AND g > 0 AND o = CASE WHEN forward THEN gene_pos - pos ELSE gene_pos + pos END)
+OR (h.gene_id = 0 AND EXISTS (SELECT 1 FROM cl WHERE cl.id = t AND cl.ancestor_id = h.taxid)) THEN 1 ELSE 0 END AS hit
+FROM h JOIN pl USING (doc_id) WHERE CASE WHEN forward THEN o + pos >= 0 AND o + pos + {len(SHAPE)} <= m ELSE o - pos >= 0 AND o - pos + {len(SHAPE)} <= m END)"""
+
+
+def marked_documents(read) -> DataFrame:
+    lengths = doc_dna(read).select("doc_id", F.length("dna").alias("read_length"))
+    genes = gene_table(read).select(F.col("species").alias("taxid"), "gene_id", F.length("dna").alias("gene_length"))
+    placed = placement.best_placement(classify.best_offsets(leaf_hits(read), "doc_id"), ["doc_id"]).join(lengths, "doc_id").join(genes, ["taxid", "gene_id"])
+    return placement.marked(doc_hits(read), placed, taxonomy.closure(gene_nodes(read)), SHAPE, ["doc_id"])
+
+
+@query(f"""WITH RECURSIVE {SQL_PLACED}, {_sql_closed_form(SHAPE, BITS)},
+w AS (SELECT a.doc_id, a.t, a.g, a.forward, a.o, a.pos, sum(b.hit << CAST(b.pos - a.pos AS INT)) AS pattern FROM mk a JOIN mk b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + {BITS - 1} GROUP BY ALL HAVING count(*) = {BITS} AND sum(b.hit) > 0)
+SELECT doc_id, t AS taxid, g AS gene_id, forward, CAST(CASE WHEN forward THEN o + pos + m ELSE o - pos - m + {len(SHAPE) - 1} END AS INT) AS gene_position, CAST(min(pos + m) AS INT) AS read_position FROM w JOIN pt USING (pattern) GROUP BY ALL""")
+def snp_call(spark, read):
+    return placement.call(marked_documents(read), variants.train(spark, SHAPE, BITS), SHAPE, BITS, ["doc_id"])
+
+
+@query(f"""WITH RECURSIVE {SQL_PLACED} SELECT doc_id, t AS taxid, g AS gene_id, CAST(CASE WHEN forward THEN o ELSE o - (n - {len(SHAPE)}) END AS INT) AS gene_pos, sum(hit) AS hits_best, count(*) AS total_hits, CAST(n AS INT) AS read_length,
+CAST(greatest(0, least(CASE WHEN forward THEN o ELSE o - (n - {len(SHAPE)}) END + n, m) - greatest(CASE WHEN forward THEN o ELSE o - (n - {len(SHAPE)}) END, 0)) AS INT) AS overlap, forward FROM mk GROUP BY doc_id, t, g, forward, o, n, m""")
+def classification_rows(spark, read):
+    return placement.result_rows(marked_documents(read), SHAPE, ["doc_id"])
+
+
+@query(f"""WITH RECURSIVE {SQL_PLACED} SELECT doc_id, t AS taxid, g AS gene_id, string_agg(CAST(hit AS VARCHAR), '' ORDER BY pos) AS pattern, sum(hit) AS hits, t = doc_id % 40 + 2 AS correct FROM mk GROUP BY doc_id, t, g""")
+def classification_debug(spark, read):
+    return placement.debug_rows(marked_documents(read), ["doc_id"], F.col("doc_id") % 40 + 2)
+
+
+SQL_SNP_READS = "rd AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'A' AS forward, CAST(l_quantity AS INT) % 20 AS read_position, CAST(l_partkey % 500 AS INT) AS gene_position, repeat('ACGTN', 4) AS sequence, '!#%)+-/13579;=?ACEGI' AS quality FROM lineitem)"
+
+
+@query(f"""WITH {SQL_SNP_READS} SELECT l_orderkey, l_linenumber, forward, gene_position, read_position, CASE WHEN forward THEN b ELSE translate(b, 'ACGT', 'TGCA') END AS base, ascii(substr(quality, read_position + 1, 1)) AS quality
+FROM (SELECT *, substr(sequence, read_position + 1, 1) AS b FROM rd) WHERE b <> 'N'""")
+def snp_rows(spark, read):
+    li = read("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "A").alias("forward"), (F.col("l_partkey") % 500).cast("int").alias("gene_position"), (F.col("l_quantity").cast("int") % 20).alias("read_position"))
+    reads = li.select("l_orderkey", "l_linenumber", F.repeat(F.lit("ACGTN"), 4).alias("sequence"), F.lit("!#%)+-/13579;=?ACEGI").alias("quality")).distinct()
+    return placement.snp_rows(li, reads, ["l_orderkey", "l_linenumber"])
+
+
+@query(f"""WITH m AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 9 AS INT) AS gene, l_returnflag = 'A' AS forward, CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity AS INT) - 10 END AS o, CAST(20 + l_linenumber AS INT) AS len, CAST(l_quantity AS INT) AS hits FROM lineitem WHERE l_linenumber <= 2)
+SELECT l_orderkey, min(gene) FILTER (o IS NOT NULL) AS gene_id, CAST(min(CASE WHEN forward THEN o ELSE o - (len - {len(SHAPE)}) END) AS INT) AS gene_pos, sum(len) FILTER (o IS NOT NULL) AS read_length, sum(hits) AS hits_best, count(o) AS placed FROM m GROUP BY l_orderkey""")
+def paired_rows(spark, read):
+    q = F.col("l_quantity").cast("int")
+    mates = read("lineitem").filter("l_linenumber <= 2").select("l_orderkey", (F.col("l_partkey") % 9).cast("int").alias("gene_id"), (F.col("l_returnflag") == "A").alias("forward"), F.when(F.col("l_linestatus") == "O", q - 10).alias("offset"), (20 + F.col("l_linenumber")).cast("int").alias("read_length"), q.alias("hits"))
+    return placement.paired_rows(mates, SHAPE, "l_orderkey")
+
+
+# ---- pairs of reads: documents 2i and 2i + 1 are mates ----
+
+
+def pair_hits(read) -> DataFrame:
+    return doc_hits(read).select(F.floor(F.col("doc_id") / 2).alias("pair"), (F.col("doc_id") % 2 + 1).cast("int").alias("mate"), "pos", "taxid", "gene_id", "gene_pos")
+
+
+@query(f"""WITH {SQL_LEAF}, f AS (SELECT doc_id, taxid, gene_id, min_by(gene_pos - pos, pos) AS a, min_by(gene_pos + pos, pos) AS b FROM lh GROUP BY ALL),
+n AS (SELECT doc_id, taxid, gene_id, greatest(count(*) FILTER (gene_pos - pos = a), count(*) FILTER (gene_pos + pos = b)) AS hits FROM f JOIN lh USING (doc_id, taxid, gene_id) GROUP BY ALL)
+SELECT doc_id // 2 AS pair, taxid, gene_id, sum(hits) AS hits, coalesce(sum(hits) FILTER (doc_id % 2 = 0), 0) AS hits_1, coalesce(sum(hits) FILTER (doc_id % 2 = 1), 0) AS hits_2 FROM n GROUP BY ALL""")
+def mate_hits(spark, read):
+    return classify.mate_hits(classify.fold_offsets(pair_hits(read).filter(classify.is_leaf_hit(F.lit(GENUS - 1))), ["pair", "mate"]), "pair", "mate")
+
+
+def _sql_pair_descent() -> str:
+    """As _sql_descent(), for pairs: the way down by the hits of both mates, the sums of each mate along it."""
+    out = [f"""WITH RECURSIVE {SQL_HITS}, t AS MATERIALIZED (SELECT doc_id // 2 AS pair, taxid, count(*) AS hits, count(*) FILTER (doc_id % 2 = 0) AS h1, count(*) FILTER (doc_id % 2 = 1) AS h2 FROM h WHERE taxid IS NOT NULL GROUP BY ALL), {SQL_LINEAGE},
+l0 AS MATERIALIZED (SELECT t.*, li.* EXCLUDE id FROM t JOIN li ON li.id = t.taxid WHERE taxid <> 1), a0 AS MATERIALIZED (SELECT pair, 1 AS node, coalesce(sum(h1) FILTER (taxid = 1), 0) AS p1, coalesce(sum(h2) FILTER (taxid = 1), 0) AS p2, true AS going FROM t GROUP BY pair)"""]
+    for i, r in enumerate(RANKS):
+        out.append(
+            f"""t{i} AS (SELECT pair, sum(hits) AS total, bool_or({r} IS NOT NULL) AS has FROM l{i} GROUP BY pair),
+b{i} AS MATERIALIZED (SELECT l.pair, {r} AS nx FROM l{i} l JOIN a{i} a USING (pair) JOIN t{i} USING (pair) WHERE going AND {r} IS NOT NULL GROUP BY l.pair, {r}, total HAVING sum(hits) > 0.7 * total AND sum(hits) >= 3),
+a{i + 1} AS MATERIALIZED (SELECT a.pair, coalesce(nx, node) AS node, p1 + coalesce(h.h1, 0) AS p1, p2 + coalesce(h.h2, 0) AS p2, going AND (NOT coalesce(has, false) OR nx IS NOT NULL) AS going FROM a{i} a LEFT JOIN t{i} USING (pair) LEFT JOIN b{i} b USING (pair) LEFT JOIN t h ON h.pair = a.pair AND h.taxid = nx),
+l{i + 1} AS MATERIALIZED (SELECT l.* FROM l{i} l JOIN a{i} a USING (pair) LEFT JOIN t{i} USING (pair) LEFT JOIN b{i} USING (pair) WHERE CASE WHEN going AND coalesce(has, false) THEN coalesce({r} = nx, false) ELSE true END AND taxid IS DISTINCT FROM nx)"""
+        )
+    return ",\n".join(out) + f" SELECT pair, node AS taxid, p1 AS path_hits_1, p2 AS path_hits_2 FROM a{len(RANKS)} WHERE p1 > 3 OR p2 > 3"
+
+
+def pair_taxa(read) -> DataFrame:
+    each = [F.count_if(F.col("mate") == m).alias(f"hits_{m}") for m in (1, 2)]
+    return pair_hits(read).filter("taxid is not null").groupBy("pair", "taxid").agg(F.count(F.lit(1)).alias("hits"), *each)
+
+
+@query(_sql_pair_descent())
+def classify_descent_pairs(spark, read):
+    return classify.assign(pair_taxa(read), "pair", "descent", lineages=gene_lineages(read), ranks=RANKS, mates=["hits_1", "hits_2"])
+
+
+@query(f"""WITH RECURSIVE {SQL_LEAF}, {SQL_NODES}, {SQL_CLOSED}, nd2 AS (SELECT doc_id, taxid, CASE WHEN taxid < {GENUS} THEN gene_id ELSE 0 END AS gene_id, count(*) AS hits FROM h WHERE taxid IS NOT NULL GROUP BY ALL),
+an AS (SELECT doc_id, taxid, gene_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, taxid, gene_id) AS r FROM nd2) WHERE r = 1)
+SELECT an.doc_id, an.taxid, an.gene_id, sum(hits) AS support FROM an JOIN cl ON cl.id = an.taxid JOIN nd2 n ON n.doc_id = an.doc_id AND n.taxid = cl.ancestor_id WHERE n.taxid = 1 OR n.taxid >= {GENUS} OR an.gene_id < 1 OR an.gene_id = n.gene_id GROUP BY ALL""")
+def taxon_sums(spark, read):
+    leaf = (F.col("taxid") > 1) & (F.col("taxid") < GENUS)
+    nodes = doc_hits(read).filter("taxid is not null").groupBy("doc_id", "taxid", F.when(F.col("taxid") < GENUS, F.col("gene_id")).otherwise(0).alias("gene_id")).agg(F.count(F.lit(1)).alias("hits"))
+    best = nodes.groupBy("doc_id").agg(F.max_by(F.struct("taxid", "gene_id"), F.struct("hits", -F.col("taxid"), -F.col("gene_id"))).alias("b")).select("doc_id", "b.*")
+    return classify.taxon_sums(nodes, best, taxonomy.closure(gene_nodes(read)), leaf, "doc_id")
+
+
+@query(f"""WITH RECURSIVE {SQL_LEAF}, {SQL_NODES}, {SQL_CLOSED}, f AS (SELECT doc_id, taxid, gene_id, min_by(gene_pos - pos, pos) AS a, min_by(gene_pos + pos, pos) AS b, min(pos) AS p FROM lh GROUP BY ALL),
+s AS (SELECT i.doc_id, i.pos, i.gene_id, min_by(f.taxid, (f.p, f.taxid)) AS taxid FROM h i JOIN f ON f.doc_id = i.doc_id AND f.gene_id = i.gene_id AND (i.gene_pos - i.pos = a OR i.gene_pos + i.pos = b) JOIN cl ON cl.id = f.taxid AND cl.ancestor_id = i.taxid AND distance > 0
+WHERE i.gene_id > 0 AND i.gene_pos > 0 AND (i.taxid = 1 OR i.taxid >= {GENUS}) GROUP BY ALL) SELECT doc_id, taxid, gene_id, count(*) AS inner FROM s GROUP BY ALL""".replace("AS inner FROM", 'AS "inner" FROM'))
+def inner_support(spark, read):
+    inner = doc_hits(read).filter((F.col("gene_id") > 0) & (F.col("gene_pos") > 0) & ((F.col("taxid") == 1) | (F.col("taxid") >= GENUS)))
+    return classify.inner_support(inner, classify.fold_offsets(leaf_hits(read), "doc_id"), taxonomy.closure(gene_nodes(read)), "doc_id")
+
+
+@query(f"""WITH {SQL_HITS}, {SQL_NODES} SELECT doc_id, count(*) FILTER (rank = 'species') AS species, count(*) FILTER (rank = 'genus') AS genus, count(*) FILTER (rank = 'phylum') AS phylum, count(*) FILTER (rank = 'root') AS no_rank, count(*) FILTER (taxid IS NULL) AS missing FROM h LEFT JOIN nd ON nd.id = h.taxid GROUP BY doc_id""")
+def index_composition(spark, read):
+    return index.composition(doc_hits(read), gene_nodes(read).select(F.col("id").alias("taxid"), "rank"), "doc_id", RANKS[::-1])
+
+
+@query(f"""WITH {SQL_GENE_KMERS} SELECT key, max(species) AS taxid, sum(gene_id) AS total FROM (SELECT DISTINCT key, species, gene_id FROM gk) GROUP BY key""")
+def index_upsert(spark, read):
+    rows = gene_kmers(read).select("key", F.col("species").alias("taxid"), F.col("gene_id").cast("long").alias("total"))
+    once = rows.distinct()
+    low = once.filter("taxid <= 20").groupBy("key").agg(F.max("taxid").alias("taxid"), F.sum("total").alias("total"))
+    return index.upsert(low, once.filter("taxid > 20"), {"taxid": F.max("taxid"), "total": F.sum("total")})
+
+
+@query(f"""WITH RECURSIVE {SQL_INDEX}, {SQL_NODES}, {SQL_CLOSED}, g AS (SELECT species, gk.gene_id, pos, ix.taxid FROM gk JOIN ix USING (key)), n AS (SELECT species, gene_id, count(*) AS n FROM g GROUP BY ALL),
+w AS (SELECT species, gene_id, i, taxid, count(*) AS hits FROM (SELECT *, unnest(range(greatest(pos - 84, -65), pos + 1)) AS i FROM g) GROUP BY ALL),
+sc AS (SELECT w.species, w.gene_id, w.i, w.taxid, sum(a.hits) AS score FROM w JOIN cl ON cl.id = w.taxid JOIN w a ON a.species = w.species AND a.gene_id = w.gene_id AND a.i = w.i AND a.taxid = cl.ancestor_id GROUP BY ALL),
+b AS (SELECT species, gene_id, i, taxid FROM (SELECT *, row_number() OVER (PARTITION BY species, gene_id, i ORDER BY score DESC, taxid) AS r FROM sc) WHERE r = 1)
+SELECT n.species AS taxid, n.gene_id, round(coalesce(k, 0) / (n + 130), 9) AS factor FROM n LEFT JOIN (SELECT species, gene_id, count(*) AS k FROM b WHERE taxid = species GROUP BY ALL) USING (species, gene_id)""")
+def abundance_correction(spark, read):
+    rows = gene_kmers(read).select("key", "species", F.col("gene_id").alias("gene"), "pos").join(gene_index(read).select("key", "taxid"), "key")
+    found = correction.factors(rows, taxonomy.closure(gene_nodes(read)), "species", "gene")
+    return found.withColumn("factor", F.round("factor", 9))
+
+
+@query(f"""WITH s AS (SELECT m, {' + '.join(f"CASE WHEN m & {sum(1 << (i + o) for o in SMALL.take)} = 0 THEN {1 << i} ELSE 0 END" for i in range(8))} AS pattern FROM range(1, {1 << (8 + len(SMALL) - 1)}) x(m)),
+a AS (SELECT pattern, bit_count(bit_and(m)) AS k FROM s GROUP BY pattern HAVING pattern <> 255) SELECT CAST(k AS INT) AS mutations, count(*) AS patterns, round(count(*) / 255, 9) AS share FROM a GROUP BY k""")
+def pattern_statistics(spark, read):
+    return shapes.told_by_limit(variants.train(spark, SMALL, 8), 8).withColumn("share", F.round("share", 9))
+
+
+@query("""WITH RECURSIVE d AS (SELECT [CAST(x AS INT)] AS distances, x AS total FROM range(0, 9) r(x) UNION ALL SELECT list_append(distances, CAST(x AS INT)), total + x FROM d, range(0, 9) r(x) WHERE len(distances) < 3 AND total + x <= 8) SELECT distances FROM d WHERE len(distances) = 3""")
+def mutation_distances(spark, read):
+    return shapes.distances(spark, 12, 3)
+
+
+SQL_TOLD = """td AS (SELECT l_orderkey AS r, l_partkey % 50 AS p FROM lineitem WHERE l_returnflag <> 'N'), tr AS (SELECT l_orderkey AS r, l_partkey % 50 AS p FROM lineitem WHERE l_linestatus = 'F')"""
+
+
+def told_and_true(read) -> tuple[DataFrame, DataFrame]:
+    rows = read("lineitem").select(F.col("l_orderkey").alias("r"), (F.col("l_partkey") % 50).alias("position"), "l_returnflag", "l_linestatus")
+    return rows.filter("l_returnflag <> 'N'"), rows.filter("l_linestatus = 'F'")
+
+
+@query(f"WITH {SQL_TOLD} SELECT r, count(*) FILTER (a AND b) AS tp, count(*) FILTER (a AND NOT b) AS fp, count(*) FILTER (b AND NOT a) AS fn FROM (SELECT r, p, bool_or(a) AS a, bool_or(b) AS b FROM (SELECT *, true AS a, false AS b FROM td UNION ALL SELECT *, false, true FROM tr) GROUP BY r, p) GROUP BY r")
+def read_evaluation(spark, read):
+    return shapes.truth_counts(*told_and_true(read), ["r"])
+
+
+@query(f"WITH {SQL_TOLD} SELECT p AS position, count(DISTINCT r) AS missed FROM tr WHERE NOT EXISTS (SELECT 1 FROM td WHERE td.r = tr.r AND td.p = tr.p) GROUP BY p")
+def missed_positions(spark, read):
+    return shapes.missed_by_position(*told_and_true(read), ["r"])
+
+
 # ---- intervals ----
 
 SQL_RANGES = "rg AS (SELECT l_partkey AS gene, l_suppkey AS sample, l_returnflag AS flag, CAST(l_quantity AS INT) * 7 + CAST(l_linenumber * 11 AS INT) AS start, CAST(l_quantity AS INT) * 7 + CAST(l_linenumber * 11 AS INT) + 20 + CAST(l_orderkey % 30 AS INT) AS \"end\" FROM lineitem)"
@@ -469,6 +626,12 @@ def point_in_interval(spark, read):
     return intervals.containing(points, intervals.merge(ranges(read), ["gene"]), ["gene"], "point")
 
 
+@query(f"""WITH {SQL_RANGES}, m AS ({SQL_MERGE.format("(SELECT * FROM rg WHERE flag = 'R')")}) SELECT gene, sample, start, "end" FROM rg WHERE EXISTS (SELECT 1 FROM m WHERE m.gene = rg.gene AND m.start <= rg.start AND rg.start < m."end")""")
+def reads_inside(spark, read):
+    r = ranges(read)
+    return intervals.starting_inside(r, intervals.merge(r.filter("flag = 'R'"), ["gene"]), ["gene"]).select("gene", "sample", "start", "end")
+
+
 # ---- profile ----
 
 SPAN, K = 16, 12
@@ -514,6 +677,12 @@ def gene_buckets(spark, read):
     return profile.gene_buckets(reads(read))
 
 
+@query(f"""WITH {SQL_READS}, {SQL_GENES}, b AS (SELECT *, length // CASE WHEN length // 100 = 0 OR 100 - length // (length // 100 + 1) < length // (length // 100) - 100 THEN length // 100 + 1 ELSE length // 100 END AS w FROM gn)
+SELECT taxid, gene_id, CAST(greatest(pos, 0) // w AS BIGINT) AS bucket, count(*) AS reads FROM rd JOIN b USING (taxid, gene_id) GROUP BY ALL""")
+def gene_buckets_sized(spark, read):
+    return profile.sized_buckets(reads(read), genes(read))
+
+
 SQL_DEPTH = f"""{SQL_READS}, {SQL_GENES}, bk AS (SELECT taxid, gene_id, count(*) AS reads, sum(overlap) AS bases, count(DISTINCT pos // 100) AS active FROM rd GROUP BY ALL),
 dp AS (SELECT taxid, gene_id, reads, bases, active, n * (1 - power((n - 1) / n, reads)) AS expected_active, CASE WHEN reads > 0 THEN bases / (n * (1 - power((n - 1) / n, reads)) * (length / n)) ELSE 0 END AS depth
 FROM (SELECT gn.*, coalesce(reads, 0) AS reads, coalesce(bases, 0) AS bases, coalesce(active, 0) AS active, greatest(1, ceil(length / 100)) AS n FROM gn LEFT JOIN bk USING (taxid, gene_id)))"""
@@ -613,7 +782,7 @@ def drop_reference_loci(spark, read):
 
 SQL_STRAIN = f"""{SQL_MAJOR}, rs AS (SELECT DISTINCT sample, taxid, gene_id, p AS start, p + 30 AS "end" FROM (SELECT *, sample * 9 + gene_id * 5 AS p FROM se)),
 pr AS (SELECT a.taxid, a.gene_id, a.sample AS sample_a, b.sample AS sample_b, greatest(a.start, b.start) AS s, least(a."end", b."end") AS e FROM rs a JOIN rs b USING (taxid, gene_id) WHERE a.sample <> b.sample AND a.start < b."end" AND b.start < a."end"),
-mm AS (SELECT * FROM mj WHERE major IS NOT NULL AND (sample + position) % 3 <> 0),
+mm AS (SELECT * FROM mj WHERE major IS NOT NULL),
 gd AS (SELECT pr.taxid, pr.gene_id, sample_a, sample_b, any_value(e - s) AS shared_length, count(*) FILTER (pa IS NOT NULL AND pb IS NOT NULL) AS shared, count(*) FILTER (pa IS NOT NULL AND pb IS NULL) AS only_a, count(*) FILTER (pa IS NULL AND pb IS NOT NULL) AS only_b, count(*) FILTER (pa <> pb) AS differing
 FROM pr LEFT JOIN (SELECT q.*, a.major AS pa, b.major AS pb FROM (SELECT taxid, gene_id, sample_a, sample_b, unnest(range(s, e)) AS position FROM pr) q LEFT JOIN mm a ON a.taxid = q.taxid AND a.gene_id = q.gene_id AND a.sample = sample_a AND a.position = q.position
 LEFT JOIN mm b ON b.taxid = q.taxid AND b.gene_id = q.gene_id AND b.sample = sample_b AND b.position = q.position) z USING (taxid, gene_id, sample_a, sample_b) GROUP BY ALL),
@@ -621,48 +790,43 @@ sd AS (SELECT taxid, sample_a, sample_b, count(*) AS genes, sum(shared_length) A
 ds AS (SELECT *, CASE WHEN genes >= 3 AND differences / shared_length < 0.75 THEN -0.75 * ln(1 - 4 / 3 * differences / shared_length) END AS distance FROM sd)"""
 
 
-#: What the SQL of three queries leaves; their _whole forms take all loci with a major allele.
-SOME_LOCI = "(sample + position) % 3 <> 0"
-SQL_STRAIN_WHOLE = SQL_STRAIN.replace(" AND (sample + position) % 3 <> 0", "")
-
-
-def gene_pairs(read, loci: str = "true") -> DataFrame:
+def major_and_ranges(read) -> tuple[DataFrame, DataFrame]:
     at = F.col("sample") * 9 + F.col("gene_id") * 5
     r = seen(read).select("sample", "taxid", "gene_id", at.alias("start"), (at + 30).alias("end")).distinct()
-    major = strains.locus_statistics(with_reference(read)).filter("major is not null").filter(loci).select(*strains.LOCUS, F.col("major").alias("base"))
-    return strains.gene_distance(major, intervals.merge(r, ["sample", "taxid", "gene_id"]).drop("n"))
+    major = strains.locus_statistics(with_reference(read)).filter("major is not null").select(*strains.LOCUS, F.col("major").alias("base"))
+    return major, intervals.merge(r, ["sample", "taxid", "gene_id"]).drop("n")
 
 
-@query(f"WITH {SQL_STRAIN} SELECT * FROM gd")
-def gene_distance(spark, read):
-    return gene_pairs(read, SOME_LOCI)
+def gene_pairs(read) -> DataFrame:
+    return strains.gene_distance(*major_and_ranges(read))
 
 
-@query(f"WITH {SQL_STRAIN_WHOLE} SELECT * FROM gd")
-def gene_distance_whole(spark, read):
+@query(f"WITH {SQL_STRAIN} SELECT * FROM gd")
+def gene_distance(spark, read):
     return gene_pairs(read)
 
 
 @query(f"WITH {SQL_STRAIN} SELECT taxid, sample_a, sample_b, genes, shared_length, differences, round(distance, 6) AS distance FROM ds")
 def strain_distance_jc69(spark, read):
-    return strains.strain_distance(gene_pairs(read, SOME_LOCI)).withColumn("distance", F.round("distance", 6))
-
-
-@query(f"WITH {SQL_STRAIN_WHOLE} SELECT taxid, sample_a, sample_b, genes, shared_length, differences, round(distance, 6) AS distance FROM ds")
-def strain_distance_jc69_whole(spark, read):
     return strains.strain_distance(gene_pairs(read)).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""WITH {SQL_STRAIN} SELECT taxid, sample_a AS samples, round(max(distance) FILTER (sample_b = 0), 6) AS "0", round(max(distance) FILTER (sample_b = 1), 6) AS "1", round(max(distance) FILTER (sample_b = 2), 6) AS "2", round(max(distance) FILTER (sample_b = 3), 6) AS "3" FROM ds GROUP BY taxid, sample_a""")
 def sample_matrix(spark, read):
-    m = strains.matrix(strains.strain_distance(gene_pairs(read, SOME_LOCI)), [0, 1, 2, 3])
+    m = strains.matrix(strains.strain_distance(gene_pairs(read)), [0, 1, 2, 3])
     return m.select("taxid", "samples", *[F.round(F.col(f"`{i}`"), 6).alias(str(i)) for i in range(4)])
 
 
-@query(f"""WITH {SQL_STRAIN_WHOLE} SELECT taxid, sample_a AS samples, round(max(distance) FILTER (sample_b = 0), 6) AS "0", round(max(distance) FILTER (sample_b = 1), 6) AS "1", round(max(distance) FILTER (sample_b = 2), 6) AS "2", round(max(distance) FILTER (sample_b = 3), 6) AS "3" FROM ds GROUP BY taxid, sample_a""")
-def sample_matrix_whole(spark, read):
-    m = strains.matrix(strains.strain_distance(gene_pairs(read)), [0, 1, 2, 3])
-    return m.select("taxid", "samples", *[F.round(F.col(f"`{i}`"), 6).alias(str(i)) for i in range(4)])
+@query(f"""WITH {SQL_STRAIN}, sg AS (SELECT *, 30 AS la, shared_length / (60 - shared_length) AS share FROM gd) SELECT taxid, sample_a, sample_b, count(*) AS genes, sum(shared_length) AS shared_length, round(sum(only_a + only_b) / sum(shared_length), 6) AS distance, round(sum(shared_length * share) / sum(shared_length), 6) AS share FROM sg GROUP BY ALL""")
+def strain_distance_simple(spark, read):
+    major, r = major_and_ranges(read)
+    d = strains.distances(major, r, "simple")
+    return d.withColumn("distance", F.round("distance", 6)).withColumn("share", F.round("share", 6))
+
+
+@query(f"WITH {SQL_WITH_REF} SELECT sample, taxid, gene_id, position, base, n FROM (SELECT *, sum(n) OVER (PARTITION BY sample, taxid, gene_id, position) AS t FROM wr) WHERE n * 2 > t AND base <> 'R'")
+def allele_majority(spark, read):
+    return strains.frequent(with_reference(read), where=lambda n, of: 2 * n > of)
 
 
 @query(f"WITH {SQL_SEEN} SELECT DISTINCT taxid FROM se WHERE quality > 10")
@@ -691,13 +855,8 @@ def confusion_metrics(spark, read):
     return evaluate.confusion(rows, F.col("quality") == 1, F.col("n_chars") > 1000, ["source"])
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY s, l_partkey, l_orderkey, l_linenumber) AS BIGINT) AS place, '>' || s || '_' || l_partkey AS header FROM (SELECT l_suppkey % 7 AS s, * FROM lineitem) WHERE l_quantity > 45")
-def sort_records(spark, read):
-    return sorted_records(read("lineitem").filter("l_quantity > 45"))
-
-
 @query("SELECT CAST(row_number() OVER (ORDER BY s, l_partkey, l_orderkey, l_linenumber) AS BIGINT) AS place, '>' || s || '_' || l_partkey AS header FROM (SELECT l_suppkey % 7 AS s, * FROM lineitem)")
-def sort_records_whole(spark, read):
+def sort_records(spark, read):
     return sorted_records(read("lineitem"))
 
 
@@ -728,6 +887,13 @@ def _placed(rows: DataFrame, by: list[str]) -> DataFrame:
     return cut.withColumn("r", F.row_number().over(within)).join(F.broadcast(before), "part").withColumn("place", F.col("r") + F.col("before"))
 
 
+@query("""SELECT p_partkey, p_size % 4 AS major, p_size % 7 AS minor, (p_size % 4, p_size % 7, 0, 0) < (2, 3, 0, 0) AS older, split_part(p_name, ' ', 1) || '_' || p_size AS id FROM part""")
+def version_order(spark, read):
+    text_of = F.concat_ws(".", (F.col("p_size") % 4).cast("string"), (F.col("p_size") % 7).cast("string"))
+    rows = read("part").withColumn("v", version.version(text_of))
+    return rows.select("p_partkey", "v.major", "v.minor", (F.col("v") < version.version(F.lit("2.3"))).alias("older"), text.header_id(F.concat(F.lit(">"), text.first_token("p_name", " "), F.lit("_"), "p_size", F.lit(" x"))).alias("id"))
+
+
 @query("SELECT p_partkey, upper(p_name) AS up, split_part(p_name, ' ', 1) AS first_token, CASE WHEN length(p_brand) >= 12 THEN p_brand ELSE rpad(p_brand, 12, '.') END AS padded, '/data/' || p_brand AS directory, 'x' || p_size || '.fq' AS base, 'x' || p_size AS stem, CAST(p_size // 3600 AS VARCHAR) || ':' || lpad(CAST(p_size // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(p_size % 60 AS VARCHAR), 2, '0') AS clock FROM part")
 def string_functions(spark, read):
     path = F.concat(F.lit("/data/"), "p_brand", F.lit("/x"), "p_size", F.lit(".fq"))

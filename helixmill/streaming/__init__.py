@@ -1 +1 @@
-
+"""Read files that keep arriving, classified as they come."""
