@@ -1,53 +1,12 @@
-"""Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir)."""
+"""Tables of the corpus operators; intermediate ones lie where the engine keeps its own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from helixmill.staging import drop_all, partitions, shared_dir, written, written_by
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a folder of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        named = getattr(spark.sparkContext, "_helixmill_dir", None)
-        if named is None:
-            named = tempfile.mkdtemp(prefix="helixmill-")
-            spark.sparkContext._helixmill_dir = named
-    return f"{named.rstrip('/')}/helixmill-{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet and read again: its lineage ends here, and every later reader sees the same rows
-    even if executors are lost. The files stay until drop_all()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written_by(df: DataFrame, key: str, n: int) -> DataFrame:
-    """As written(), in n buckets of a key, so that a later join on the key does not move these rows."""
-    spark = df.sparkSession
-    name = f"stage_{uuid.uuid4().hex}"
-    (df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key).saveAsTable(name))
-    return spark.table(name)
-
-
-def drop_all(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application, once their results have been written."""
-    for t in spark.catalog.listTables():
-        if t.name.startswith("stage_"):
-            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["drop_all", "partitions", "read", "shared_dir", "written", "written_by"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -38,3 +38,33 @@ def test_empty(spark):
 def test_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     check([(r.doc_id, r.text) for r in d.collect()], shard(d).collect(), 40)
+
+
+def test_equal_texts_lie_together(spark):
+    rows = [(i, "the hot text") for i in range(6000)] + [(10_000 + i, f"pair {i // 2}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shard(docs, 40).collect()
+    check(rows, got, 40)
+    of = defaultdict(set)
+    for r in got:
+        if r.doc_id >= 10_000:
+            of[(r.doc_id - 10_000) // 2].add(r.shard)
+    assert sum(len(s) > 1 for s in of.values()) <= 39
+
+
+def test_layout_changes_nothing(spark):
+    rows = [(i, f"text {i % 700}") for i in range(3000)] + [(None, None), (5, "text 5"), (5, "text 5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (Counter(map(tuple, shard(docs.repartition(n), 10).collect())) for n in (1, 7))
+    assert a == b
+
+
+def test_bytes_equal_sql_sums(spark):
+    """Sizes of shards against the law stated plainly: records in order, cut where the byte at their middle falls."""
+    rows = [(i, "y" * (i * 37 % 211)) for i in range(1200)]
+    got = sorted(shard(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect(), key=lambda r: (r.shard, r.slot))
+    total, before = sum(r.size for r in got), 0
+    for r in got:
+        assert r.shard == (before + r.size // 2) * 12 // total
+        before += r.size
+    assert [r.text_crc32 for r in got] == sorted(r.text_crc32 for r in got)
