@@ -92,89 +92,130 @@ def _barred(name: str, attrs: str, in_content: bool) -> tuple[bool, bool]:
 
 def pieces(page: str) -> list[Piece]:
     """Tags and texts in page order. An end tag closes the nearest open element of its name; <article> and <main> end
-    whatever unclosed element would bar them."""
-    spared: set[int] = set()
-    while True:
-        out, held = _walk(page, spared)
-        content = sum(p.words for p in out if p.name is None and p.inside)
-        half = (content or sum(p.words for p in out if p.name is None)) / 2
-        wraps = {at for at, (words, within) in held.items() if words > half and (within or not content)}
-        if not wraps:
-            return out
-        spared |= wraps
-
-
-def _walk(page: str, spared: set[int]) -> tuple[list[Piece], dict[int, tuple[int, bool]]]:
-    """The pieces of a page if the tags at `spared` bar nothing; and for each outermost tag that bars and may be a wrapper,
-    the words it holds and whether it is within <article> or <main>."""
+    whatever unclosed element would bar them. The page is walked twice: first with nothing barred, to find which marked
+    elements are wrappers, then with these spared."""
+    out, held = _walk(page, None)
+    content = sum(p.words for p in out if p.name is None and p.inside)
+    half = (content or sum(p.words for p in out if p.name is None)) / 2
+    if not held:
+        return out
+    return _walk(page, {at for at, (words, within) in held.items() if words > half and (within or not content)})[0]
+
+
+class _Open:
+    """The open elements. Every step takes constant time on average, however many elements are open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int | None, int]] = []  # name, place of a tag that bars, words of the page before it
+        self.blocks: list[int] = []  # places in the stack of what is not inline
+        self.count: Counter[str] = Counter()
+        self.barred = self.content = 0
+        self.base = 0  # elements below this place in the stack no longer bar
+
+    def push(self, name: str, bar: int | None, words: int) -> None:
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, bar, words))
+        self.count[name] += 1
+        self.barred += bar is not None
+        self.content += name in CONTENT
+
+    def pop(self) -> tuple[str, int | None, int]:
+        top = self.stack.pop()
+        if self.blocks and self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+        self.count[top[0]] -= 1
+        self.barred -= top[1] is not None and len(self.stack) >= self.base
+        self.content -= top[0] in CONTENT
+        self.base = min(self.base, len(self.stack))
+        return top
+
+    def unbar(self) -> None:
+        self.base, self.barred = len(self.stack), 0
+
+
+def _walk(page: str, spared: set[int] | None) -> tuple[list[Piece], dict[int, tuple[int, bool]]]:
+    """The pieces of a page if the tags at `spared` bar nothing (None: if none bars anything, and then, for each tag that may
+    bar and may be a wrapper, the words that it holds and whether it is within <article> or <main>)."""
     out: list[Piece] = []
     held: dict[int, tuple[int, bool]] = {}
-    stack: list[tuple[str, int | None]] = []  # names of open elements, and the place of a tag that bars
-    barred = content = 0
-    holder = None
+    marked: dict[int, bool] = {}
+    at = _Open()
+    words = 0
+
+    def close() -> str:
+        name, bar, before = at.pop()
+        if spared is None and bar in marked:
+            held[bar] = words - before, marked[bar]
+        return name
+
+    def barring() -> bool:
+        return spared is not None and at.barred > 0
+
     for m in _TOKEN.finditer(page):
         if m["math"] is not None or m["text"] is not None:
-            out.append(Piece(None, False, m["text"] if m["math"] is None else _UNSHOWN.sub("", m["math"]), barred > 0, content > 0))
-            if barred and holder in held:
-                held[holder] = held[holder][0] + out[-1].words, held[holder][1]
+            out.append(Piece(None, False, m["text"] if m["math"] is None else _UNSHOWN.sub("", m["math"]), barring(), at.content > 0))
+            words += out[-1].words
         elif (name := m["name"]) is not None:
             name = name.lower()
             if m["close"]:
-                out.append(Piece(name, True, "", barred > 0, content > 0))
-                if any(n == name for n, _ in stack):
-                    while True:
-                        n, bar = stack.pop()
-                        barred -= bar is not None
-                        content -= n in CONTENT
-                        if n == name:
-                            break
+                out.append(Piece(name, True, "", barring(), at.content > 0))
+                if at.count[name]:
+                    while close() != name:
+                        pass
                 continue
-            if name not in INLINE:  # a new block ends an open paragraph, a new item an open item
-                for at in range(len(stack) - 1, -1, -1):
-                    n, bar = stack[at]
-                    if n == "p" or n == name == "li":
-                        barred -= sum(x is not None for _, x in stack[at:])
-                        del stack[at:]
-                        break
-                    if n not in INLINE:
-                        break
-            if name in CONTENT and barred:
-                stack, barred = [(n, None) for n, _ in stack], 0
-            bar, mark = _barred(name, m["attrs"], content > 0)
-            bar = bar and m.start() not in spared
+            if name not in INLINE and at.blocks:  # a new block ends an open paragraph, a new item an open item
+                top = at.stack[at.blocks[-1]][0]
+                if top == "p" or top == name == "li":
+                    while close() != top:
+                        pass
+            if name in CONTENT:
+                at.unbar()
+            bar, mark = _barred(name, m["attrs"], at.content > 0)
+            bar = bar and (spared is None or m.start() not in spared)
             if name not in VOID and not m["attrs"].endswith("/"):
-                stack.append((name, m.start() if bar else None))
-                if bar and not barred:
-                    holder = m.start()
-                    if name in WRAPS or (name not in NEVER and name != "header"):
-                        held[holder] = 0, content > 0
-                barred += bar
-                content += name in CONTENT
-            out.append(Piece(name, False, "", barred > 0, content > 0, mark))
+                if bar and (name in WRAPS or (name not in NEVER and name != "header")):
+                    marked[m.start()] = at.content > 0
+                at.push(name, m.start() if bar else None, words)
+            out.append(Piece(name, False, "", barring(), at.content > 0, mark))
         else:
-            out.append(Piece(m["raw"].lower() if m["raw"] else "other", False, "", barred > 0, content > 0))
+            out.append(Piece(m["raw"].lower() if m["raw"] else "other", False, "", barring(), at.content > 0))
+    while at.stack:
+        close()
     return out, held
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The words of the best stretch: character references decoded, white space as one space, blocks parted by one space."""
-    seq = pieces(page or "")
+def scores(seq: list[Piece], weights: dict[str, float]) -> list[float]:
+    """What each piece adds to a stretch that holds it."""
     mark = weights.get("marked", -_LEAST)
     word, other = weights.get("", 1.0), weights.get("other", -_LEAST)
-    best, total, start, found = 0.0, 0.0, 0, (0, 0)
-    for i, p in enumerate(seq):
+    out = []
+    for p in seq:
         if p.name is not None:
-            total += weights.get(p.name, other)
-            if p.mark and not (p.out or p.inside or p.name in HEADINGS):
-                total += mark
-        elif not p.out:
-            total += word * p.words
+            out.append(weights.get(p.name, other) + (mark if p.mark and not (p.out or p.inside or p.name in HEADINGS) else 0.0))
+        else:
+            out.append(0.0 if p.out else word * p.words)
+    return out
+
+
+def best_stretch(values: list[float]) -> tuple[int, int]:
+    """Begin and end of the contiguous stretch with the largest sum above zero, the first of equals: one linear scan. (0, 0)
+    if no sum is above zero."""
+    best, total, start, found = 0.0, 0.0, 0, (0, 0)
+    for i, v in enumerate(values):
+        total += v
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, found = total, (start, i + 1)
+    return found
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    """The words of the best stretch: character references decoded, white space as one space, blocks parted by one space."""
+    seq = pieces(page or "")
     out = []
-    for p in seq[slice(*found)]:
+    for p in seq[slice(*best_stretch(scores(seq, weights)))]:
         if p.name is None:
             if not p.out:
                 out.append(html.unescape(p.text))

@@ -1,7 +1,9 @@
 import html as h
+import random
 import re
+import time
 
-from helixmill.llm.html_text import extract, fit, main_text
+from helixmill.llm.html_text import best_stretch, extract, fit, main_text, pieces, scores
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Home page of the site</a></header><nav><ul><li><a href="/a">one</a></li><li>two</li></ul></nav><!-- <p>no</p> -->
@@ -63,3 +65,32 @@ def test_wrappers_bar_nothing():
 def test_formulas_are_text():
     page = "<article><p>we know that <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m tex</annotation></semantics></math> holds here</p></article>"
     assert extract(page, WEIGHTS) == "we know that E=m holds here"
+
+
+def test_best_stretch_equals_trying_all():
+    r = random.Random(7)
+    for _ in range(300):
+        v = [r.choice([-3, -1, -0.5, 0, 0.5, 1, 2, 4]) for _ in range(r.randint(0, 14))]
+        a, b = best_stretch(v)
+        sums = [sum(v[i:j]) for i in range(len(v)) for j in range(i + 1, len(v) + 1)]
+        assert sum(v[a:b]) == max([0, *sums])
+
+
+def test_pages_without_an_article_equal_trying_all():
+    r = random.Random(9)
+    tags = ["<p>", "</p>", "<div>", "</div>", "<li>", "<a href='x'>", "</a>", "<br>", "<nav>", "</nav>"]
+    for _ in range(60):
+        page = "".join(r.choice(tags) if r.random() < 0.6 else " w" * r.randint(1, 4) + " " for _ in range(25))
+        seq = pieces(page)
+        v = scores(seq, WEIGHTS)
+        best = max([0.0, *(sum(v[i:j]) for i in range(len(v)) for j in range(i + 1, len(v) + 1))])
+        kept = len(extract(page, WEIGHTS).split())
+        a, b = best_stretch(v)
+        assert abs(sum(v[a:b]) - best) < 1e-9 and kept == sum(p.words for p in seq[a:b] if p.name is None and not p.out)
+
+
+def test_odd_tags_take_linear_time():
+    for page in ("<b>" * 200_000 + "words" + "</i>" * 200_000, "<b>" * 100_000 + "<br>" * 100_000, "<div class=sidebar>" * 50_000 + "some words here" + "</div>" * 50_000, "<p><b>" * 60_000 + "x", "<nav><article>" * 60_000 + "x"):
+        began = time.time()
+        extract(page, WEIGHTS)
+        assert time.time() - began < 10
