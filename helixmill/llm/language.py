@@ -5,11 +5,13 @@ match with a substring of that text; a letter that the text does not have is a p
 the language. Counts are normalised by the phrases that text of the language itself needs for as many letters, measured
 on labelled text that is not in the automaton; the language with the smallest ratio wins.
 
-Texts are reduced to lower-case letters and single spaces. A text is parsed whole, in pieces of PIECE letters at whose
-ends phrases end; pieces of many texts are walked through all automata at once, one letter in each step."""
+Texts are reduced to lower-case letters and single spaces. A text is parsed whole. Pieces of many texts are walked through all
+automata at once, one letter in each step; where a phrase runs over the end of a piece, the next piece is walked again
+from there until a phrase begins where one began before, from which on both parses are the same."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +26,18 @@ from .ctw import held_out
 SAMPLE_DOCS, SAMPLE_LETTERS = 400, 300
 #: Letters of a language's automaton, and as many to normalise by: the pieces of half the texts, with spaces between.
 LETTERS = SAMPLE_DOCS // 2 * (SAMPLE_LETTERS + 1)
+#: Letters that are walked at once; no result depends on it.
 PIECE = 2_048
+#: Letters whose steps lie in a dense table, the most frequent ones; steps by others are searched for.
+DENSE = 64
 SLICE_BYTES = 4 << 20
 
 
 def letters(text: str | None) -> str:
-    """Lower-case letters, with one space for whatever is between them."""
+    """Lower-case letters and the marks that follow them, with one space for whatever is between them."""
     import regex
 
-    return " ".join(regex.findall(r"[\p{L}\p{M}]+", (text or "").lower()))
+    return " ".join(regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower()))
 
 
 def piece(text: str, h: int) -> str:
@@ -43,7 +48,7 @@ def piece(text: str, h: int) -> str:
 
 
 class Automaton:
-    """The suffix automaton of a text as a table: next state by state and letter, -1 where there is none."""
+    """The suffix automaton of a text: for each state, the next one by letter."""
 
     def __init__(self, text: str, number: dict[str, int]):
         link, length, step = [-1], [0], [{}]
@@ -71,25 +76,41 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        self.table = np.full((len(step), len(number) + 1), -1, np.int32)  # the last column: a letter unknown to all
-        for i, s in enumerate(step):
-            self.table[i, list(s.keys())] = list(s.values())
+        self.steps = step
 
 
 class Model:
-    """Automata of all languages in one table, and phrases a letter by which each language's count is divided."""
+    """Automata of all languages in one, and phrases a letter by which each language's count is divided."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.names = sorted(texts)
         halves = {n: (" ".join(texts[n][0::2])[:LETTERS], texts[n][1::2] or texts[n]) for n in self.names}
-        alphabet = sorted(set("".join(a for a, _ in halves.values())) | {" "})
-        self.number = {c: i for i, c in enumerate(alphabet)}
-        tables = [Automaton(halves[n][0], self.number).table for n in self.names]
-        starts = np.cumsum([0, *(len(t) for t in tables)])
-        self.roots = starts[:-1].astype(np.int32)
-        self.table = np.concatenate([np.where(t >= 0, t + r, -1) for t, r in zip(tables, self.roots, strict=True)]).astype(np.int32) if tables else np.zeros((0, 1), np.int32)
-        self.width = len(alphabet) + 1
-        self.code = np.full(0x110000, len(alphabet), np.uint8 if self.width < 256 else np.uint16)
+        often = Counter(" ")
+        for a, _ in halves.values():
+            often.update(a)
+        alphabet = sorted(often, key=lambda c: (-often[c], c))
+        number = {c: i for i, c in enumerate(alphabet)}
+        self.width, self.dense = len(alphabet) + 1, min(len(alphabet), DENSE)  # the last letter is one unknown to all
+        automata = [Automaton(halves[n][0], number).steps for n in self.names]
+        starts = np.cumsum([0, *map(len, automata)], dtype=np.int64)
+        self.roots = starts[:-1]
+        self.table = np.full((int(starts[-1]), self.dense), -1, np.int32)
+        self.first = np.full((len(self.names), self.width), -1, np.int64)  # where each letter leads from the roots
+        keys, to = [], []
+        for r, steps in zip(self.roots.tolist(), automata, strict=True):
+            for i, step in enumerate(steps):
+                for c, t in step.items():
+                    if c < self.dense:
+                        self.table[r + i, c] = r + t
+                    else:
+                        keys.append((r + i) * self.width + c)
+                        to.append(r + t)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.to = np.array(keys, np.int64)[order], np.array(to, np.int64)[order]
+        for i, steps in enumerate(automata):
+            for c, t in steps[0].items():
+                self.first[i, c] = self.roots[i] + t
+        self.code = np.full(0x110000, len(alphabet), np.uint16)
         self.code[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
         self.rate = np.ones(len(self.names))
         for i, n in enumerate(self.names):
@@ -97,10 +118,38 @@ class Model:
             if other:
                 self.rate[i] = self.phrases([other])[0, i] / len(other)
 
+    def _next(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where the letters c (one for each row) lead from the states of a row; -1 where there is no step."""
+        to = self.table.ravel()[state * self.dense + np.minimum(c, self.dense - 1)[:, None]].astype(np.int64)
+        rare = np.flatnonzero(c >= self.dense)
+        if len(rare):
+            asked = state[rare] * self.width + c[rare, None]
+            at = np.searchsorted(self.keys, asked.ravel()).reshape(asked.shape)
+            there = at < len(self.keys)
+            there[there] = self.keys[at[there]] == asked[there]
+            to[rare] = -1
+            found = to[rare]
+            found[there] = self.to[at[there]]
+            to[rare] = found
+        return to
+
+    def _step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The next states, whether a phrase begins with this letter, whether one ends before it, and whether it is one itself."""
+        to = self._next(state, c)
+        cut = to < 0
+        ends = cut & (state != self.roots)
+        again = self.first[:, c].T
+        alone = cut & (again < 0)
+        return np.where(cut, np.where(again < 0, self.roots, again), to), cut | (state == self.roots), ends, alone
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text (row) by each language (column)."""
+        k = len(self.names)
+        out = np.zeros((len(texts), k), np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
-        code = self.code[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        if not k or not sizes.sum():
+            return out
+        code = self.code[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].astype(np.int64)
         ends = np.cumsum(sizes)
         pieces = -(-sizes // PIECE)
         owner = np.repeat(np.arange(len(texts)), pieces)
@@ -108,31 +157,65 @@ class Model:
         begin = (ends - sizes)[owner] + rank * PIECE
         length = np.minimum(sizes[owner] - rank * PIECE, PIECE)
         order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(rank > 0, place[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order]
         begin, length, owner = begin[order], length[order], owner[order]
-        k = len(self.names)
-        flat, roots = self.table.ravel(), self.roots[None, :]
-        state = np.repeat(roots, len(begin), 0).astype(np.int64)
+        steps = int(length[0])
+        live = np.searchsorted(-length, -np.arange(steps), "left")  # pieces longer than each step
+        follows = bool((before >= 0).any())  # only then are the places where phrases begin needed again
+        state = np.repeat(self.roots[None, :], len(begin), 0)
         count = np.zeros((len(begin), k), np.int64)
-        live = np.searchsorted(-length, -np.arange(PIECE), "left")  # pieces longer than each step
-        first = self.table[self.roots]  # where each letter leads from the roots
-        for t in range(int(length[0]) if len(length) else 0):
+        fresh, closed = [], []
+        for t in range(steps):
             m = live[t]
-            c = code[begin[:m] + t].astype(np.int64)
-            to = flat[state[:m] * self.width + c[:, None]]
-            cut = to < 0
-            if cut.any():
-                again = first[:, c].T
-                # an open phrase ends; the letter opens the next one, or is one by itself if the language lacks it
-                count[:m] += cut & (state[:m] != roots)
-                count[:m] += cut & (again < 0)
-                to = np.where(cut, np.where(again < 0, roots, again), to)
-            state[:m] = to
-        # the phrase that is open at a piece's end
-        count += (state != roots) if len(begin) else 0
-        out = np.zeros((len(texts), k), np.int64)
+            state[:m], new, done, alone = self._step(state[:m], code[begin[:m] + t])
+            count[:m] += done
+            if follows:
+                fresh.append(new)
+                closed.append(count[:m].astype(np.int32))
+            count[:m] += alone
+        if follows:
+            self._joined(code, begin, length, before, state, count, fresh, closed)
+        last = np.ones(len(begin), bool)
+        last[before[before >= 0]] = False
         np.add.at(out, owner, count)
+        np.add.at(out, owner[last], (state != self.roots)[last])
         return out
 
+    def _joined(self, code, begin, length, before, state, count, fresh, closed) -> None:
+        """Puts right the counts and last states of pieces that follow another one: each is walked again from the state in
+        which the one before it ends, until a phrase begins where one began in its own parse."""
+        own_state, own_count = state.copy(), count.copy()
+        todo = np.flatnonzero(before >= 0)
+        while len(todo):
+            lane, now = todo, state[before[todo]]
+            ended = np.zeros(now.shape, np.int64)
+            active = np.ones(now.shape, bool)
+            old = state[todo].copy()
+            t = 0
+            while len(lane):
+                over = length[lane] <= t
+                if over.any():
+                    rows = lane[over]
+                    state[rows] = np.where(active[over], now[over], state[rows])
+                    count[rows] = np.where(active[over], ended[over], count[rows])
+                    lane, now, ended, active = lane[~over], now[~over], ended[~over], active[~over]
+                    continue
+                now, new, done, alone = self._step(now, code[begin[lane] + t])
+                ended += done
+                same = active & new & fresh[t][lane]
+                if same.any():
+                    state[lane] = np.where(same, own_state[lane], state[lane])
+                    count[lane] = np.where(same, ended + own_count[lane] - closed[t][lane], count[lane])
+                    active &= ~same
+                    go = active.any(1)
+                    lane, now, ended, active, alone = lane[go], now[go], ended[go], active[go], alone[go]
+                ended += alone
+                t += 1
+            changed = todo[(state[todo] != old).any(1)]
+            todo = np.flatnonzero(np.isin(before, changed)) if len(changed) else changed
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language of each reduced text (`und` if it is empty) and how far it leads: 0 for a tie, towards 1."""
         ratio = self.phrases(texts) / (self.rate * np.maximum([[len(t)] for t in texts], 1))

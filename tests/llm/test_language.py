@@ -2,20 +2,18 @@ import random
 
 import pytest
 from helixmill.llm import language
-from helixmill.llm.language import PIECE, Model, evaluate, fit, letters, predict
+from helixmill.llm.language import Model, evaluate, fit, letters, predict
 
 
 def phrases(text, known):
-    """Greedy longest-match phrases, piece by piece."""
-    n = 0
-    for at in range(0, len(text), PIECE):
-        piece, i = text[at : at + PIECE], 0
-        while i < len(piece):
-            j = i + 1
-            while j <= len(piece) and piece[i:j] in known:
-                j += 1
-            i = max(j - 1, i + 1)
-            n += 1
+    """Greedy longest-match phrases of the whole text."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in known:
+            j += 1
+        i = max(j - 1, i + 1)
+        n += 1
     return n
 
 
@@ -60,3 +58,22 @@ def test_all_sampled_texts_teach_beyond_a_shared_opening(spark, monkeypatch):
     own = sum(not set(t) - set("abcdefgh ") for t in taught["x"])
     assert own > 30
     assert len(" ".join(["z" * language.SAMPLE_LETTERS] * (language.SAMPLE_DOCS // 2))) <= language.LETTERS
+
+
+@pytest.mark.parametrize("dense", [64, 2])
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 2048])
+def test_pieces_change_nothing(monkeypatch, size, dense):
+    monkeypatch.setattr(language, "PIECE", size)
+    monkeypatch.setattr(language, "DENSE", dense)
+    r = random.Random(size)
+    loop = "abcde" * 60
+    model = Model({"x": [loop, loop, loop], "y": ["".join(r.choice("abc de") for _ in range(150)) for _ in range(4)]})
+    known = [" ".join({"x": [loop, loop], "y": None}["x"])[: language.LETTERS]]
+    asked = [loop[3:90] + "z" + loop[:40], loop, "".join(r.choice("abcde z") for _ in range(200)), "e" * 30, "", "a"]
+    assert [x[0] for x in model.phrases(asked).tolist()] == [phrases(t, known[0]) for t in asked]
+
+
+def test_marks_alone_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en"), (2, "\u0301\u0302 \u0301", None), (3, "12 \u0301!", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(docs, fit(docs)).collect()}
+    assert got[2] == got[3] == ("und", 0.0) and got[1][0] == "en"
