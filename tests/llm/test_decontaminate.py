@@ -1,7 +1,7 @@
 import random
 import re
 
-from helixmill.llm.decontaminate import containments, minwise, probes_for
+from helixmill.llm.decontaminate import MISS, clean, containments, functions_for, minwise
 
 
 def shingles(t, k=5):
@@ -48,11 +48,42 @@ def test_empty(spark):
     assert containments(items.withColumnRenamed("item_id", "doc_id"), items.limit(0)).count() == 0
 
 
-def test_probes():
+def test_functions():
+    import math
+
     import numpy as np
 
-    assert probes_for(1, 0.8) == 1 and probes_for(1000, 0.8) <= 16
-    assert len(minwise(np.arange(100, dtype=np.uint64), 12)) <= 12
+    for size in (1, 5, 16):
+        assert functions_for(size, 0.8) == (size, math.ceil(0.8 * size))
+    for size in (17, 40, 300, 100_000):
+        n, need = functions_for(size, 0.8)
+        assert sum(math.comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(need)) <= MISS
+        assert need > 1 and n > functions_for(size // 4, 0.8)[0] - 1
+    probes, chosen = minwise(np.arange(100, dtype=np.uint64), 12)
+    assert len(probes) <= 12 and chosen.sum() == 12
+
+
+def test_clean_and_clashing_names(spark):
+    item = "one two three four five six seven eight"
+    docs = [(1, "x " + item + " y", "a"), (2, "nothing of it", "b"), (None, None, "c"), (3, "", "d"), (2, "nothing of it", "b"), (4, item.upper(), "e")]
+    df = spark.createDataFrame(docs, "item_id long, text string, item string")
+    bench = spark.createDataFrame([(9, item), (10, None)], "item_id long, text string")
+    assert sorted(map(str, clean(df, bench).collect())) == sorted(map(str, df.filter("item not in ('a', 'e')").collect()))
+    got = containments(df, bench, key="item_id")
+    assert got.columns == ["item_id", "item", "containment"] and {(r.item_id, r["item"]) for r in got.collect()} == {(1, 9), (4, 9)}
+    assert clean(df.limit(0), bench).count() == 0 and clean(df, bench.limit(0)).count() == len(docs)
+
+
+def test_blocks_of_items_lose_nothing(spark, monkeypatch):
+    from helixmill.llm import decontaminate
+
+    r = random.Random(5)
+    items = [(i, " ".join(f"v{r.randint(0, 500)}" for _ in range(r.choice([4, 9, 40, 120])))) for i in range(30)]
+    docs = [(i, "a b " + t + " c d") for i, t in items]
+    want = brute(docs, items)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 800)
+    got = containments(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id, round(x.containment, 9)) for x in got.collect()} == want
 
 
 def test_table(spark):
