@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,5 +36,9 @@ def hash_unit(*of: Column) -> Column:
     return F.pmod(F.xxhash64(*of, F.lit(20260102)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def batches_of(frame: DataFrame) -> Iterator[pa.RecordBatch]:
-    yield from frame.toArrow().to_batches()
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -14,6 +14,7 @@ compared in blocks. Links are confirmed on the full shingle sets."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .components import components
+from .features import unused
 from .stage import partitions, written, written_by
 
 POSITIONS = 64
@@ -30,9 +32,11 @@ TREES, BRANCHES = 3, 2
 #: Classes in a node that is compared exhaustively.
 SMALL = 2048
 DEEPEST = 10
-#: Of the signature's positions that must agree before a pair is confirmed on full sets, as a share of the threshold's:
-#: 4.5 standard deviations below 0.85 at 64 positions.
-SLACK = 0.20
+#: Chance that a pair at the threshold agrees in fewer positions of the signature than are asked for before full sets are
+#: compared.
+MISS = 1e-9
+#: Shingles of a group whose full sets are compared in one task at once; larger groups are cut into pairs of blocks.
+GROUP_SHINGLES = 4 << 20
 #: Classes whose ids are broadcast when their texts are looked up; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Pivots whose signatures are broadcast (300 bytes each); more are joined by a shuffle.
@@ -44,6 +48,18 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def least_agreeing(percent: int, positions: int = POSITIONS, miss: float = MISS) -> int:
+    """The largest number of positions that a pair at the threshold falls short of with a chance of at most `miss`: positions
+    agree independently, each with the pair's similarity."""
+    p, below, least = percent / 100, 0.0, 0
+    while least < positions:
+        below += math.comb(positions, least) * p**least * (1 - p) ** (positions - least)
+        if below > miss:
+            break
+        least += 1
+    return least
+
+
 def _class_of(s: np.ndarray) -> bytes:
     """128 bits of a set of hashes."""
     a = int(np.add.reduce(textvec.mix(s)))
@@ -218,7 +234,7 @@ class NearDedup:
         kind = docs.schema["key"].dataType.simpleString()
         sketches = written(docs.mapInArrow(_sketch(self.k), f"key {kind}, tid long, n_shingles long, cls string, signature array<int>"))
         # signatures are asked for by class at every level: in buckets they stay where they are
-        classes = sketches.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("low"), F.first("tid").alias("tid"), F.first("signature").alias("signature"))
+        classes = sketches.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("low"), F.first("tid").alias("tid"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
         classes = written_by(classes, "cls", partitions(docs.sparkSession))
         roots = components(self._links(docs, classes))
         members = classes.select("cls", "low").join(roots.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -229,14 +245,21 @@ class NearDedup:
         return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"), F.col("tid").alias("text_hash"))
 
     def keep(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """One row of each component, with its columns: that of the smallest key, and of rows that repeat it one."""
-        found = self(docs, key, text).filter("kept").select(F.col(key).alias("_key"), F.col("text_hash").alias("_tid"))
-        found = written(found)
-        same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_tid"))
-        rows = docs.join(found, same, "left_semi")
-        if not found.groupBy("_key").count().filter("count > 1").isEmpty():
-            rows = rows.withColumn("_tid", F.xxhash64(text)).dropDuplicates([key, "_tid"]).drop("_tid")
-        return rows
+        """One row of each component, with its columns: that of the smallest key, and of rows that repeat it one. Rows without
+        shingles all stay. Only ids of rows that go are joined to the documents."""
+        k, t = unused(docs, "near_key"), unused(docs, "near_hash")
+        found = written(self(docs, key, text).select(F.col(key).alias(k), F.col("text_hash").alias(t), "kept", "n_shingles"))
+        named = docs.withColumns({k: F.col(key), t: F.xxhash64(text)})
+
+        def match(other: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+            other = other.select(F.col(k).alias(f"{k}_"), F.col(t).alias(f"{t}_"))
+            return rows.join(other, F.col(k).eqNullSafe(F.col(f"{k}_")) & (F.col(t) == F.col(f"{t}_")), how)
+
+        rows = match(found.filter("not kept").select(k, t).distinct(), "left_anti", named)
+        twice = written(found.filter("kept and n_shingles > 0").groupBy(k, t).count().filter("count > 1").select(k, t))
+        if not twice.isEmpty():
+            rows = match(twice, "left_anti", rows).union(match(twice, "left_semi", rows).dropDuplicates([k, t]))
+        return rows.drop(k, t)
 
     def _links(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """Confirmed links between classes, enough to connect whatever links connect."""
@@ -294,7 +317,7 @@ class NearDedup:
         return pairs.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("node"), "cls", "label")
 
     def _least(self) -> int:
-        return int(np.ceil(POSITIONS * (self.percent / 100 - SLACK)))
+        return least_agreeing(self.percent)
 
     def _compared(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
         full = rows.join(classes.select("cls", "signature"), "cls").repartition("node").sortWithinPartitions("node", "cls")
@@ -322,6 +345,14 @@ class NearDedup:
     def _confirmed(self, groups: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """Links (a, b) that connect what is linked within each group, by full shingle sets taken from the texts."""
         groups = written(groups)
+        sizes = groups.join(classes.select("cls", "n"), "cls").groupBy("grp").agg(F.ceil(2 * F.sum("n") / GROUP_SHINGLES).cast("int").alias("blocks"))
+        large = written(sizes.filter("blocks > 2"))
+        if not large.isEmpty():
+            # each pair of a large group meets in a pair of its blocks
+            own = F.pmod(F.xxhash64("cls"), "blocks").cast("int")
+            cut = groups.join(large, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            cut = cut.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"), F.lit("cut")).alias("grp"), "cls")
+            groups = written(groups.join(large, "grp", "left_anti").union(cut))
         wanted = written(groups.select("cls").distinct().join(classes.select("cls", "tid"), "cls"))
         k = self.k
 

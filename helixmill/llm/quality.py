@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import textvec
-from .features import hash_unit, labelled_sample, ngrams
+from .features import hash_unit, labelled_sample, ngrams, unused
 from .stage import written
 
 BITS = 16
@@ -146,6 +146,8 @@ class ImportanceResampling:
         last = self._last(written(self._drawn(docs.select(key, text), key, text).select("log_weight", "gumbel")))
         if last is None:
             return docs.limit(0)
-        names = {"n_words": "_n_words", "log_weight": "_log_weight", "gumbel": "_gumbel"}
+        made = ("n_words", "log_weight", "gumbel")
+        # columns of these names are put aside under names that no column has
+        names = {c: unused(docs, f"aside_{c}") for c in docs.columns if c.lower() in made}
         hidden = docs.withColumnsRenamed(names)
-        return self._drawn(hidden, key, text).filter(fixed("gumbel") >= last).drop("n_words", "log_weight", "gumbel").withColumnsRenamed({v: k for k, v in names.items()})
+        return self._drawn(hidden, names.get(key, key), names.get(text, text)).filter(fixed("gumbel") >= last).drop(*made).withColumnsRenamed({v: k for k, v in names.items()})

@@ -72,3 +72,37 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)] + [(200, i) for i in range(201, 260)]
     got = {r.vertex: r.root for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100} | {i: 200 for i in range(201, 260)}
+
+
+def test_keep(spark):
+    r = random.Random(3)
+    base = [" ".join(r.choice("abcdefgh") + str(r.randint(0, 60)) for _ in range(60)) for _ in range(6)]
+    rows = [(i, t, f"{i}") for i, t in enumerate(base)] + [(100 + i, t + " more", "copy") for i, t in enumerate(base[:4])]
+    rows += [(0, base[0], "0"), (None, None, "n"), (None, None, "n"), (7, "", "e"), (None, base[5], "null key")]
+    docs = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, _key string, near_key int, Near_Hash int")
+    got = NearDedup(5, 80).keep(docs)
+    assert got.columns == docs.columns
+    want = [*map(str, range(6)), "n", "n", "e"]
+    assert sorted(x["_key"] for x in got.collect()) == sorted(want)
+    assert NearDedup().keep(docs.limit(0)).count() == 0
+
+
+def test_large_groups_are_cut_and_lose_no_link(spark, monkeypatch):
+    from helixmill.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "GROUP_SHINGLES", 300)
+    rows = list(enumerate(texts(2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in NearDedup(3, 85)(docs).collect()} == brute(rows, 3, 85)
+
+
+def test_least_agreeing():
+    import math
+
+    from helixmill.llm.near_dedup import MISS, POSITIONS, least_agreeing
+
+    for percent in (50, 80, 85, 99):
+        p = percent / 100
+        tail = [sum(math.comb(POSITIONS, i) * p**i * (1 - p) ** (POSITIONS - i) for i in range(n)) for n in range(POSITIONS + 1)]
+        n = least_agreeing(percent)
+        assert tail[n] <= MISS < tail[n + 1]
