@@ -28,6 +28,8 @@ from . import stage
 from .textvec import slices
 
 BLOCK_BYTES = 24 << 20
+#: Encoded pre-tokens that a task holds (about 150 bytes each).
+KNOWN = 2_000_000
 #: A vocabulary is broadcast; a larger one than this is refused.
 MAX_VOCABULARY = 2_000_000
 
@@ -128,7 +130,8 @@ def _blocks(pattern: str, n_parts: int, key: str, text: str):
 
 
 def _encoded(ranks: Broadcast):
-    """Rows of one pre-token are all in one task, which encodes it when it first comes."""
+    """Rows of one pre-token are all in one task, which encodes it when it first comes. At most KNOWN encoded pre-tokens are
+    held; then they are forgotten and encoded anew when they come again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = ranks.value, {}
@@ -141,6 +144,8 @@ def _encoded(ranks: Broadcast):
                     start += n
                     ids = seen.get(w)
                     if ids is None:
+                        if len(seen) >= KNOWN:
+                            seen.clear()
                         ids = seen[w] = np.array(merge(w, table), np.uint32).tobytes()
                     out.append(ids)
                 yield pa.RecordBatch.from_pydict({"block": [block], "part": pa.array([part], pa.int32()), "ids": [_pack(out)]})
