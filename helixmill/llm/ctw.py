@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import stage, textvec
 
 DEPTH = 5
+#: Blocks whose lists for one part are added up in one task, and answered in one.
+FAN = 64
 BLOCK_BYTES = 4 << 20
 _PAD, _GAP = 0x0A, 0x20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -278,8 +280,8 @@ class _Sums:
     def __init__(self):
         self.keys, self.counts, self.waiting = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
 
-    def add(self, packed: bytes) -> None:
-        k, c = _unpack(packed)
+    def add(self, packed: bytes, kind: type = np.uint32) -> None:
+        k, c = _unpack(packed, kind)
         self.keys.append(k)
         self.counts.append(c.astype(np.int64))
         self.waiting += len(k)
@@ -292,22 +294,41 @@ class _Sums:
         return k, c
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, grams, words, tokens, known, nodes): all counts of a part, and what its subtrees give the upper nodes."""
-    sums: dict[int, tuple[_Sums, _Sums]] = {}
+def _summed(batches: Iterator[pa.RecordBatch], by: list[str], kind: type) -> Iterator[tuple[int, _Sums, _Sums]]:
+    """Part, grams and words of each run of rows that agree in `by`, one run at a time: rows come sorted."""
+    key, g, w = None, _Sums(), _Sums()
     for batch in batches:
-        for part, g, w in zip(*(batch.column(c).to_pylist() for c in ("part", "g", "w")), strict=True):
-            both = sums.setdefault(part, (_Sums(), _Sums()))
-            for packed, s in zip((g, w), both, strict=True):
+        for *own, gs, ws in zip(*(batch.column(c).to_pylist() for c in (*by, "g", "w")), strict=True):
+            if own != key:
+                if key is not None:
+                    yield key[0], g, w
+                key, g, w = own, _Sums(), _Sums()
+            for packed, s in ((gs, g), (ws, w)):
                 if packed is not None:
-                    s.add(packed)
-    for part, (g, w) in sums.items():
-        (gk, gc), (wk, wc) = g.end(), w.end()
-        top = Subtrees(gk, gc).top().to_pylist()
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([part], pa.int32()), "grams": [_pack(gk, gc)], "words": [_pack(wk, wc)],
-            "tokens": [int(wc.sum())], "known": [int((wc > 0).sum())], "nodes": pa.array([top], pa.list_(_NODE)),
-        })
+                    s.add(packed, kind)
+    if key is not None:
+        yield key[0], g, w
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, g, w): the lists of a part from some FAN blocks as one list each."""
+    for part, g, w in _summed(batches, ["part", "salt"], np.uint32):
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_pack(*g.end())]), pa.array([_pack(*w.end())])], ["part", "g", "w"])
+
+
+def _totals(kind: type):
+    """(part, grams, words, tokens, known, nodes): all counts of a part, and what its subtrees give the upper nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, g, w in _summed(batches, ["part"], kind):
+            (gk, gc), (wk, wc) = g.end(), w.end()
+            top = Subtrees(gk, gc).top().to_pylist()
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "grams": [_pack(gk, gc)], "words": [_pack(wk, wc)],
+                "tokens": [int(wc.sum())], "known": [int((wc > 0).sum())], "nodes": pa.array([top], pa.list_(_NODE)),
+            })
+
+    return run
 
 
 _NODE = pa.struct([("node", pa.int64()), ("zeros", pa.int64()), ("ones", pa.int64()), ("log_p", pa.float64())])
@@ -389,13 +410,21 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     schema = "block long, row_ids array<string>, held array<boolean>, texts array<string>, grams array<binary>, words array<binary>"
     blocks = stage.written_by(rows.mapInArrow(_blocks(parts, BLOCK_BYTES), schema), "block", parts)
     lists = blocks.select("block", F.posexplode(F.arrays_zip(F.col("grams").alias("g"), F.col("words").alias("w"))).alias("part", "x")).select("block", "part", "x.g", "x.w").filter("g is not null or w is not null")
-    sums = stage.written(lists.select("part", "g", "w").repartition(parts, "part").mapInArrow(_added, _SUMS))
+    n_blocks = blocks.count()
+    salts = -(-n_blocks // FAN)
+    salt = F.pmod(F.xxhash64("block"), F.lit(max(salts, 1))).cast("int").alias("salt")
+    given, counts = lists.select("part", "g", "w"), np.uint32
+    if salts > 1:  # a part's lists are added up in several tasks first, so that no task reads those of all blocks
+        given = lists.select("part", salt, "g", "w").repartition(parts, "part", "salt").sortWithinPartitions("part", "salt").mapInArrow(_added_up, "part int, g binary, w binary")
+        counts = np.int64
+    sums = stage.written(given.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_totals(counts), _SUMS))
     tokens, known = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     ends = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     nodes = sums.select(F.explode("nodes").alias("x")).groupBy("x.node").agg(F.sum("x.zeros"), F.sum("x.ones"), F.sum("x.log_p")).toArrow()  # fewer than 65,536 rows
     upper = spark.sparkContext.broadcast(Upper(*(nodes.column(i).to_numpy() for i in range(4))))
-    model = sums.select(F.lit(-1).cast("long").alias("block"), "part", F.col("grams").alias("g"), F.col("words").alias("w"), F.lit(0).alias("first"))
-    asked = model.union(lists.select("block", "part", "g", "w", F.lit(1))).repartition(parts, "part").sortWithinPartitions("part", "first")
+    each = F.explode(F.sequence(F.lit(0), F.lit(max(salts, 1) - 1))).alias("salt")  # every task that answers for a part has its model
+    model = sums.select(F.lit(-1).cast("long").alias("block"), "part", each, F.col("grams").alias("g"), F.col("words").alias("w"), F.lit(0).alias("first"))
+    asked = model.union(lists.select("block", "part", salt, "g", "w", F.lit(1))).repartition(parts, "part", "salt").sortWithinPartitions("part", "salt", "first")
     answers = asked.mapInArrow(_answers(upper), "block long, part int, g binary, w binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "g", "w")).alias("lists"))
     both = blocks.select("block", "row_ids", "held", "texts").join(answers, "block", "left")
