@@ -92,14 +92,13 @@ def _barred(name: str, attrs: str, in_content: bool) -> tuple[bool, bool]:
 
 def pieces(page: str) -> list[Piece]:
     """Tags and texts in page order. An end tag closes the nearest open element of its name; <article> and <main> end
-    whatever unclosed element would bar them. The page is walked twice: first with nothing barred, to find which marked
-    elements are wrappers, then with these spared."""
-    out, held = _walk(page, None)
+    whatever unclosed element would bar them. A page in which marked elements are found to be wrappers is walked again,
+    with these spared."""
+    out, held = _walk(page, set())
     content = sum(p.words for p in out if p.name is None and p.inside)
     half = (content or sum(p.words for p in out if p.name is None)) / 2
-    if not held:
-        return out
-    return _walk(page, {at for at, (words, within) in held.items() if words > half and (within or not content)})[0]
+    wraps = {at for at, (words, within) in held.items() if words > half and (within or not content)}
+    return _walk(page, wraps)[0] if wraps else out
 
 
 class _Open:
@@ -134,9 +133,9 @@ class _Open:
         self.base, self.barred = len(self.stack), 0
 
 
-def _walk(page: str, spared: set[int] | None) -> tuple[list[Piece], dict[int, tuple[int, bool]]]:
-    """The pieces of a page if the tags at `spared` bar nothing (None: if none bars anything, and then, for each tag that may
-    bar and may be a wrapper, the words that it holds and whether it is within <article> or <main>)."""
+def _walk(page: str, spared: set[int]) -> tuple[list[Piece], dict[int, tuple[int, bool]]]:
+    """The pieces of a page if the tags at `spared` bar nothing; and for each tag that bars and may be a wrapper, the words
+    that it holds and whether it is within <article> or <main>."""
     out: list[Piece] = []
     held: dict[int, tuple[int, bool]] = {}
     marked: dict[int, bool] = {}
@@ -145,21 +144,18 @@ def _walk(page: str, spared: set[int] | None) -> tuple[list[Piece], dict[int, tu
 
     def close() -> str:
         name, bar, before = at.pop()
-        if spared is None and bar in marked:
+        if bar in marked:
             held[bar] = words - before, marked[bar]
         return name
 
-    def barring() -> bool:
-        return spared is not None and at.barred > 0
-
     for m in _TOKEN.finditer(page):
         if m["math"] is not None or m["text"] is not None:
-            out.append(Piece(None, False, m["text"] if m["math"] is None else _UNSHOWN.sub("", m["math"]), barring(), at.content > 0))
+            out.append(Piece(None, False, m["text"] if m["math"] is None else _UNSHOWN.sub("", m["math"]), at.barred > 0, at.content > 0))
             words += out[-1].words
         elif (name := m["name"]) is not None:
             name = name.lower()
             if m["close"]:
-                out.append(Piece(name, True, "", barring(), at.content > 0))
+                out.append(Piece(name, True, "", at.barred > 0, at.content > 0))
                 if at.count[name]:
                     while close() != name:
                         pass
@@ -172,14 +168,14 @@ def _walk(page: str, spared: set[int] | None) -> tuple[list[Piece], dict[int, tu
             if name in CONTENT:
                 at.unbar()
             bar, mark = _barred(name, m["attrs"], at.content > 0)
-            bar = bar and (spared is None or m.start() not in spared)
+            bar = bar and m.start() not in spared
             if name not in VOID and not m["attrs"].endswith("/"):
                 if bar and (name in WRAPS or (name not in NEVER and name != "header")):
                     marked[m.start()] = at.content > 0
                 at.push(name, m.start() if bar else None, words)
-            out.append(Piece(name, False, "", barring(), at.content > 0, mark))
+            out.append(Piece(name, False, "", at.barred > 0, at.content > 0, mark))
         else:
-            out.append(Piece(m["raw"].lower() if m["raw"] else "other", False, "", barring(), at.content > 0))
+            out.append(Piece(m["raw"].lower() if m["raw"] else "other", False, "", at.barred > 0, at.content > 0))
     while at.stack:
         close()
     return out, held
