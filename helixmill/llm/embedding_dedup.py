@@ -9,7 +9,9 @@ Vectors with the same components form a class; the graph is over classes.
    repeats until few entries change.
 3. Every comparison that reaches the threshold is kept as an edge, whether or not it fits a list. Edges give components.
    A list whose entries all reach the threshold is saturated: it may lack links. Such lists are enlarged to the whole
-   component: its members are compared exhaustively, in blocks, which gives the exact number of links inside it.
+   component, which gives the exact number of links inside it. Members of a large component are put into rings by their
+   angle to its root vector: by the triangle inequality members of two rings near the root are all linked, those of rings far apart
+   are not, and only the others are compared, in blocks. So a dense group costs a count, not all its pairs.
 4. Audit: the links of some classes, drawn by a hash from strata of classes with about as many found links (most from those
    with none), are counted against all vectors. Recall is a mean over classes, taken apart for classes with few and with many
    true links; the least mean counts, so that no dense group speaks for pairs. If it is too low, lists are made longer and
@@ -37,6 +39,8 @@ NEIGHBOURS = 12
 TABLES, MISS = 8, 1e-3
 #: Classes in a cell on average, at most; in a block of a large cell, and in a block of a component.
 CELL, BLOCK = 128, 256
+#: Rings within the threshold's angle, and what angles may be wrong by.
+RINGS, ERROR = 16, 1e-6
 ROUNDS = 4  # of the descent, at most, in each attempt
 SETTLED = 0.01  # share of list entries that change
 #: Audited classes: of those without a found link, and of each other stratum.
@@ -244,12 +248,44 @@ class EmbeddingDedup:
     def _links(self, classes: DataFrame, roots: DataFrame) -> DataFrame:
         """(cls, n): rows of other classes linked with a class, for all classes in components of several classes."""
         all_of = roots.select(F.col("vertex").alias("cls"), "root").union(roots.select(F.col("root").alias("cls"), "root").distinct())
-        size = all_of.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        rows = all_of.join(size, "root").join(classes.select("cls", "vec", "copies"), "cls")
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select(F.concat_ws("/", "root", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "cls", "vec", "copies", "own", "other")
+        members = written(all_of.join(classes.select("cls", "vec", "copies"), "cls"))
+        large = members.groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK).select("root")
+        names = ["grp", "cls", "vec", "copies", "own", "other"]
+        few = members.join(large, "root", "left_anti").select(F.col("root").alias("grp"), "cls", "vec", "copies", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("other"))
+        ringed = self._ringed(members.join(large, "root", "left_semi"), classes)
+        rows = few.union(ringed.select(*names[:5], F.explode("others").alias("other")).withColumn("grp", F.concat_ws("/", "grp", F.least("own", "other"), F.greatest("own", "other"))))
         found = rows.repartition("grp").sortWithinPartitions("grp", "cls").mapInArrow(_block_links(self.kind, self.threshold), "cls string, n long")
-        return found.groupBy("cls").agg(F.sum("n").alias("n"))
+        return found.union(ringed.select("cls", "sure")).groupBy("cls").agg(F.sum("n").alias("n"))
+
+    def _ringed(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+        """members with own (ring and block), others (the blocks that they are compared with) and sure: rows of other classes
+        in rings that need no comparison."""
+        kind, angle = self.kind, math.acos(min(1.0, max(-1.0, self.threshold)))
+        width = max(angle, 1e-3) / RINGS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, y = (_unit(batch.column(c).to_pylist(), kind) for c in ("vec", "at"))
+                ring = np.floor(np.arccos(np.clip((x * y).sum(1), -1, 1)) / width).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "cls", "vec", "copies")), pa.array(ring)], ["root", "cls", "vec", "copies", "ring"])
+
+        near = members.join(classes.select(F.col("cls").alias("root"), F.col("vec").alias("at")), "root")
+        rings = written(near.mapInArrow(run, "root string, cls string, vec binary, copies long, ring int"))
+        sizes = rings.groupBy("root", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.sum("copies").alias("copies"))
+        # at most pi / width rings for each large component
+        by_root = sizes.groupBy("root").agg(F.collect_list(F.struct("ring", "blocks", F.col("copies").alias("rows"))).alias("rings"))
+        rows = rings.join(by_root, "root").join(sizes.select("root", "ring", "blocks"), ["root", "ring"])
+        linked = lambda r: (F.col("ring") + r + 2) * width <= angle - ERROR
+        apart = lambda r: (F.abs(F.col("ring") - r) - 1) * width > angle + ERROR
+        code = lambda ring, block: F.shiftleft(ring.cast("long"), 32) + block
+        sure = F.aggregate(F.filter("rings", lambda b: linked(b.ring)), F.lit(0).cast("long"), lambda acc, b: acc + b.rows)
+        sure = sure - F.when(linked(F.col("ring")), F.col("copies")).otherwise(0)
+        asked = F.filter("rings", lambda b: ~linked(b.ring) & ~apart(b.ring))
+        others = F.flatten(F.transform(asked, lambda b: F.transform(F.sequence(F.lit(0), b.blocks - 1), lambda v: code(b.ring, v))))
+        own = code(F.col("ring"), F.pmod(F.xxhash64("cls"), "blocks"))
+        return written(rows.select(F.col("root").alias("grp"), "cls", "vec", "copies", own.alias("own"), others.alias("others"), sure.alias("sure")))
 
     def _audit(self, classes: DataFrame, links: DataFrame, n: int) -> float:
         """The least, over classes with few to many true links, of the mean share of a class's true links that has been found."""

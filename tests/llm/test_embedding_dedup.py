@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from helixmill.llm import embedding_dedup
 from helixmill.llm.embedding_dedup import EmbeddingDedup
+from pyspark.sql import functions as F
 
 
 def brute(rows, threshold=0.9):
@@ -73,3 +74,25 @@ def test_no_links_below_the_target(spark, monkeypatch):
     rows = [(i, [1.0, float(i)]) for i in range(4)]
     with pytest.raises(RuntimeError, match="recall"):
         EmbeddingDedup()(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+
+
+@pytest.mark.parametrize("noise", [0.005, 0.12, 0.3])
+def test_links_of_a_large_component_are_exact(spark, noise):
+    """All of it near the root, about the threshold apart, and mostly apart."""
+    r = np.random.default_rng(3)
+    base = r.standard_normal(8)
+    x = (base + noise * np.linalg.norm(base) * r.standard_normal((700, 8))).astype("<f4")
+    rows = [(f"{i:04d}", bytearray(v.tobytes()), 1 + i % 3) for i, v in enumerate(x)]
+    op = EmbeddingDedup()
+    op.kind = "<f4"
+    classes = spark.createDataFrame(rows, "cls string, vec binary, copies long")
+    roots = spark.createDataFrame([(c, "0000") for c, *_ in rows[1:]], "vertex string, root string")
+    got = {g.cls: g.n for g in op._links(classes, roots).collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    want = linked @ np.array([c for *_, c in rows])
+    assert [got[f"{i:04d}"] for i in range(700)] == want.tolist()
+    sure = op._ringed(classes.withColumn("root", F.lit("0000")), classes)
+    if noise == 0.005:
+        assert sure.filter("size(others) > 0").isEmpty()
