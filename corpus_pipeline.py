@@ -45,6 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: doc_id, n_tokens, ids, ids_sha256 and decoded_sha256 of each document that all stages keep.
+
+    Null and empty texts have no words: they are kept or dropped as the quality model's cut says for a log weight of 0, link
+    with nothing, contain no item and have no ids. Repeated rows get the same verdicts, and near dedup keeps one of them;
+    null ids are ids like others. Other columns, whatever their names, pass through all stages but the last. Empty tables
+    give no rows."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
