@@ -188,3 +188,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.running_hits(arriving, ix, shape).writeStream.format("memory").queryName("hits").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.taxid, r.hits) for r in spark.table("hits").collect()} == {(r.taxid, r.hits) for r in stream.running_hits(all_of, ix, shape).collect()}
+
+
+def test_inner_support_goes_to_the_first_leaf_that_agrees(spark):
+    from helixmill.operators import classify
+
+    closed = taxonomy.closure(spark.createDataFrame([(1, 1), (10, 1), (11, 1), (2, 10), (3, 10), (4, 11)], "id int, parent_id int"))
+    schema = "read string, pos int, taxid int, gene_id int, gene_pos int"
+    leaf = spark.createDataFrame([("r", 0, 3, 1, 50), ("r", 4, 2, 1, 54), ("r", 5, 4, 1, 55), ("r", 6, 2, 2, 90)], schema)
+    # agrees with 3 and 2 (3 comes first in the read); wrong offset; another gene; reverse offset of gene 2; no ancestor of any
+    inner = spark.createDataFrame([("r", 7, 10, 1, 57), ("r", 8, 10, 1, 70), ("r", 9, 10, 3, 59), ("r", 10, 1, 2, 86), ("r", 11, 12, 1, 61)], schema)
+    got = classify.inner_support(inner, classify.fold_offsets(leaf, "read"), closed, "read").collect()
+    assert {(r.taxid, r.gene_id, r.inner) for r in got} == {(3, 1, 1), (2, 2, 1)}
