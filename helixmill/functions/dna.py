@@ -101,3 +101,35 @@ def pack_value(taxid: Column | str, gene: Column | str, pos: Column | str, gene_
 def unpack_value(value: Column | str, gene_bits: int, pos_bits: int) -> tuple[Column, Column, Column]:
     v = col(value)
     return F.shiftrightunsigned(v, gene_bits + pos_bits), F.shiftrightunsigned(v, pos_bits).bitwiseAND((1 << gene_bits) - 1), v.bitwiseAND((1 << pos_bits) - 1)
+
+
+def pack_node(taxid: Column | str, gene: Column | str) -> Column:
+    """A node of a read's tree as one long: the taxon in the high 32 bits, the gene (or 0) in the low ones."""
+    return pack_value(taxid, gene, F.lit(0), 32, 0)
+
+
+def unpack_node(node: Column | str) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(col(node), 32).cast("int"), col(node).bitwiseAND((1 << 32) - 1).cast("int")
+
+
+def digits(s: Column | str) -> Column:
+    """A digit from 0 to 3 for each of the letters A, C, G and T."""
+    return F.translate(col(s), BASES, "0123")
+
+
+def dna_to_bytes(s: Column | str) -> Column:
+    """Four bases a byte, the first in the highest bits, as binary; a last byte with fewer bases ends in zero bits. Letters
+    other than A, C, G and T give null."""
+    pairs = F.when(col(s).rlike("^[ACGT]*$"), digits(s))
+    filled = F.rpad(pairs, (F.ceil(F.length(pairs) / 4) * 4).cast("int"), F.lit("0"))
+    byte = lambda i: F.lpad(F.conv(F.substring(filled, i * 4 + 1, F.lit(4)), 4, 16), 2, "0")
+    whole = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(filled) / 4).cast("int") - 1)), byte)
+    return F.when(F.length(pairs) == 0, F.unhex(F.lit(""))).when(pairs.isNotNull(), F.unhex(F.array_join(whole, "")))
+
+
+def bytes_to_dna(b: Column | str, length: Column | str) -> Column:
+    """The first `length` bases of packed bytes."""
+    h = F.hex(col(b))
+    byte = lambda i: F.lpad(F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 4), 4, "0")
+    all_ = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(h) / 2).cast("int") - 1)), byte), "")
+    return F.when(F.length(h) == 0, F.lit("")).when(h.isNotNull(), F.substring(F.translate(all_, "0123", BASES), F.lit(1), col(length)))

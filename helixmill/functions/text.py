@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,20 @@ def remove_suffix(s: Column | str, suffix: str) -> Column:
     return F.when(F.endswith(c, F.lit(suffix)), F.substring(c, F.lit(1), F.length(c) - len(suffix))).otherwise(c)
 
 
+def has_suffix(s: Column | str, suffix: str) -> Column:
+    return F.endswith(col(s), F.lit(suffix))
+
+
+def trim_end(s: Column | str, letter: str) -> Column:
+    """Without the given letter at the end, however often it stands there."""
+    return F.rtrim(col(s), F.lit(letter))
+
+
+def joined(sep: str, *of: Column | str) -> Column:
+    """Values as text with a separator between them; nulls are left out."""
+    return F.concat_ws(sep, *[col(c).cast("string") for c in of])
+
+
 def shared_prefix(a: Column | str, b: Column | str) -> Column:
     """The longest common beginning of two strings."""
     x, y = col(a), col(b)
@@ -65,6 +81,11 @@ def format_seconds(s: Column | str) -> Column:
     return F.format_string("%d:%02d:%02d", F.floor(m / 3600), F.pmod(F.floor(m / 60), F.lit(60)), F.pmod(m, F.lit(60)))
 
 
+def format_precision(x: Column | str, digits: int) -> Column:
+    """A number with a fixed count of decimals and no separators."""
+    return F.format_string(f"%.{digits}f", col(x).cast("double"))
+
+
 def choose(n: Column | str, k: Column | str) -> Column:
     """n choose k as a long, exact for all that fit one; 0 where k is outside 0..n, an error where the result does not fit.
 
@@ -99,3 +120,29 @@ def is_bit_set(x: Column | str, i: int) -> Column:
 
 def count_bits(x: Column | str) -> Column:
     return F.bit_count(col(x))
+
+
+def with_bit(x: Column | str, at: int, to: bool, width: int = 64) -> Column:
+    """x with the bit `at` places from the left of a word of `width` bits set or cleared."""
+    mask = F.lit(1 << (width - 1 - at) if width < 64 or at else -(1 << 63)).cast("long")
+    c = col(x).cast("long")
+    return c.bitwiseOR(mask) if to else c.bitwiseAND(F.bitwise_not(mask))
+
+
+def first_set_bit(x: Column | str, width: int) -> Column:
+    """Places from the left to the first set bit of the low `width` bits; width if none is set."""
+    c = col(x).cast("long").bitwiseAND((1 << width) - 1 if width < 64 else -1)
+    return F.when(c == 0, F.lit(width)).otherwise(width - F.length(F.bin(c)))
+
+
+def information_content(x: Column | str, width: int) -> Column:
+    """How often neighbouring bits differ within the low `width` bits (at most 63)."""
+    c = col(x).cast("long")
+    return F.bit_count(c.bitwiseXOR(F.shiftrightunsigned(c, 1)).bitwiseAND((1 << (width - 1)) - 1))
+
+
+def swapped_bytes(x: Column | str) -> Column:
+    """A long with its eight bytes in the other order."""
+    c = col(x).cast("long")
+    parts = [F.shiftleft(F.shiftrightunsigned(c, 8 * i).bitwiseAND(255), 56 - 8 * i) for i in range(8)]
+    return functools.reduce(Column.bitwiseOR, parts)

@@ -19,6 +19,11 @@ def enough_hits(hits: DataFrame, read: str, least: int = 2) -> DataFrame:
     return hits.groupBy(read).agg(F.count("taxid").alias("hits")).filter(F.col("hits") >= least)
 
 
+def hit_coverage(hits: DataFrame, read: str) -> DataFrame:
+    """The share of a read's k-mers that hit. Reads without k-mers have no row."""
+    return hits.groupBy(read).agg((F.count("taxid") / F.count(F.lit(1))).alias("hit_coverage"))
+
+
 def is_leaf_hit(last_leaf: Column | int) -> Column:
     """A hit that places a read: a leaf taxon, a gene, and a position other than 0."""
     return (F.col("taxid") > 1) & (F.col("taxid") <= last_leaf) & (F.col("gene_id") > 0) & (F.col("gene_pos") > 0)

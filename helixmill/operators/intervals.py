@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,18 +35,48 @@ def starting_inside(reads: DataFrame, ranges: DataFrame, group: list[str], start
     return reads.join(inside, [*group, start], "left_semi")
 
 
-def _binned(rows: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """Each interval once for each bin it touches, so that an interval join is an equi-join on group and bin."""
-    return rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+def _level(length: Column) -> Column:
+    """0 for lengths up to 1,024, and one more for each factor of 16."""
+    return F.greatest(F.lit(0), F.ceil(F.log(16.0, length / 1024))).cast("int")
+
+
+def _bins(first: Column, last: Column) -> Column:
+    """The bins that positions first to last touch on the row's level, whose bins are 64 * 16 ** level wide: at most 18 for
+    an interval of that level or a lower one."""
+    width = F.pow(F.lit(16.0), F.col("_level")) * 64
+    return F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
+
+
+def _own(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Each interval once for each bin that it touches on the level of its length."""
+    return rows.withColumn("_level", _level(F.col(end) - F.col(start))).withColumn("_bin", _bins(F.col(start), F.col(end) - 1))
+
 
+def _at_levels(rows: DataFrame, first: Column, last: Column, least: Column, *of: DataFrame) -> DataFrame:
+    """rows once for each bin on each level from `least` that intervals of the tables `of` (_level) have: one row of a few numbers."""
+    there = functools.reduce(DataFrame.union, [d.select("_level") for d in of]).agg(F.collect_set("_level").alias("_levels"))
+    each = rows.join(F.broadcast(there)).withColumn("_least", least)
+    each = each.withColumn("_level", F.explode(F.filter("_levels", lambda x: x >= F.col("_least")))).drop("_levels", "_least")
+    return each.withColumn("_bin", _bins(first, last))
 
-def intersect(a: DataFrame, b: DataFrame, group: list[str], width: int = 64) -> DataFrame:
-    """Overlaps (start, end) of intervals of a with intervals of b. A pair meets in several bins; it counts in the bin where
-    the overlap begins."""
-    x = _binned(a.filter("start < end").select(*group, F.col("start").alias("_s"), F.col("end").alias("_e")), "_s", "_e", width)
-    y = _binned(b.filter("start < end").select(*group, F.col("start").alias("_t"), F.col("end").alias("_f")), "_t", "_f", width)
-    both = x.join(y, [*group, "_bin"]).filter("_s < _f and _t < _e").withColumn("start", F.greatest("_s", "_t")).withColumn("end", F.least("_e", "_f"))
-    return both.filter(F.floor(F.col("start") / width) == F.col("_bin")).select(*group, "start", "end")
+
+def intersect(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
+    """Overlaps (start, end) of intervals of a with intervals of b, whatever their lengths.
+
+    An interval is put into the bins of its own length's level and of the coarser levels that occur. A pair counts once: on the
+    level of the longer one, in the bin where the overlap begins. Empty intervals overlap nothing."""
+
+    def own(rows: DataFrame, s: str, e: str, level: str) -> DataFrame:
+        return rows.filter("start < end").select(*group, F.col("start").alias(s), F.col("end").alias(e), _level(F.col("end") - F.col("start")).alias(level))
+
+    x, y = own(a, "_s", "_e", "_m"), own(b, "_t", "_f", "_n")
+    levels = [x.select(F.col("_m").alias("_level")), y.select(F.col("_n").alias("_level"))]
+    x = _at_levels(x, F.col("_s"), F.col("_e") - 1, F.col("_m"), *levels)
+    y = _at_levels(y, F.col("_t"), F.col("_f") - 1, F.col("_n"), *levels)
+    both = x.join(y, [*group, "_level", "_bin"]).filter("_s < _f and _t < _e and _level = greatest(_m, _n)")
+    both = both.withColumn("start", F.greatest("_s", "_t")).withColumn("end", F.least("_e", "_f"))
+    begins = F.floor(F.col("start") / (F.pow(F.lit(16.0), F.col("_level")) * 64))
+    return both.filter(begins == F.col("_bin")).select(*group, "start", "end")
 
 
 def union(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
@@ -52,11 +84,21 @@ def union(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
 
 
 def sweep(rows: DataFrame, group: list[str]) -> DataFrame:
-    """(start, end, coverage) of the stretches between which coverage changes, from +1 and -1 events in order."""
+    """(start, end, coverage) of the stretches between which coverage changes, from +1 and -1 events in order.
+
+    Events are added up by position, then by stretch of STRETCH positions; a group's window is over its stretches only, and
+    positions are ordered within a stretch, so that one long group is many tasks."""
     events = rows.filter("start < end").select(*group, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("x")).select(*group, "x.*")
-    steps = events.groupBy(*group, "at").agg(F.sum("d").alias("d")).filter("d <> 0")
-    w = Window.partitionBy(*group).orderBy("at")
-    out = steps.withColumn("coverage", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.lead("at").over(w))
+    steps = events.groupBy(*group, "at").agg(F.sum("d").alias("d")).filter("d <> 0").withColumn("_stretch", F.floor(F.col("at") / STRETCH))
+    over = Window.partitionBy(*group).orderBy("_stretch")
+    parts = steps.groupBy(*group, "_stretch").agg(F.sum("d").alias("_d"), F.min("at").alias("_first"))
+    before = F.coalesce(F.sum("_d").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*group, "_stretch", before.alias("_before"), F.lead("_first").over(over).alias("_next"))
+    w = Window.partitionBy(*group, "_stretch").orderBy("at")
+    coverage = F.col("_before") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    same = functools.reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_stretch"]])
+    out = steps.alias("l").join(parts.alias("r"), same).select("l.*", "_before", "_next")
+    out = out.withColumn("coverage", coverage).withColumn("end", F.coalesce(F.lead("at").over(w), F.col("_next")))
     return out.filter("coverage > 0").select(*group, F.col("at").alias("start"), "end", "coverage")
 
 
@@ -66,16 +108,17 @@ def runs(rows: DataFrame, group: list[str], coverage: int = 2, length: int = 30)
     return merge(covered, group).filter(F.col("end") - F.col("start") >= length).select(*group, "start", "end")
 
 
-def coverage_at(points: DataFrame, rows: DataFrame, group: list[str], point: str, width: int = 64) -> DataFrame:
+def coverage_at(points: DataFrame, rows: DataFrame, group: list[str], point: str) -> DataFrame:
     """points with `coverage`: intervals of the group with start <= point < end. Points of a group are made distinct and
     looked up in the sweep, so a deep stack of intervals is one row."""
-    cover = _binned(sweep(rows, group).select(*group, F.col("start").alias("_s"), F.col("end").alias("_e"), "coverage"), "_s", "_e", width)
-    asked = points.select(*group, point).distinct().withColumn("_bin", F.floor(F.col(point) / width))
-    found = asked.join(cover, [*group, "_bin"]).filter(F.col(point).between(F.col("_s"), F.col("_e") - 1)).select(*group, point, "coverage")
+    cover = _own(sweep(rows, group).select(*group, F.col("start").alias("_s"), F.col("end").alias("_e"), "coverage"), "_s", "_e")
+    asked = _at_levels(points.select(*group, point).distinct(), F.col(point), F.col(point), F.lit(0), cover)
+    found = asked.join(cover, [*group, "_level", "_bin"]).filter(F.col(point).between(F.col("_s"), F.col("_e") - 1)).select(*group, point, "coverage")
     return points.join(found, [*group, point], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0)))
 
 
-def containing(points: DataFrame, ranges: DataFrame, group: list[str], point: str, width: int = 64) -> DataFrame:
+def containing(points: DataFrame, ranges: DataFrame, group: list[str], point: str) -> DataFrame:
     """points with the range (start, end) of the group that holds each; ranges of a group do not overlap."""
-    cut = _binned(ranges.select(*group, "start", "end"), "start", "end", width)
-    return points.withColumn("_bin", F.floor(F.col(point) / width)).join(cut, [*group, "_bin"]).filter(F.col(point).between(F.col("start"), F.col("end") - 1)).drop("_bin")
+    cut = _own(ranges.select(*group, "start", "end").filter("start < end"), "start", "end")
+    asked = _at_levels(points, F.col(point), F.col(point), F.lit(0), cut)
+    return asked.join(cut, [*group, "_level", "_bin"]).filter(F.col(point).between(F.col("start"), F.col("end") - 1)).drop("_level", "_bin")

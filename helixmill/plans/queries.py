@@ -912,3 +912,43 @@ def number_functions(spark, read):
         packed.alias("packed"), text.choose(10 + F.col("p_size") % 8, F.col("p_size") % 5).alias("ways"),
     )
 
+
+@query("""SELECT p_partkey, rtrim(p_name, 'e') AS trimmed, p_type LIKE '%STEEL' AS steel, concat_ws(':', p_brand, CAST(p_size AS VARCHAR)) AS brand_size,
+printf('%.1f', CAST(p_size AS DOUBLE) / 4 + 0.01) AS quarter FROM part""")
+def suffix_functions(spark, read):
+    return read("part").select(
+        "p_partkey", text.trim_end("p_name", "e").alias("trimmed"), text.has_suffix("p_type", "STEEL").alias("steel"), text.joined(":", "p_brand", "p_size").alias("brand_size"),
+        text.format_precision(F.col("p_size") / 4 + 0.01, 1).alias("quarter"),
+    )
+
+
+@query("""SELECT p_partkey, k | 16384 AS with_bit, k & ~128 AS without_bit, 32 - CASE WHEN k = 0 THEN 0 ELSE length(bin(k)) END AS first_set,
+(SELECT count(*) FILTER (((k >> i) & 1) <> ((k >> (i + 1)) & 1)) FROM range(0, 15) r(i)) AS changes,
+CAST(((k & 255) << 24) | (((k >> 8) & 255) << 16) | (((k >> 16) & 255) << 8) AS BIGINT) AS swapped FROM (SELECT p_partkey, CAST(p_partkey AS BIGINT) AS k FROM part)""")
+def bit_functions(spark, read):
+    k = F.col("p_partkey").cast("long")
+    return read("part").select(
+        "p_partkey", text.with_bit(k, 1, True, 16).alias("with_bit"), text.with_bit(k, 8, False, 16).alias("without_bit"), text.first_set_bit(k, 32).alias("first_set"),
+        text.information_content(k, 16).alias("changes"), F.shiftrightunsigned(text.swapped_bytes(k), 32).alias("swapped"),
+    )
+
+
+@query(f"SELECT item_id, n, CAST(translate(substr(d, 1, 12), 'ACGT', '0123') AS VARCHAR) AS digits, substr(d, 1, 12) AS bases, CAST(item_id + 2 AS BIGINT) << 32 | n % 7 AS node, CAST(item_id + 2 AS INT) AS taxid, CAST(n % 7 AS INT) AS gene_id FROM (SELECT item_id, {sql_dna('text')} AS d, length({sql_dna('text')}) AS n FROM benchmark)")
+def packed_dna(spark, read):
+    d = read("benchmark").select("item_id", dna.letters_to_dna("text").alias("d"))
+    d = d.select("item_id", F.length("d").cast("long").alias("n"), F.substring("d", 1, 12).alias("d"))
+    node = dna.pack_node(F.col("item_id") + 2, F.col("n") % 7)
+    taxid, gene = dna.unpack_node(node)
+    bases = dna.bytes_to_dna(dna.dna_to_bytes("d"), F.length("d"))
+    return d.select("item_id", "n", dna.digits("d").alias("digits"), bases.alias("bases"), node.alias("node"), taxid.alias("taxid"), gene.alias("gene_id"))
+
+
+@query(f"WITH {SQL_INDEX} SELECT key, taxid FROM ix")
+def kmer_index_taxid(spark, read):
+    rows = kmers.kmers(gene_table(read), "dna", SHAPE, RANKS)
+    return taxonomy.lca_of_groups(rows, ["key"], RANKS).select("key", F.col("lca").alias("taxid"))
+
+
+@query(f"WITH {SQL_HITS} SELECT doc_id, count(taxid) / count(*) AS hit_coverage FROM h GROUP BY doc_id")
+def hit_coverage(spark, read):
+    return classify.hit_coverage(doc_hits(read), "doc_id")

@@ -1,8 +1,8 @@
 """FASTA and FASTQ files as a Spark data source: `spark.read.format("fastx").load(path)`.
 
 Plain files are cut into byte ranges, one partition each; a partition begins at the first record that starts in its range and
-reads its last record to the end, wherever that lies. Gzip files are one partition each. The format of a file is told by its
-first byte."""
+reads its last record to the end, wherever that lies. Gzip files, told by their suffix or first bytes, are read by one
+partition each. The format of a file is told by its first byte."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "id string, header string, sequence string, quality string, file string, offset long"
@@ -62,7 +62,9 @@ def _fasta(lines: Iterator[tuple[int, bytes]], end: int | None):
 
 def _fastq(lines: Iterator[tuple[int, bytes]], end: int | None, synced: bool):
     """Records of four lines. Within a file the first record is found by its shape: a line that begins with @, two lines
-    before one that begins with +, whose sequence and quality have one length; a quality line may begin with @ too."""
+    before one that begins with +, whose sequence and quality have one length; a quality line may begin with @ too. In a
+    well-formed file that is within four lines, wherever a range begins."""
+    skipped = 0
     window: list[tuple[int, bytes]] = []
     for item in lines:
         window.append(item)
@@ -71,9 +73,10 @@ def _fastq(lines: Iterator[tuple[int, bytes]], end: int | None, synced: bool):
         (at, head), (_, seq), (_, plus), (_, qual) = window
         fits = head.startswith(b"@") and plus.startswith(b"+") and len(seq) == len(qual)
         if not fits:
-            if synced and any(x for _, x in window):
+            if (synced or skipped >= 3) and any(x for _, x in window):
                 raise MalformedRecord(f"no FASTQ record at byte {at}")
             window.pop(0)
+            skipped += 1
             continue
         synced = True
         if end is not None and at >= end:
@@ -116,7 +119,13 @@ class FastxReader(DataSourceReader):
             stream, first = system.open_input_stream(path, compression="gzip"), None
         else:
             stream = system.open_input_file(path)
-            first = stream.read(1)
+            first = stream.read(2)
+            if first == b"\x1f\x8b":
+                stream.close()
+                if partition.start == 0:
+                    yield from self.read(Split(partition.path, 0, None))
+                return
+            first = first[:1]
             stream.seek(partition.start)
         with stream:
             text = io.BufferedReader(_Raw(stream), 1 << 20)
@@ -170,3 +179,10 @@ class FastxDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastxDataSource)
+
+
+def headers(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(header) of the records of a file or folder; with a limit, of that many of them."""
+    register(spark)
+    rows = spark.read.format("fastx").load(path).select("header")
+    return rows if limit is None else rows.limit(limit)

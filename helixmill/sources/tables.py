@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixmill.functions.text import header_taxid_gene
+
 
 def _fields(spark: SparkSession, path: str, *names: tuple[int, str, str]) -> DataFrame:
     parts = F.split("value", r"\t")
@@ -16,10 +18,13 @@ def nodes_dump(spark: SparkSession, path: str) -> DataFrame:
     return _fields(spark, path, (0, "id", "int"), (2, "parent_id", "int"), (4, "rank", "string"))
 
 
-def names_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name): the scientific name, else the first that the file has by name order."""
-    rows = _fields(spark, path, (0, "id", "int"), (2, "name", "string"), (4, "name_unique", "string"), (6, "name_class", "string"))
-    order = Window.partitionBy("id").orderBy(F.col("name_class") != "scientific name", "name")
+def names_dump(spark: SparkSession, path: str, first_seen: bool = False) -> DataFrame:
+    """(id, name): the scientific name, else the first by name order, or with first_seen the first that the file has."""
+    # within a block of a file the numbers grow from line to line; blocks are ordered by where they begin
+    rows = _fields(spark, path, (0, "id", "int"), (2, "name", "string"), (6, "name_class", "string"))
+    place = [F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    rows = rows.select("*", *place)
+    order = Window.partitionBy("id").orderBy(F.coalesce(F.col("name_class") != "scientific name", F.lit(True)), *(["_file", "_block", "_line"] if first_seen else ["name"]))
     return rows.withColumn("r", F.row_number().over(order)).filter("r = 1").select("id", "name")
 
 
@@ -44,6 +49,14 @@ def reference_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="taxid bigint, gene_id bigint, start bigint, end bigint")
 
 
+def mapped_genes(genes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(taxid, gene_id, start, end, sequence) of the genes of a map, from a parsed reference (fastx rows with headers
+    `>taxid_gene`). Genes of the map that the reference lacks have a null sequence."""
+    taxid, gene = header_taxid_gene("header")
+    there = genes.select(taxid.cast("long").alias("taxid"), gene.cast("long").alias("gene_id"), "sequence")
+    return wanted.join(there, ["taxid", "gene_id"], "left")
+
+
 def true_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").try_cast("int").alias("taxid")).filter("taxid is not null")
 

@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from helixmill.plans import catalog
 
+catalog.load()
 SF = "/root/testdata/sf0.001"
 
 
@@ -14,13 +15,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-NAMES = """kmer_extract kmer_histogram kmer_multiplicity classify_descent interval_intersect interval_merge coverage_at_locus strain_distance_jc69 pattern_train rank_abundance taxon_filter
-snp_call classification_rows classification_debug snp_rows paired_rows mate_hits classify_descent_pairs taxon_sums inner_support index_composition index_upsert abundance_correction
-pattern_statistics mutation_distances read_evaluation missed_positions strain_distance_simple allele_majority reads_inside gene_buckets_sized version_order
-sort_records taxonomy_lca_pairs gene_distance sample_matrix""".split()
-
-
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents benchmark labels".split():
