@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, ctw, html_text, language
+from . import alignment, bpe, ctw, html_text, language
 from .decontaminate import containments
 from .embedding_dedup import EmbeddingDedup
 from .near_dedup import NearDedup
@@ -16,7 +16,7 @@ from .quality import ImportanceResampling
 from .sharding import shard
 from .stage import read
 from .toxicity import OrdinalToxicity
-from .vocabulary import vocabulary
+from .vocabulary import pair, vocabulary
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), *vocabulary())
@@ -60,6 +60,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two public tokenizers over each whole document, aligned where both end."""
+    return alignment.align(read(spark, sf_dir, "documents"), pair())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ctw": op8_ctw,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_html_text": op10_html_text,
+    "op11_alignment": op11_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
