@@ -36,11 +36,11 @@ def written_by(df: DataFrame, key: str, n: int) -> DataFrame:
     spark = df.sparkSession
     name = f"stage_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key).saveAsTable(name)
-    _named(spark).append(name)
+    named(spark).append(name)
     return spark.table(name)
 
 
-def _named(spark: SparkSession) -> list[str]:
+def named(spark: SparkSession) -> list[str]:
     """Names of the tables that this application has made."""
     context = spark.sparkContext
     if not hasattr(context, "_helixmill_tables"):
@@ -50,7 +50,7 @@ def _named(spark: SparkSession) -> list[str]:
 
 def drop_all(spark: SparkSession) -> None:
     """Delete the intermediate tables that this application has made, and no others, once their results have been written."""
-    names = _named(spark)
+    names = named(spark)
     while names:
         spark.sql(f"DROP TABLE IF EXISTS {names.pop()}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
