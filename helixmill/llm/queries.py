@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import alignment, bpe, ctw, html_text, language
+from . import alignment, bpe, ctw, exact_dedup, html_text, language, whitening
 from .decontaminate import containments
 from .embedding_dedup import EmbeddingDedup
 from .near_dedup import NearDedup
@@ -65,6 +65,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read(spark, sf_dir, "documents"), pair())
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of all documents, found by adding them to a digest index in four batches, larger ids first."""
+    return exact_dedup.groups(read(spark, sf_dir, "documents"), batches=4)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector, by merged singular value decompositions."""
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_html_text": op10_html_text,
     "op11_alignment": op11_alignment,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -109,4 +121,7 @@ d AS ({_shingles("documents", "doc_id", 5)}),
 n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id)
 SELECT doc_id, item_id, count(*) / any_value(n) AS containment FROM q JOIN d USING (sh) JOIN n USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)""",
+    "op12_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
