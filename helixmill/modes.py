@@ -9,7 +9,7 @@ from helixmill.functions import text
 from helixmill.functions.dna import Shape
 from helixmill.operators import classify as cl
 from helixmill.operators import index, kmers, placement, profile, shapes, taxonomy, variants
-from helixmill.sources import fastx, results
+from helixmill.sources import fastx, results, samples
 
 PATTERN_BITS = 16
 
@@ -38,22 +38,34 @@ def build(spark: SparkSession, reference: str, nodes: DataFrame, shape: Shape, d
     spark.createDataFrame([(shape.text, bits)], "shape string, bits int").write.json(f"{db}/meta")
 
 
-def _read(spark: SparkSession, path: str, num: int) -> DataFrame:
-    """(pair, read_num, sequence, quality) of one file; a pair is named by the header up to the mate's number."""
-    rows = spark.read.format("fastx").load(path)
-    return rows.select(F.regexp_replace("id", r"/[12]$", "").alias("pair"), F.lit(num).alias("read_num"), F.upper("sequence").alias("sequence"), "quality")
+def classify_samples(spark: SparkSession, db: str, paths: list[str], out: str, again: bool = False, **options) -> list[str]:
+    """classify() for each sample of a list of files, into a folder of its name: pairs of files by name, single files, and files with
+    mates in turn. Samples that are finished are left as they are unless `again`. The names of those that were classified."""
+    done = []
+    for s in samples.discover(paths):
+        if again or not _finished(spark, f"{out}/{s.name}"):
+            classify(spark, db, s.first, f"{out}/{s.name}", s.second, mode="overwrite", name=s.name, **options)
+            done.append(s.name)
+    return done
 
 
-def classify(spark: SparkSession, db: str, first: str, out: str, second: str | None = None, share: float = 0.7, least: int = 3, ranks: list[str] = taxonomy.RANKS) -> None:
+def _finished(spark: SparkSession, folder: str) -> bool:
+    """Whether both tables of a run have been committed."""
+    at = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{t}/_SUCCESS") for t in ("classification", "snps")]
+    return all(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) for p in at)
+
+
+def classify(spark: SparkSession, db: str, first: str, out: str, second: str | None = None, share: float = 0.7, least: int = 3, ranks: list[str] = taxonomy.RANKS, mode: str = "errorifexists", name: str = "reads") -> None:
     """Into the folder out: `classification` (a row for each mate of a classified pair) and `snps` (mutations of placed mates).
 
-    Pairs go down the taxonomy by the hits of both mates. A mate is placed if the pair's taxon is a leaf and at least two of
+    Mates are records of one number in two files, or in turn in one, whatever their ids; record_id is the pair's number. Pairs go down the taxonomy by the hits of both mates. A mate is placed if the pair's taxon is a leaf and at least two of
     its hits on one gene of it agree; its mutations are told there."""
     fastx.register(spark)
     meta = spark.read.json(f"{db}/meta").first()
     shape, bits = Shape(meta["shape"]), meta["bits"]
     ix, closed, lineages, genes, nodes = (spark.read.parquet(f"{db}/{t}") for t in ("index", "closure", "lineages", "genes", "nodes"))
-    reads = _read(spark, first, 1) if second is None else _read(spark, first, 1).union(_read(spark, second, 2))
+    sample = samples.detected(spark, samples.Sample(name, first, second))
+    reads = samples.mates(spark, sample).select("pair", "read_num", F.upper("sequence").alias("sequence"), "quality")
     mate = ["pair", "read_num"]
     hits = cl.lookup(kmers.kmers(reads, "sequence", shape, mate), ix)
     counts = hits.filter("taxid is not null").groupBy("pair", "taxid").agg(
@@ -72,13 +84,13 @@ def classify(spark: SparkSession, db: str, first: str, out: str, second: str | N
     mates = mates.select("pair", "taxid", "m.*").filter(F.col("path") > least).join(lengths, mate).join(best, mate, "left")
     rest = F.greatest(F.lit(0), F.col("read_length") - len(shape) + 1)
     lines = mates.select(
-        F.xxhash64("pair").alias("record_id"), "read_num", "taxid", "gene_id", "gene_pos", F.coalesce("hits_best", "path").alias("hits_best"), F.coalesce("total_hits", rest).alias("total_hits"),
+        F.col("pair").alias("record_id"), "read_num", "taxid", "gene_id", "gene_pos", F.coalesce("hits_best", "path").alias("hits_best"), F.coalesce("total_hits", rest).alias("total_hits"),
         "read_length", "overlap", "forward",
     )
-    results.as_classification(lines).write.parquet(f"{out}/classification")
+    results.as_classification(lines).write.mode(mode).parquet(f"{out}/classification")
     told = placement.call(rows, spark.read.parquet(f"{db}/shape/patterns"), shape, bits, mate)
-    snps = placement.snp_rows(told, reads, mate).select(F.xxhash64("pair").alias("read_id"), "read_num", "taxid", "gene_id", F.col("gene_position").alias("position"), "quality", "base")
-    results.as_snps(snps).write.parquet(f"{out}/snps")
+    snps = placement.snp_rows(told, reads, mate).select(F.col("pair").alias("read_id"), "read_num", "taxid", "gene_id", F.col("gene_position").alias("position"), "quality", "base")
+    results.as_snps(snps).write.mode(mode).parquet(f"{out}/snps")
 
 
 def profiled(spark: SparkSession, db: str, run: str, reads: int = 100, identity: float = 0.9, expected: float = 0.4, where: Column | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
 
 #: Bases that a bucket of a gene is meant to have.
 TARGET = 100
@@ -28,11 +29,9 @@ def clip(pos: Column, length: Column, gene_length: Column) -> Column:
 def taxon_table(reads: DataFrame, genes: DataFrame) -> DataFrame:
     """(taxid, reads, bases, present_genes, median_ani, n_genes, expected_genes) from reads of (taxid, gene_id, overlap, ani) and
     genes (taxid, gene_id, length). expected_genes: how many of the genes so many reads would touch, n(1 - ((n-1)/n)^r)."""
-    # equal identities of a taxon are counted before they meet, so the median is over counts and not over reads
-    same = reads.groupBy("taxid", "gene_id", "ani").agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("overlap"))
-    t = same.groupBy("taxid").agg(
-        F.sum("n").alias("reads"), F.sum("overlap").alias("bases"), F.size(F.collect_set("gene_id")).cast("long").alias("present_genes"), F.percentile("ani", F.lit(0.5), F.col("n")).alias("median_ani")
-    )
+    each = reads.groupBy("taxid", "gene_id").agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("overlap"))
+    t = each.groupBy("taxid").agg(F.sum("n").alias("reads"), F.sum("overlap").alias("bases"), F.count("gene_id").alias("present_genes"))
+    t = t.join(order.quantiles(reads, ["taxid"], "ani", name="median_ani"), "taxid")
     n = genes.groupBy("taxid").agg(F.count(F.lit(1)).alias("n_genes"))
     rate = F.col("n_genes") * (1 - F.pow((F.col("n_genes") - 1) / F.col("n_genes"), F.col("reads")))
     return t.join(n, "taxid").withColumn("expected_genes", rate)
@@ -83,7 +82,7 @@ def taxon_depth(depths: DataFrame, corrections: DataFrame | None = None) -> Data
     """(taxid, depth): median over genes, each divided by its correction factor if there is one."""
     if corrections is not None:
         depths = depths.join(corrections, ["taxid", "gene_id"], "left").withColumn("depth", F.col("depth") / F.coalesce("factor", F.lit(1.0)))
-    return depths.groupBy("taxid").agg(F.median("depth").alias("depth"))
+    return order.quantiles(depths, ["taxid"], "depth", name="depth")
 
 
 def rank_abundance(depths: DataFrame, closed: DataFrame, nodes: DataFrame, root: int = 1) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import dna, text, version
 from helixmill.functions.dna import Shape
-from helixmill.operators import classify, correction, evaluate, index, intervals, kmers, placement, profile, shapes, strains, taxonomy, variants
+from helixmill.operators import classify, correction, evaluate, index, intervals, kmers, order, placement, profile, shapes, strains, taxonomy, variants
 
 from helixmill.staging import written
 
@@ -360,6 +360,22 @@ def mate_zip(spark, read):
     return both.withColumn("hit_type", classify.hit_type(F.col("quantity_1"), F.col("quantity_2")))
 
 
+@query("""WITH r AS (SELECT o_custkey % 5 AS sample, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS file, o_orderkey AS place, o_totalprice AS price FROM orders),
+o AS (SELECT *, row_number() OVER (PARTITION BY sample, file ORDER BY place) - 1 AS ordinal FROM r)
+SELECT a.sample, CAST(a.ordinal AS BIGINT) AS ordinal, a.place AS place_1, b.place AS place_2, a.price AS price_1, b.price AS price_2 FROM o a JOIN o b ON b.sample = a.sample AND b.ordinal = a.ordinal AND a.file = 1 AND b.file = 2""")
+def mate_zip_ordinal(spark, read):
+    file = F.when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    rows = read("orders").select((F.col("o_custkey") % 5).alias("sample"), file.alias("file"), F.col("o_orderkey").alias("place"), F.col("o_totalprice").alias("price"))
+    rows = order.numbered(rows, ["sample", "file"], "place", 1 << 14)
+    return classify.zip_mates(rows.filter("file = 1").drop("file"), rows.filter("file = 2").drop("file"), ["sample", "ordinal"])
+
+
+@query("""SELECT user_id, median(value) AS middle, quantile_cont(value, 0.9) AS high FROM events GROUP BY user_id""")
+def grouped_quantiles(spark, read):
+    rows = read("events").select("user_id", "value")
+    return order.quantiles(rows, ["user_id"], "value", name="middle").join(order.quantiles(rows, ["user_id"], "value", 0.9, name="high"), "user_id")
+
+
 # ---- hit patterns and variants ----
 
 
@@ -863,28 +879,7 @@ def sort_records(spark, read):
 def sorted_records(lines: DataFrame) -> DataFrame:
     by = ["s", "l_partkey", "l_orderkey", "l_linenumber"]
     rows = lines.select((F.col("l_suppkey") % 7).alias("s"), *by[1:])
-    return _placed(rows, by).select("place", F.concat(F.lit(">"), "s", F.lit("_"), "l_partkey").alias("header"))
-
-
-#: Rows drawn for each range of a total order.
-DRAWN = 64
-
-
-def _placed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Places of a total order: splitters drawn by a hash cut it into ranges, rows are numbered within their range, and the
-    counts of the ranges before are added. A row's range depends on its key alone, so it is the same whenever it is asked."""
-    spark, key = rows.sparkSession, F.struct(*by)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chance = min(1.0, DRAWN * ranges / max(rows.count(), 1))
-    drawn = rows.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(chance * (1 << 30))).select(*by).orderBy(*by).collect()
-    cuts = drawn[DRAWN - 1 :: DRAWN] if len(drawn) > DRAWN * ranges else drawn[:: max(1, -(-len(drawn) // ranges))]
-    kind = rows.select(key.alias("k")).schema["k"].dataType.simpleString()
-    listed = spark.createDataFrame([([tuple(c) for c in cuts],)], f"_cuts array<{kind}>")
-    cut = rows.crossJoin(F.broadcast(listed)).withColumn("part", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
-    sizes = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = Window.partitionBy("part").orderBy(*by)
-    return cut.withColumn("r", F.row_number().over(within)).join(F.broadcast(before), "part").withColumn("place", F.col("r") + F.col("before"))
+    return order.placed(rows, by).select("place", F.concat(F.lit(">"), "s", F.lit("_"), "l_partkey").alias("header"))
 
 
 @query("""SELECT p_partkey, p_size % 4 AS major, p_size % 7 AS minor, (p_size % 4, p_size % 7, 0, 0) < (2, 3, 0, 0) AS older, split_part(p_name, ' ', 1) || '_' || p_size AS id FROM part""")

@@ -10,7 +10,8 @@ import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "id string, header string, sequence string, quality string, file string, offset long"
@@ -112,6 +113,10 @@ class FastxReader(DataSourceReader):
         return out or [Split("", 0, 0)]
 
     def read(self, partition: Split):
+        return self.records(partition)
+
+    def records(self, partition: Split):
+        """The rows of SCHEMA of the records that start in a range of bytes, in the order of the file."""
         if not partition.path:
             return
         system, path = _open(partition.path)
@@ -123,7 +128,7 @@ class FastxReader(DataSourceReader):
             if first == b"\x1f\x8b":
                 stream.close()
                 if partition.start == 0:
-                    yield from self.read(Split(partition.path, 0, None))
+                    yield from self.records(Split(partition.path, 0, None))
                 return
             first = first[:1]
             stream.seek(partition.start)
@@ -177,8 +182,73 @@ class FastxDataSource(DataSource):
         return FastxReader(self.options)
 
 
+class _PlacedReader(FastxReader):
+    def read(self, partition: Split):
+        for place, row in enumerate(self.records(partition)):
+            yield (*row, partition.start, place)
+
+
+class _CountReader(FastxReader):
+    def read(self, partition: Split):
+        if partition.path:
+            yield partition.path, partition.start, sum(1 for _ in self.records(partition))
+
+
+class PlacedSource(FastxDataSource):
+    """The records with the range of bytes that each starts in, and its number in that range, from 0."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fastx_placed"
+
+    def schema(self) -> str:
+        return f"{SCHEMA}, range long, place long"
+
+    def reader(self, schema) -> FastxReader:
+        return _PlacedReader(self.options)
+
+
+class CountSource(FastxDataSource):
+    """How many records start in each range of bytes; the text of the records does not leave its task."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fastx_counts"
+
+    def schema(self) -> str:
+        return "file string, range long, n long"
+
+    def reader(self, schema) -> FastxReader:
+        return _CountReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(FastxDataSource)
+    for source in (FastxDataSource, PlacedSource, CountSource):
+        spark.dataSource.register(source)
+
+
+#: Ranges of bytes whose counts are broadcast; with more, counts and records are joined by shuffle.
+MOST_RANGES = 200_000
+
+
+def with_ordinals(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The records of a file or folder with ordinal: a record's number in its file, from 0, the same at any split size.
+
+    Two passes: records are counted in each range of bytes, counts are added up over a file's ranges, and a record's number in
+    its range is added. Nothing but the counts moves."""
+    register(spark)
+    load = lambda name: spark.read.format(name).option("splitBytes", split_bytes).load(path)
+    ahead = F.sum("n").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = load("fastx_counts").select("file", "range", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    if len(FastxReader({"path": path, "splitBytes": split_bytes}).partitions()) <= MOST_RANGES:
+        counts = F.broadcast(counts)
+    rows = load("fastx_placed").join(counts, ["file", "range"])
+    return rows.withColumn("ordinal", F.col("place") + F.col("ahead")).drop("range", "place", "ahead")
+
+
+def record_count(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> int:
+    register(spark)
+    return spark.read.format("fastx_counts").option("splitBytes", split_bytes).load(path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def headers(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
