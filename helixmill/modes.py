@@ -9,7 +9,8 @@ from helixmill.functions import text
 from helixmill.functions.dna import Shape
 from helixmill.operators import classify as cl
 from helixmill.operators import index, kmers, placement, profile, shapes, taxonomy, variants
-from helixmill.sources import fastx, results, samples
+from helixmill.sources import fastx, results, samples, store
+from helixmill.staging import partitions, written
 
 PATTERN_BITS = 16
 
@@ -18,7 +19,7 @@ def _leaf(nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(nodes.filter("parent_id <> id").select(F.col("parent_id").alias("id")).distinct(), "id", "left_anti")
 
 
-def build(spark: SparkSession, reference: str, nodes: DataFrame, shape: Shape, db: str, ranks: list[str] = taxonomy.RANKS, most_pos: int | None = None, bits: int = PATTERN_BITS) -> None:
+def build(spark: SparkSession, reference: str, nodes: DataFrame, shape: Shape, db: str, ranks: list[str] = taxonomy.RANKS, most_pos: int | None = None, bits: int = PATTERN_BITS, buckets: int | None = None) -> None:
     """Into the folder db: the index of all k-mers of a reference (FASTA, headers >taxid_gene), the taxonomy with its closure
     and lineages, gene lengths and the pattern table of the shape. nodes: (id, parent_id, rank); leaves have the genes."""
     fastx.register(spark)
@@ -33,7 +34,7 @@ def build(spark: SparkSession, reference: str, nodes: DataFrame, shape: Shape, d
     own = spark.read.parquet(f"{db}/lineages").withColumnRenamed("id", "taxid")
     genes.select("taxid", "gene_id", F.length("sequence").alias("length")).write.parquet(f"{db}/genes")
     rows = kmers.kmers(genes, "sequence", shape, ["taxid", "gene_id"]).join(own, "taxid")
-    index.build(rows, ranks, most_pos=most_pos).write.parquet(f"{db}/index")
+    store.save(index.build(rows, ranks, most_pos=most_pos), f"{db}/index", "key", buckets or partitions(spark))
     shapes.save(variants.train(spark, shape, bits), [], f"{db}/shape")
     spark.createDataFrame([(shape.text, bits)], "shape string, bits int").write.json(f"{db}/meta")
 
@@ -63,11 +64,12 @@ def classify(spark: SparkSession, db: str, first: str, out: str, second: str | N
     fastx.register(spark)
     meta = spark.read.json(f"{db}/meta").first()
     shape, bits = Shape(meta["shape"]), meta["bits"]
-    ix, closed, lineages, genes, nodes = (spark.read.parquet(f"{db}/{t}") for t in ("index", "closure", "lineages", "genes", "nodes"))
+    ix = store.load(spark, f"{db}/index")
+    closed, lineages, genes, nodes = (spark.read.parquet(f"{db}/{t}") for t in ("closure", "lineages", "genes", "nodes"))
     sample = samples.detected(spark, samples.Sample(name, first, second))
     reads = samples.mates(spark, sample).select("pair", "read_num", F.upper("sequence").alias("sequence"), "quality")
     mate = ["pair", "read_num"]
-    hits = cl.lookup(kmers.kmers(reads, "sequence", shape, mate), ix)
+    hits = written(cl.lookup_places(kmers.occurrences(reads, "sequence", shape, mate), ix))
     counts = hits.filter("taxid is not null").groupBy("pair", "taxid").agg(
         F.count(F.lit(1)).alias("hits"), *[F.count_if(F.col("read_num") == m).alias(f"hits_{m}") for m in (1, 2)]
     )

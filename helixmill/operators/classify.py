@@ -14,6 +14,15 @@ def lookup(rows: DataFrame, index: DataFrame) -> DataFrame:
     return rows.join(index.select("key", "taxid", "gene_id", "gene_pos"), "key", "left")
 
 
+def lookup_places(places: DataFrame, index: DataFrame) -> DataFrame:
+    """lookup() of kmers.occurrences(): the rows of every k-mer (kept columns, pos, key) with taxid, gene_id and gene_pos of the index.
+
+    Distinct keys with their lists of places meet the index; a stored index (sources.store) lies in buckets of the key and is not
+    moved. Lists become rows after the join."""
+    found = places.join(index.select("key", "taxid", "gene_id", "gene_pos"), "key", "left")
+    return found.select("key", "taxid", "gene_id", "gene_pos", F.inline("at"))
+
+
 def enough_hits(hits: DataFrame, read: str, least: int = 2) -> DataFrame:
     """(read, hits) of reads with at least `least` keys in the index."""
     return hits.groupBy(read).agg(F.count("taxid").alias("hits")).filter(F.col("hits") >= least)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .classify import best_taxon, path_scores
@@ -12,10 +12,15 @@ def windows(rows: DataFrame, gene: list[str], size: int, overlap: int) -> DataFr
     """(gene, start, taxid, hits): hits of each taxon in every window of `size` k-mers that a simulated read may cover.
 
     rows: (gene, pos, taxid) of each k-mer of a gene in the index. Windows begin at every position from overlap - size on,
-    so the first has `overlap` k-mers of the gene; those of the other end run out of it. Windows without k-mers have no rows."""
-    starts = F.sequence(F.greatest(F.col("pos") - (size - 1), F.lit(overlap - size)), F.col("pos"))
-    each = rows.select(*gene, "taxid", F.explode(starts).alias("start"))
-    return each.groupBy(*gene, "start", "taxid").agg(F.count(F.lit(1)).alias("hits"))
+    so the first has `overlap` k-mers of the gene; those of the other end run out of it. Windows without k-mers have no rows.
+
+    Each k-mer is two events, where it enters the windows and where it leaves them. Hits are running sums of a gene's and taxon's
+    events, so a row for each window is made only once hits have been added up."""
+    events = F.array(F.struct(F.greatest(F.col("pos") - (size - 1), F.lit(overlap - size)).alias("at"), F.lit(1).alias("d")), F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("d")))
+    steps = rows.select(*gene, "taxid", F.inline(events)).groupBy(*gene, "taxid", "at").agg(F.sum("d").alias("d"))
+    order = Window.partitionBy(*gene, "taxid").orderBy("at")
+    steps = steps.select(*gene, "taxid", "at", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"), F.lead("at").over(order).alias("next"))
+    return steps.filter("hits > 0").select(*gene, F.explode(F.sequence("at", F.col("next") - 1)).alias("start"), "taxid", "hits")
 
 
 def factors(rows: DataFrame, closed: DataFrame, taxid: str, gene: str, size: int = 85, overlap: int = 20) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from helixmill.functions.dna import Shape
 
@@ -142,6 +142,41 @@ def counted(df: DataFrame, sequence: str, shape: Shape, keep: list[str] | None =
     return rows.mapInArrow(run, StructType(fields))
 
 
+def occurrences(df: DataFrame, sequence: str, shape: Shape, keep: list[str]) -> DataFrame:
+    """(key, at): the places of each canonical key, at array<struct<keep, pos>>. Keys of COMBINED positions, of whatever sequences,
+    are made distinct before they leave Python; a key may come in several rows. Ambiguous keys are skipped.
+
+    A join on the key thus moves distinct keys with lists of places, and places become rows after it: explode("at")."""
+    rows = _rows(df, sequence, keep, ["pos", "key", "at"])
+    fields = [rows.schema[c] for c in keep] + [StructField("pos", IntegerType())]
+
+    def emitted(waiting: list[tuple[np.ndarray, list[pa.Array]]]) -> pa.RecordBatch:
+        key = np.concatenate([k for k, _ in waiting])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        columns = [pa.concat_arrays(list(c)).take(pa.array(order)) for c in zip(*(p for _, p in waiting), strict=True)]
+        places = pa.StructArray.from_arrays(columns, [*keep, "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(key)), pa.int32()), places)], ["key", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, list[pa.Array]]] = []
+        for batch in batches:
+            for row, pos, fw, rv, bad in _stretches(batch, shape, None):
+                own = np.flatnonzero(~bad)
+                if not len(own):
+                    continue
+                columns = [batch.column(c).take(pa.array(row[own])) for c in keep]
+                waiting.append((np.minimum(fw, rv)[own], [*columns, pa.array(pos[own].astype(np.int32))]))
+                if sum(len(k) for k, _ in waiting) >= COMBINED:
+                    yield emitted(waiting)
+                    waiting = []
+        if waiting:
+            yield emitted(waiting)
+
+    return rows.mapInArrow(run, StructType([StructField("key", LongType()), StructField("at", ArrayType(StructType(fields)))]))
+
+
 def _rows(df: DataFrame, sequence: str, keep: list[str], made: list[str]) -> DataFrame:
     if clash := set(keep) & set(made):
         raise ValueError(f"kept columns clash with {sorted(clash)}")

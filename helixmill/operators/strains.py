@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,28 +53,72 @@ def members(snps: DataFrame, taxa: DataFrame, reads: DataFrame) -> DataFrame:
     return snps.filter("position <> -1").join(taxa, "taxid", "left_semi").join(reads, ["read_id", "read_num"], "left_semi")
 
 
-def gene_distance(major: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(taxid, gene_id, sample_a, sample_b, shared_length, shared, only_a, only_b, differing) for pairs of samples that have a
-    gene; major: (locus, base), ranges: merged (sample, taxid, gene_id, start, end).
-
-    Only positions within both samples' ranges count. Pairs are of samples within one gene of one strain, as asked."""
-    from .intervals import intersect
-
-    a = ranges.select(*GENE, F.col("sample").alias("sample_a"), "start", "end")
-    b = ranges.select(*GENE, F.col("sample").alias("sample_b"), "start", "end")
-    pairs = a.select(*GENE, "sample_a").distinct().join(b.select(*GENE, "sample_b").distinct(), GENE).filter("sample_a <> sample_b")
-    by = [*GENE, "sample_a", "sample_b"]
-    both = intersect(pairs.join(a, [*GENE, "sample_a"]), pairs.join(b, [*GENE, "sample_b"]), by)
-    length = both.groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).alias("shared_length"))
-    x = pairs.join(major.select(*GENE, F.col("sample").alias("sample_a"), "position", F.col("base").alias("a")), [*GENE, "sample_a"])
-    y = pairs.join(major.select(*GENE, F.col("sample").alias("sample_b"), "position", F.col("base").alias("b")), [*GENE, "sample_b"])
-    merged = x.join(y, [*by, "position"], "full_outer")
-    inside = merged.join(both.select(*by, "start", "end"), by).filter("position >= start and position < end")
-    counts = inside.groupBy(*by).agg(
-        F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("shared"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_a"),
-        F.count(F.when(F.col("a").isNull(), 1)).alias("only_b"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("differing"),
-    )
-    return length.join(counts, by, "left").na.fill(0, ["shared", "only_a", "only_b", "differing"])
+#: Samples of a block, and positions that are compared at once.
+BLOCK, STRETCH = 256, 8192
+_COUNTS = ["shared_length", "shared", "only_a", "only_b", "differing"]
+
+
+def gene_distance(major: DataFrame, ranges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(taxid, gene_id, sample_a, sample_b, shared_length, shared, only_a, only_b, differing) for pairs of samples that share
+    covered positions of a gene; major: (locus, base), a locus once; ranges: merged (sample, taxid, gene_id, start, end).
+
+    Only positions within both samples' ranges count. What a sample has of a gene is one row. Samples are dealt into blocks of about
+    `block`, and two blocks of a gene are compared as matrices over stretches of its positions, so a row moves once for
+    each block of samples and not for each sample."""
+    listed = lambda df, to, *c: df.groupBy(*GENE, "sample").agg(F.collect_list(F.struct(*c)).alias(to))
+    own = listed(ranges.filter("start < end"), "ranges", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    own = own.join(listed(major, "alleles", F.col("position").cast("long").alias("position"), "base"), [*GENE, "sample"], "left")
+    n = max(1, -(-ranges.select("sample").distinct().count() // block))
+    at, other = F.pmod(F.xxhash64("sample"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = own.withColumn("_at", at).withColumn("_other", other)
+    rows = rows.withColumns({"_i": F.least("_at", "_other"), "_j": F.greatest("_at", "_other")}).drop("_other")
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    schema = f"taxid {kinds['taxid']}, gene_id {kinds['gene_id']}, sample_a {kinds['sample']}, sample_b {kinds['sample']}, " + ", ".join(f"{c} long" for c in _COUNTS)
+    return rows.groupBy(*GENE, "_i", "_j").applyInArrow(_compared, schema)
+
+
+def _stretch(table, lo: int, size: int, codes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the positions lo.. each row covers, and the code of its allele there (0: none, or not covered)."""
+    covered, base = np.zeros((len(table), size), np.float32), np.zeros((len(table), size), np.int16)
+    for i, (ranges, alleles) in enumerate(table):
+        for r in ranges:
+            covered[i, max(r["start"] - lo, 0) : max(r["end"] - lo, 0)] = 1
+        for a in alleles or []:
+            if lo <= a["position"] < lo + size:
+                base[i, a["position"] - lo] = codes[a["base"]]
+    base[covered == 0] = 0
+    return covered, base
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    """Counts of all pairs of samples of two blocks (of one block with itself)."""
+    rows = table.to_pylist()
+    sides = [[r for r in rows if r["_at"] == b] for b in dict.fromkeys((rows[0]["_i"], rows[0]["_j"]))]
+    x, y = sides[0], sides[-1]
+    codes = {b: i + 1 for i, b in enumerate(sorted({a["base"] for r in rows for a in r["alleles"] or []}, key=str))}
+    starts, ends = [e["start"] for r in rows for e in r["ranges"]], [e["end"] for r in rows for e in r["ranges"]]
+    total = np.zeros((len(_COUNTS), len(x), len(y)), np.int64)
+    for lo in range(min(starts), max(ends), STRETCH):
+        size = min(STRETCH, max(ends) - lo)
+        (cx, bx), (cy, by) = (_stretch([(r["ranges"], r["alleles"]) for r in side], lo, size, codes) for side in (x, y))
+        if not cx.any() or not cy.any():
+            continue
+        hx, hy = (bx > 0).astype(np.float32), (by > 0).astype(np.float32)
+        met = lambda p, q: np.rint(p @ q.T).astype(np.int64)
+        shared = met(hx, hy)
+        same = sum((met((bx == c).astype(np.float32), (by == c).astype(np.float32)) for c in codes.values()), np.zeros_like(shared))
+        total += np.stack([met(cx, cy), shared, met(hx, cy) - shared, met(cx, hy) - shared, shared - same])
+    both = len(sides) == 2
+    some = (total[0] > 0) & (True if both else ~np.eye(len(x), dtype=bool))
+    i, j = np.nonzero(some)
+    found = total[:, i, j]
+    a, b = [x[k]["sample"] for k in i], [y[k]["sample"] for k in j]
+    if both:  # the other way round too
+        found = np.concatenate([found, found[[0, 1, 3, 2, 4]]], axis=1)
+        a, b = a + b, b + a
+    n, kind = len(a), table.schema.field("sample").type
+    same_gene = [table.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, np.int64))) for c in GENE]
+    return pa.table([*same_gene, pa.array(a, kind), pa.array(b, kind), *map(pa.array, found)], names=[*GENE, "sample_a", "sample_b", *_COUNTS])
 
 
 def simple_gene_distance(snps: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -269,7 +269,7 @@ SQL_SCORES = f"{SQL_TAXA}, {SQL_LINEAGE}, sc AS MATERIALIZED (SELECT t.doc_id, t
 
 
 def doc_hits(read) -> DataFrame:
-    return classify.lookup(doc_kmers(read), written(gene_index(read)))
+    return classify.lookup_places(kmers.occurrences(doc_dna(read), "dna", SHAPE, ["doc_id"]), written(gene_index(read)))
 
 
 def doc_scores(read) -> DataFrame:
@@ -291,8 +291,8 @@ def min_hit_filter(spark, read):
 SQL_LEAF = f"{SQL_HITS}, lh AS (SELECT * FROM h WHERE taxid > 1 AND taxid < {GENUS} AND gene_id > 0 AND gene_pos > 0)"
 
 
-def leaf_hits(read) -> DataFrame:
-    return doc_hits(read).filter(classify.is_leaf_hit(F.lit(GENUS - 1)))
+def leaf_hits(read, hits: DataFrame | None = None) -> DataFrame:
+    return (doc_hits(read) if hits is None else hits).filter(classify.is_leaf_hit(F.lit(GENUS - 1)))
 
 
 @query(f"""WITH {SQL_LEAF}, f AS (SELECT doc_id, taxid, gene_id, min_by(gene_pos - pos, pos) AS off_fwd, min_by(gene_pos + pos, pos) AS off_rev, min(pos) AS first_pos, max(pos) - min(pos) AS span FROM lh GROUP BY ALL)
@@ -436,8 +436,9 @@ FROM h JOIN pl USING (doc_id) WHERE CASE WHEN forward THEN o + pos >= 0 AND o +
 def marked_documents(read) -> DataFrame:
     lengths = doc_dna(read).select("doc_id", F.length("dna").alias("read_length"))
     genes = gene_table(read).select(F.col("species").alias("taxid"), "gene_id", F.length("dna").alias("gene_length"))
-    placed = placement.best_placement(classify.best_offsets(leaf_hits(read), "doc_id"), ["doc_id"]).join(lengths, "doc_id").join(genes, ["taxid", "gene_id"])
-    return placement.marked(doc_hits(read), placed, taxonomy.closure(gene_nodes(read)), SHAPE, ["doc_id"])
+    hits = written(doc_hits(read))
+    placed = placement.best_placement(classify.best_offsets(leaf_hits(read, hits), "doc_id"), ["doc_id"]).join(lengths, "doc_id").join(genes, ["taxid", "gene_id"])
+    return placement.marked(hits, placed, taxonomy.closure(gene_nodes(read)), SHAPE, ["doc_id"])
 
 
 @query(f"""WITH RECURSIVE {SQL_PLACED}, {_sql_closed_form(SHAPE, BITS)},

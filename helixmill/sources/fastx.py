@@ -222,8 +222,54 @@ class CountSource(FastxDataSource):
         return _CountReader(self.options)
 
 
+class _SpanReader(FastxReader):
+    """Headers of a plain FASTA file with the bytes that their sequences take, line ends between included."""
+
+    def read(self, partition: Split):
+        if not partition.path or partition.start == partition.end:
+            return
+        if partition.end is None:
+            raise MalformedRecord(f"{partition.path} is compressed: its sequences have no place of their own")
+        system, path = _open(partition.path)
+        with system.open_input_file(path) as stream:
+            if stream.read(1) != b">":
+                raise MalformedRecord(f"{partition.path} is no plain FASTA file")
+            stream.seek(max(partition.start - 1, 0))
+            text = io.BufferedReader(_Raw(stream), 1 << 20)
+            at = partition.start
+            if at:
+                at += len(text.readline()) - 1
+            head, start, end = None, 0, 0
+            while line := text.readline():
+                if line.startswith(b">"):
+                    if head is not None:
+                        yield head, partition.path, start, end
+                    head = None
+                    if at >= partition.end:
+                        return
+                    head, start = line[1:].rstrip(b"\r\n").decode(), at + len(line)
+                    end = start
+                elif head is not None and line.strip():
+                    end = at + len(line.rstrip())
+                at += len(line)
+            if head is not None:
+                yield head, partition.path, start, end
+
+
+class SpanSource(FastxDataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "fastx_spans"
+
+    def schema(self) -> str:
+        return "header string, file string, start long, end long"
+
+    def reader(self, schema) -> FastxReader:
+        return _SpanReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
-    for source in (FastxDataSource, PlacedSource, CountSource):
+    for source in (FastxDataSource, PlacedSource, CountSource, SpanSource):
         spark.dataSource.register(source)
 
 
@@ -256,3 +302,46 @@ def headers(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
     register(spark)
     rows = spark.read.format("fastx").load(path).select("header")
     return rows if limit is None else rows.limit(limit)
+
+
+#: Ranges of bytes with at most so many between them are read as one, up to so many bytes at once.
+GAP, AT_ONCE = 64 << 10, 8 << 20
+
+
+def fetch(wanted: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """wanted (file, start, end, ...) with sequence, the bytes of the file from start to end without white space, and bytes_read, how
+    many were read for the row: neighbours that are read as one are counted with the first.
+
+    Rows of one stretch of a file are read by one task in the order of the file, and nothing else of the file is. Files are
+    plain; a null or empty range has an empty sequence, one beyond the file's end is an error."""
+    names = wanted.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            texts, read = [""] * len(rows), [0] * len(rows)
+            some = [i for i, r in enumerate(rows) if r["file"] is not None and (r["end"] or 0) > (r["start"] or 0)]
+            some.sort(key=lambda i: (rows[i]["file"], rows[i]["start"]))
+            while some:
+                first = rows[some[0]]
+                end, group = first["end"], [some.pop(0)]
+                while some and rows[some[0]]["file"] == first["file"] and rows[some[0]]["start"] <= end + GAP and max(end, rows[some[0]]["end"]) - first["start"] <= AT_ONCE:
+                    end = max(end, rows[some[0]]["end"])
+                    group.append(some.pop(0))
+                system, path = _open(first["file"])
+                with system.open_input_file(path) as stream:
+                    if stream.size() < end:
+                        raise MalformedRecord(f"{first['file']} ends before byte {end}")
+                    stream.seek(first["start"])
+                    data = stream.read(end - first["start"])
+                read[group[0]] = len(data)
+                for i in group:
+                    part = data[rows[i]["start"] - first["start"] : rows[i]["end"] - first["start"]]
+                    texts[i] = b"".join(part.split()).decode()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(read, pa.int64())], [*names, "sequence", "bytes_read"])
+
+    near = wanted.withColumn("_stretch", F.floor(F.col("start") / split_bytes)).repartition("file", "_stretch").sortWithinPartitions("file", "start").drop("_stretch")
+    schema = wanted.withColumns({"sequence": F.lit("").cast("string"), "bytes_read": F.lit(0).cast("long")}).schema
+    return near.mapInArrow(run, schema)

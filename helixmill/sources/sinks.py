@@ -12,11 +12,6 @@ def table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: l
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, n: int) -> None:
-    """A table in n buckets of a key, so that lookups by the key move only the other side."""
-    df.write.mode("overwrite").bucketBy(n, key).sortBy(key).saveAsTable(name)
-
-
 def tsv(df: DataFrame, path: str, header: bool = True, gzip: bool = False) -> None:
     df.write.csv(path, sep="\t", header=header, compression="gzip" if gzip else "none")
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.text import header_taxid_gene
 
+from . import fastx
+
 
 def _fields(spark: SparkSession, path: str, *names: tuple[int, str, str]) -> DataFrame:
     parts = F.split("value", r"\t")
@@ -49,12 +51,22 @@ def reference_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="taxid bigint, gene_id bigint, start bigint, end bigint")
 
 
-def mapped_genes(genes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(taxid, gene_id, start, end, sequence) of the genes of a map, from a parsed reference (fastx rows with headers
-    `>taxid_gene`). Genes of the map that the reference lacks have a null sequence."""
+def located_genes(spark: SparkSession, reference: str) -> DataFrame:
+    """(taxid, gene_id, start, end, file): where the sequences of a plain reference file with headers `>taxid_gene` lie."""
+    fastx.register(spark)
     taxid, gene = header_taxid_gene("header")
-    there = genes.select(taxid.cast("long").alias("taxid"), gene.cast("long").alias("gene_id"), "sequence")
-    return wanted.join(there, ["taxid", "gene_id"], "left")
+    return spark.read.format("fastx_spans").load(reference).select(taxid.cast("long").alias("taxid"), gene.cast("long").alias("gene_id"), "start", "end", "file")
+
+
+def write_reference_map(spark: SparkSession, reference: str, path: str) -> None:
+    """The map of a reference file, as reference_map() reads it."""
+    located_genes(spark, reference).select("taxid", "gene_id", "start", "end").write.csv(path, sep="\t")
+
+
+def mapped_genes(reference: str, wanted: DataFrame) -> DataFrame:
+    """(taxid, gene_id, start, end, sequence, bytes_read) of the genes of a map: each is read from its own bytes of the reference,
+    and the rest of the file is not."""
+    return fastx.fetch(wanted.withColumn("file", F.lit(reference))).drop("file")
 
 
 def true_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +74,13 @@ def true_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shape_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+    """(shape, identity, sensitivity, hits) of a search's history: a row for each shape and identity, from columns <identity>_sens
+    and <identity>_hits (the share of k-mers that hit)."""
+    rows = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+    known = [c[: -len("_sens")] for c in rows.columns if c.endswith("_sens") and f"{c[: -len('_sens')]}_hits" in rows.columns]
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    each = F.array(*[F.struct(F.lit(i).alias("identity"), number(f"{i}_sens").alias("sensitivity"), number(f"{i}_hits").alias("hits")) for i in known])
+    return rows.select("shape", F.explode(each).alias("e")).select("shape", "e.*")
 
 
 def snp_text(spark: SparkSession, path: str) -> DataFrame:

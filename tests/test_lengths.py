@@ -85,12 +85,6 @@ def test_first_name_of_the_file_where_none_is_scientific(spark, tmp_path):
     assert {tuple(r) for r in tables.names_dump(spark, str(path), first_seen=True).collect()} == {(1, "zeta"), (2, "b")}
 
 
-def test_genes_of_a_map(spark):
-    genes = spark.createDataFrame([(">5_1", "ACGT"), (">5_2", "GG")], "header string, sequence string")
-    wanted = spark.createDataFrame([(5, 2, 0, 2), (7, 1, 3, 9)], "taxid long, gene_id long, start long, end long")
-    assert {(r.taxid, r.sequence) for r in tables.mapped_genes(genes, wanted).collect()} == {(5, "GG"), (7, None)}
-
-
 def test_bits_and_bytes_at_their_edges(spark):
     values = [0, 1, -1, 1 << 62, -(1 << 63), 0x0102030405060708, 5]
     df = spark.createDataFrame([(v,) for v in values], "x long")
