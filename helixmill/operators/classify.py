@@ -143,6 +143,32 @@ def confidences(scores: DataFrame, read: str) -> DataFrame:
     return lifted.select(read, "taxid", (F.col("hits") / F.col("score")).alias("rank_confidence"), (F.col("lifted") / F.sum("lifted").over(w)).alias("candidate_confidence"))
 
 
+def score_vectors(scores: DataFrame, closed: DataFrame, read: str, truth: Column) -> DataFrame:
+    """(read, correct, truth, taxid, own_vector, total_vector, rank_confidence, candidate_confidence, total_hits, own_hits): each
+    read's candidates in order of score, of equals by taxon, and what is said of the first of them. It is correct if it is the
+    true taxon or an ancestor of it. scores: (read, taxid, hits, score); truth: of columns of scores, one for each read."""
+    each = confidences(scores, read).join(scores.select(read, "taxid", "hits", "score", truth.alias("truth")), [read, "taxid"])
+    rows = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "taxid", "hits", "score", "rank_confidence", "candidate_confidence")))
+    listed = each.groupBy(read).agg(F.first("truth").alias("truth"), rows.alias("x"))
+    vector = lambda c: F.array_join(F.transform("x", lambda e: e[c].cast("string")), ",")
+    best = F.col("x")[0]
+    out = listed.select(read, "truth", best["taxid"].alias("taxid"), vector("hits").alias("own_vector"), vector("score").alias("total_vector"), best["rank_confidence"].alias("rank_confidence"), best["candidate_confidence"].alias("candidate_confidence"), best["score"].alias("total_hits"), best["hits"].alias("own_hits"))
+    up = closed.select(F.col("id").alias("truth"), F.col("ancestor_id").alias("taxid"), F.lit(True).alias("correct"))
+    return out.join(up, ["truth", "taxid"], "left").withColumn("correct", F.coalesce("correct", F.lit(False)))
+
+
+def ambiguous(folded_hits: DataFrame, read: str) -> DataFrame:
+    """(read, ambiguous, alternatives): whether a read has a gene of a leaf taxon where hits lie at other offsets than the one that
+    its first hit sets on either strand, and how many such offsets there are. folded_hits: leaf hits of a lookup."""
+    by = [read, "taxid", "gene_id"]
+    fwd, rev = F.col("gene_pos") - F.col("pos"), F.col("gene_pos") + F.col("pos")
+    first = Window.partitionBy(*by).orderBy("pos")
+    rows = folded_hits.select(*by, fwd.alias("f"), rev.alias("r"), F.first(fwd).over(first).alias("f0"), F.first(rev).over(first).alias("r0"))
+    other = (F.col("f") != F.col("f0")) & (F.col("r") != F.col("r0"))
+    each = rows.groupBy(*by, "f").agg(F.count_if(other).alias("n")).groupBy(read).agg(F.count_if(F.col("n") > 0).alias("alternatives"))
+    return each.select(read, (F.col("alternatives") > 0).alias("ambiguous"), "alternatives")
+
+
 def descend(taxa: DataFrame, lineages: DataFrame, ranks: list[str], read: str, share: float = 0.7, least: int = 3, root: int = 1, mates: list[str] | None = None) -> DataFrame:
     """(read, taxid, path_hits): from the root down, rank by rank, into the child that has more than `share` of the hits at
     or below this level and at least `least`; hits of every node on the way add up, and a read is classified if they

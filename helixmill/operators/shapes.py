@@ -148,9 +148,17 @@ def told_by_limit(table: DataFrame, bits: int) -> DataFrame:
     return n.withColumn("share", F.col("patterns") / float((1 << bits) - 1))
 
 
-def sensitivity_by_limit(spark: SparkSession, table: DataFrame, shape: Shape, bits: int, counts: list[int], limits: list[int], length: int = 100, reads: int = 1000, seed: int = 1) -> DataFrame:
+def told_by_candidates(table: DataFrame, bits: int) -> DataFrame:
+    """(candidates, patterns, told, share) of variants.trained(): patterns that leave so many positions open, the positions they tell,
+    and their share of all 2 ** bits - 1 patterns that have a miss."""
+    n = table.groupBy("candidates").agg(F.count(F.lit(1)).alias("patterns"), F.sum(F.size("mutations")).alias("told"))
+    return n.withColumn("share", F.col("patterns") / float((1 << bits) - 1))
+
+
+def sensitivity_by_limit(spark: SparkSession, table: DataFrame, shape: Shape, bits: int, counts: list[int], limits: list[int], length: int = 100, reads: int = 1000, seed: int = 1, of: str = "told") -> DataFrame:
     """(mutations, told_at_most, tp, fn, sensitivity): reads with so many mutations, told by those patterns of the table that
-    tell at most so many positions."""
+    tell at most so many positions, or with of="candidates" (and a table of variants.trained()) leave at most so many open; the
+    column is then candidates_at_most."""
     from .variants import call
 
     out = None
@@ -161,8 +169,9 @@ def sensitivity_by_limit(spark: SparkSession, table: DataFrame, shape: Shape, bi
         missed = truth.select("read", F.explode(F.transform(covers, lambda o: F.col("position") - o)).alias("pos")).filter(F.col("pos").between(0, last)).distinct().withColumn("hit", F.lit(False))
         rows = spark.range(reads).select(F.col("id").alias("read"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("pos")).join(missed, ["read", "pos"], "left").withColumn("hit", F.coalesce("hit", F.lit(True)))
         for limit in limits:
-            told = call(rows, table.filter(F.size("mutations") <= limit), "read", shape, bits)
+            size = F.col("candidates") if of == "candidates" else F.size("mutations")
+            told = call(rows, table.filter(size <= limit), "read", shape, bits)
             n = truth_counts(told, truth, ["read"]).agg(F.sum("tp").alias("tp"), F.sum("fn").alias("fn"))
-            n = n.select(F.lit(c).alias("mutations"), F.lit(limit).alias("told_at_most"), "tp", "fn", (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("sensitivity"))
+            n = n.select(F.lit(c).alias("mutations"), F.lit(limit).alias(f"{of}_at_most"), "tp", "fn", (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("sensitivity"))
             out = n if out is None else out.union(n)
     return out

@@ -30,16 +30,24 @@ def hit_miss(mutated: Column, shape: Shape, bits: int) -> Column:
     return sum((F.when(mutated.bitwiseAND(mask << i) == 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(bits)), F.lit(0).cast("long"))
 
 
-def train(spark: SparkSession, shape: Shape, bits: int) -> DataFrame:
+def train(spark: SparkSession, shape: Shape, bits: int, limit: int | None = None, lower: int = 0) -> DataFrame:
     """(pattern, mutations array<int>): positions that are mutated in every set of mutations that causes a pattern; patterns
     that no set causes are left out, and so is the pattern of no miss.
 
     Position j is a candidate if no hit covers it. It is certain if some missing k-mer has it as its only candidate. A
-    pattern can be caused if every miss has a candidate. Bit i of a pattern is the k-mer that begins at i."""
+    pattern can be caused if every miss has a candidate. Bit i of a pattern is the k-mer that begins at i.
+
+    limit, lower: patterns with more candidates than limit, or no more than lower, are left out too."""
+    return trained(spark, shape, bits, limit, lower).drop("candidates")
+
+
+def trained(spark: SparkSession, shape: Shape, bits: int, limit: int | None = None, lower: int = 0) -> DataFrame:
+    """train() with candidates int: how many positions a pattern leaves open."""
     if bits > MOST_BITS:
         raise ValueError(f"at most {MOST_BITS} k-mers")
     span = bits + len(shape) - 1
     masks = [sum(1 << (i + o) for o in shape.take) for i in range(bits)]
+    most = span if limit is None else limit
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,11 +59,26 @@ def train(spark: SparkSession, shape: Shape, bits: int) -> DataFrame:
                 own, miss = m & ~covered, (p >> i & 1) == 0
                 possible &= ~miss | (own != 0)
                 certain |= np.where(miss & (np.bitwise_count(own) == 1), own, 0)
+            free = span - np.bitwise_count(covered).astype(np.int32)
+            possible &= (free <= most) & (free > lower)
             told = [[j for j in range(span) if c >> j & 1] for c in certain[possible].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(p[possible]), pa.array(told, pa.list_(pa.int32()))], ["pattern", "mutations"])
+            yield pa.RecordBatch.from_arrays([pa.array(p[possible]), pa.array(told, pa.list_(pa.int32())), pa.array(free[possible], pa.int32())], ["pattern", "mutations", "candidates"])
 
     # in Arrow batches: as expressions the optimizer would infer the same conditions for whatever is joined to a pattern
-    return spark.range(0, (1 << bits) - 1).mapInArrow(invert, "pattern long, mutations array<int>")
+    return spark.range(0, (1 << bits) - 1).mapInArrow(invert, "pattern long, mutations array<int>, candidates int")
+
+
+def train_to(spark: SparkSession, path: str, shape: Shape, bits: int, limit: int) -> DataFrame:
+    """The table of trained() up to `limit` candidates in the folder path, in a folder for each level of what it was trained to. What
+    is there is not trained again: patterns with more candidates than the last level are added to it."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    levels = [i for i in range(1, bits + len(shape)) if fs.exists(fs_path(f"{path}/limit={i}/_SUCCESS"))]
+    if (last := max(levels, default=0)) < limit:
+        trained(spark, shape, bits, limit, last).write.mode("overwrite").parquet(f"{path}/limit={limit}")
+        levels.append(limit)
+    rows = spark.read.schema("pattern long, mutations array<int>, candidates int").parquet(*[f"{path}/limit={i}" for i in levels])
+    return rows.filter(F.col("candidates") <= limit)
 
 
 def call(rows: DataFrame, table: DataFrame, read: str, shape: Shape, bits: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import dna, text, version
 from helixmill.functions.dna import Shape
-from helixmill.operators import classify, correction, evaluate, index, intervals, kmers, order, placement, profile, shapes, strains, taxonomy, variants
+from helixmill.operators import classify, correction, evaluate, index, intervals, kmers, order, placement, profile, sets, shapes, strains, taxonomy, trees, variants
 
 from helixmill.staging import written
 
@@ -402,6 +402,19 @@ def pattern_train(spark, read):
     return variants.train(spark, SMALL, 8).select("pattern", F.col("mutations").cast("array<bigint>").alias("mutations"))
 
 
+LEVELS = 7
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, CASE WHEN value > 50 THEN 1 ELSE 0 END AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+p AS (SELECT a.event_id, CAST(sum(b.h << (7 - (a.r - b.r))) AS BIGINT) AS pattern FROM e a JOIN e b ON a.user_id = b.user_id AND b.r BETWEEN a.r - 7 AND a.r GROUP BY a.event_id HAVING count(*) = 8),
+k AS ({_sql_train(SMALL, 8)}), c AS (SELECT k.*, {8 + len(SMALL) - 1} - bit_count({' | '.join(f"(CASE WHEN (pattern >> {i}) & 1 = 1 THEN {sum(1 << (i + o) for o in SMALL.take)} ELSE 0 END)" for i in range(8))}) AS candidates FROM k)
+SELECT CAST(candidates AS INT) AS candidates, count(*) AS windows, sum(len(mutations)) AS told FROM p JOIN c USING (pattern) WHERE candidates <= {LEVELS} GROUP BY ALL""")
+def pattern_levels(spark, read):
+    rows = variants.sliding_pattern(read("events").select("event_id", "user_id", "value"), ["user_id"], "event_id", F.col("value") > 50, 8)
+    rows = rows.filter("n_seen = 8").select("event_id", F.col("turned").alias("pattern")).join(variants.trained(spark, SMALL, 8, LEVELS), "pattern")
+    return rows.groupBy("candidates").agg(F.count(F.lit(1)).alias("windows"), F.sum(F.size("mutations")).alias("told"))
+
+
 BITS = 6
 
 
@@ -534,6 +547,49 @@ def inner_support(spark, read):
     return classify.inner_support(inner, classify.fold_offsets(leaf_hits(read), "doc_id"), taxonomy.closure(gene_nodes(read)), "doc_id")
 
 
+#: As benchmark, but a gene shares its first 60 letters with the one 24 before it, which is of its genus and number.
+SQL_SHARED = """bench AS (SELECT i.item_id, CASE WHEN o.item_id IS NULL THEN i.d ELSE substr(o.d, 1, 60) || substr(i.d, 61) END AS text FROM (SELECT item_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS d FROM benchmark) i
+LEFT JOIN (SELECT item_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS d FROM benchmark) o ON o.item_id = i.item_id - 24)"""
+
+
+def shared_benchmark(read) -> DataFrame:
+    own = read("benchmark").select("item_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("d"))
+    other = own.select((F.col("item_id") + 24).alias("item_id"), F.col("d").alias("o"))
+    text = F.when(F.col("o").isNull(), F.col("d")).otherwise(F.concat(F.substring("o", 1, 60), F.substring("d", 61, 1 << 30)))
+    return own.join(other, "item_id", "left").select("item_id", text.alias("text"))
+
+
+@query(ORACLES["inner_support"].replace("FROM benchmark", "FROM bench").replace("WITH RECURSIVE ", f"WITH RECURSIVE {SQL_SHARED}, ", 1))
+def inner_support_shared(spark, read):
+    return inner_support(spark, lambda table: shared_benchmark(read) if table == "benchmark" else read(table))
+
+
+@query(f"""WITH RECURSIVE {SQL_SCORES}, m AS (SELECT *, score - min(score) OVER (PARTITION BY doc_id) + 1 AS l FROM sc), c AS (SELECT *, hits / score AS rc, l / sum(l) OVER (PARTITION BY doc_id) AS cc, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, taxid) AS r FROM m),
+v AS (SELECT doc_id, string_agg(CAST(hits AS VARCHAR), ',' ORDER BY r) AS own_vector, string_agg(CAST(score AS VARCHAR), ',' ORDER BY r) AS total_vector FROM c GROUP BY doc_id)
+SELECT c.doc_id, CAST(doc_id % 40 + 2 AS INT) AS truth, c.taxid, EXISTS (SELECT 1 FROM cl WHERE cl.id = doc_id % 40 + 2 AND cl.ancestor_id = c.taxid) AS correct, own_vector, total_vector, round(rc, 6) AS rank_confidence, round(cc, 6) AS candidate_confidence, score AS total_hits, hits AS own_hits
+FROM c JOIN v USING (doc_id) WHERE r = 1""")
+def classification_vectors(spark, read):
+    rows = classify.score_vectors(doc_scores(read), taxonomy.closure(gene_nodes(read)), "doc_id", (F.col("doc_id") % 40 + 2).cast("int"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("rank_confidence", "candidate_confidence")})
+
+
+@query(f"""WITH {SQL_LEAF}, f AS (SELECT doc_id, taxid, gene_id, min_by(gene_pos - pos, pos) AS f0, min_by(gene_pos + pos, pos) AS r0 FROM lh GROUP BY ALL),
+o AS (SELECT doc_id, taxid, gene_id, gene_pos - pos AS f, bool_or(gene_pos - pos <> f0 AND gene_pos + pos <> r0) AS other FROM lh JOIN f USING (doc_id, taxid, gene_id) GROUP BY ALL)
+SELECT doc_id, count(*) FILTER (other) > 0 AS ambiguous, count(*) FILTER (other) AS alternatives FROM o GROUP BY doc_id""")
+def ambiguous_placements(spark, read):
+    return classify.ambiguous(leaf_hits(read), "doc_id")
+
+
+@query(f"""WITH RECURSIVE {SQL_TAXA}, {SQL_NODES}, {SQL_CLOSED}, n AS (SELECT doc_id, cl.ancestor_id AS id, coalesce(sum(hits) FILTER (taxid = cl.ancestor_id), 0) AS hits FROM t JOIN cl ON cl.id = t.taxid GROUP BY ALL),
+l AS (SELECT n.doc_id, n.id, CASE WHEN nd.parent_id = nd.id THEN NULL ELSE nd.parent_id END AS up, nd.rank, n.id || '_hits=' || n.hits AS label FROM n JOIN nd USING (id)),
+s3 AS (SELECT doc_id, up AS id, string_agg(label, ',' ORDER BY id) AS c FROM l WHERE rank = 'species' GROUP BY ALL),
+s2 AS (SELECT l.doc_id, up AS id, string_agg(coalesce('(' || c || ')', '') || label, ',' ORDER BY l.id) AS c FROM l LEFT JOIN s3 USING (doc_id, id) WHERE rank = 'genus' GROUP BY ALL),
+s1 AS (SELECT l.doc_id, up AS id, string_agg(coalesce('(' || c || ')', '') || label, ',' ORDER BY l.id) AS c FROM l LEFT JOIN s2 USING (doc_id, id) WHERE rank = 'phylum' GROUP BY ALL)
+SELECT l.doc_id, coalesce('(' || c || ')', '') || label || ';' AS tree FROM l LEFT JOIN s1 USING (doc_id, id) WHERE rank = 'root'""")
+def read_trees(spark, read):
+    return trees.newick(trees.read_nodes(classify.read_taxa(doc_hits(read), "doc_id"), taxonomy.closure(gene_nodes(read)), "doc_id"), "doc_id")
+
+
 @query(f"""WITH {SQL_HITS}, {SQL_NODES} SELECT doc_id, count(*) FILTER (rank = 'species') AS species, count(*) FILTER (rank = 'genus') AS genus, count(*) FILTER (rank = 'phylum') AS phylum, count(*) FILTER (rank = 'root') AS no_rank, count(*) FILTER (taxid IS NULL) AS missing FROM h LEFT JOIN nd ON nd.id = h.taxid GROUP BY doc_id""")
 def index_composition(spark, read):
     return index.composition(doc_hits(read), gene_nodes(read).select(F.col("id").alias("taxid"), "rank"), "doc_id", RANKS[::-1])
@@ -752,6 +808,23 @@ def profile_rows(spark, read):
     return profile.biobox(abundance(read), names, RANKS)
 
 
+def lineage_paths(nodes: DataFrame) -> DataFrame:
+    """(id, taxpath, namepath) by RANKS; unset ranks are empty, and closing separators are cut later."""
+    found = taxonomy.lineages(taxonomy.closure(nodes), nodes, RANKS)
+    names = [F.concat(F.lit("taxon "), F.col(r).cast("string")) for r in RANKS]
+    return found.select("id", taxonomy.lineage_string(RANKS).alias("taxpath"), F.array_join(F.array(*[F.coalesce(n, F.lit("")) for n in names]), "|").alias("namepath"))
+
+
+@query(f"""WITH {SQL_ABUNDANCE}, ab AS (SELECT id, rank, round(100 * (depth / sum(depth) OVER (PARTITION BY rank)), 6) AS percentage FROM ea),
+ln AS (SELECT taxid AS id, CAST(taxid % 2 + {PHYLUM} AS VARCHAR) || '|' || CAST(taxid % 8 + {GENUS} AS VARCHAR) || '|' || taxid AS p FROM td UNION SELECT taxid % 8 + {GENUS}, CAST(taxid % 2 + {PHYLUM} AS VARCHAR) || '|' || CAST(taxid % 8 + {GENUS} AS VARCHAR) FROM td UNION SELECT taxid % 2 + {PHYLUM}, CAST(taxid % 2 + {PHYLUM} AS VARCHAR) FROM td)
+SELECT CAST(id AS VARCHAR) || s AS taxid, CASE WHEN s = '' THEN rank ELSE 'strain' END AS rank, p AS taxpath, regexp_replace(p, '([0-9]+)', 'taxon \\1', 'g') AS namepath, percentage, CASE WHEN s <> '' THEN 0 WHEN rank = 'species' THEN 1 WHEN rank = 'genus' THEN 2 ELSE 3 END AS place
+FROM ab JOIN ln USING (id), (SELECT '' AS s UNION ALL SELECT '.1') WHERE s = '' OR rank = 'species'""")
+def profile_lineages(spark, read):
+    nodes = profile_nodes(read)
+    named = nodes.select("id", "rank", (F.col("rank") == "species").alias("leaf"))
+    return profile.profile_rows(abundance(read), named, lineage_paths(nodes), RANKS)
+
+
 # ---- strains ----
 
 SQL_SEEN = """se AS (SELECT CAST(l_suppkey % 4 AS INT) AS sample, CAST(l_partkey % 5 AS INT) AS taxid, CAST(l_partkey // 5 % 6 AS INT) AS gene_id, CAST(l_orderkey % 97 AS INT) AS position,
@@ -855,10 +928,7 @@ def set_union_strains(spark, read):
 SELECT gene_id, count(*) FILTER (k = 2) AS in_both, count(*) FILTER (k = 1 AND m = 0) AS only_a, count(*) FILTER (k = 1 AND m = 1) AS only_b FROM (SELECT gene_id, position, count(*) AS k, min(s) AS m FROM (SELECT *, 0 AS s FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY ALL) GROUP BY gene_id""")
 def set_operations(spark, read):
     s = seen(read)
-    a = s.filter("sample = 0").groupBy("gene_id").agg(F.collect_set("position").alias("a"))
-    b = s.filter("sample = 1").groupBy("gene_id").agg(F.collect_set("position").alias("b"))
-    both = a.join(b, "gene_id", "full_outer").withColumn("a", F.coalesce("a", F.array().cast("array<int>"))).withColumn("b", F.coalesce("b", F.array().cast("array<int>")))
-    return both.select("gene_id", F.size(F.array_intersect("a", "b")).cast("long").alias("in_both"), F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.size(F.array_except("b", "a")).cast("long").alias("only_b"))
+    return sets.compared(s.filter("sample = 0"), s.filter("sample = 1"), ["gene_id", "position"], ["gene_id"])
 
 
 # ---- scores, order, scalars ----

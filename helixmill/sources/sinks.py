@@ -30,12 +30,23 @@ def profile_lines(rows: DataFrame, sample: str, ranks: list[str]) -> DataFrame:
     return top.union(body).orderBy("place", "p", "at").select("line")
 
 
-def matrices(distances: DataFrame, path: str) -> None:
-    """One directory for each strain, with a row for each sample and a column for each other sample."""
-    wide = distances.groupBy("taxid", F.col("sample_a").alias("samples")).pivot("sample_b").agg(F.first("distance"))
+def matrices(distances: DataFrame, path: str, samples: list[str]) -> None:
+    """One directory for each strain, with a row for each sample and a column for each of the samples."""
+    wide = distances.groupBy("taxid", F.col("sample_a").alias("samples")).pivot("sample_b", samples).agg(F.first("distance"))
     wide.write.partitionBy("taxid").csv(path, sep="\t", header=True)
 
 
+def profile_file(rows: DataFrame, path: str, sample: str, ranks: list[str]) -> None:
+    """profile.profile_rows() as a profile file: a header, strains first, then species up to the root, larger shares first. The file
+    is one part of text; a profile is a few thousand lines."""
+    head = [f"@SampleID: {sample}", "@Version: 0.9.1", "@Ranks:" + "|".join([*ranks, "strain"]), "@@TAXID\tRANK\tTAXPATH\tTAXPATHSN\tPERCENTAGE"]
+    spark = rows.sparkSession
+    top = spark.createDataFrame([(-1, float(i), "", h) for i, h in enumerate(head)], "place int, p double, t string, line string")
+    line = F.concat_ws("\t", "taxid", "rank", "taxpath", "namepath", F.format_string("%.6f", F.col("percentage").cast("double")))
+    body = rows.select(F.col("place").cast("int").alias("place"), (-F.col("percentage").cast("double")).alias("p"), F.col("taxid").alias("t"), line.alias("line"))
+    top.union(body).repartition(1).sortWithinPartitions("place", "p", "t").select("line").write.text(path)
+
+
 def fasta(df: DataFrame, path: str, order: list[str]) -> None:
     """Records (header, sequence) as FASTA text in an order: range-partitioned files whose names sort as their records do."""
     df.orderBy(*order).select(F.concat(F.lit(">"), "header", F.lit("\n"), "sequence")).write.text(path)
