@@ -88,8 +88,20 @@ def sweep(rows: DataFrame, group: list[str]) -> DataFrame:
 
     Events are added up by position, then by stretch of STRETCH positions; a group's window is over its stretches only, and
     positions are ordered within a stretch, so that one long group is many tasks."""
-    events = rows.filter("start < end").select(*group, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("x")).select(*group, "x.*")
-    steps = events.groupBy(*group, "at").agg(F.sum("d").alias("d")).filter("d <> 0").withColumn("_stretch", F.floor(F.col("at") / STRETCH))
+    steps = _events(rows, group).groupBy(*group, "at").agg(F.sum("d").alias("d")).filter("d <> 0")
+    out = _swept(steps, group).filter("coverage > 0")
+    return out.select(*group, F.col("at").alias("start"), "end", "coverage")
+
+
+def _events(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, at, d): +1 where an interval starts and -1 where it ends; empty intervals have none."""
+    change = lambda c, d: F.struct(F.col(c).alias("at"), F.lit(d).alias("d"))
+    return rows.filter("start < end").select(*group, F.inline(F.array(change("start", 1), change("end", -1))))
+
+
+def _swept(steps: DataFrame, group: list[str]) -> DataFrame:
+    """steps (group, at, d, ...), positions of a group once, with coverage, the sum of d up to a position, and end, the next position."""
+    steps = steps.withColumn("_stretch", F.floor(F.col("at") / STRETCH))
     over = Window.partitionBy(*group).orderBy("_stretch")
     parts = steps.groupBy(*group, "_stretch").agg(F.sum("d").alias("_d"), F.min("at").alias("_first"))
     before = F.coalesce(F.sum("_d").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -98,8 +110,7 @@ def sweep(rows: DataFrame, group: list[str]) -> DataFrame:
     coverage = F.col("_before") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
     same = functools.reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_stretch"]])
     out = steps.alias("l").join(parts.alias("r"), same).select("l.*", "_before", "_next")
-    out = out.withColumn("coverage", coverage).withColumn("end", F.coalesce(F.lead("at").over(w), F.col("_next")))
-    return out.filter("coverage > 0").select(*group, F.col("at").alias("start"), "end", "coverage")
+    return out.withColumn("coverage", coverage).withColumn("end", F.coalesce(F.lead("at").over(w), F.col("_next"))).drop("_stretch", "_before", "_next")
 
 
 def runs(rows: DataFrame, group: list[str], coverage: int = 2, length: int = 30) -> DataFrame:
@@ -109,12 +120,13 @@ def runs(rows: DataFrame, group: list[str], coverage: int = 2, length: int = 30)
 
 
 def coverage_at(points: DataFrame, rows: DataFrame, group: list[str], point: str) -> DataFrame:
-    """points with `coverage`: intervals of the group with start <= point < end. Points of a group are made distinct and
-    looked up in the sweep, so a deep stack of intervals is one row."""
-    cover = _own(sweep(rows, group).select(*group, F.col("start").alias("_s"), F.col("end").alias("_e"), "coverage"), "_s", "_e")
-    asked = _at_levels(points.select(*group, point).distinct(), F.col(point), F.col(point), F.lit(0), cover)
-    found = asked.join(cover, [*group, "_level", "_bin"]).filter(F.col(point).between(F.col("_s"), F.col("_e") - 1)).select(*group, point, "coverage")
-    return points.join(found, [*group, point], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0)))
+    """points with `coverage`: intervals of the group with start <= point < end. Points of a group are made distinct and take part in
+    the sweep as events that change nothing, so no interval is met by a point, however deep they lie."""
+    asked = points.select(*group, F.col(point).alias("at"), F.lit(0).alias("d"), F.lit(True).alias("asked"))
+    steps = _events(rows, group).withColumn("asked", F.lit(False)).unionByName(asked).groupBy(*group, "at").agg(F.sum("d").alias("d"), F.bool_or("asked").alias("asked"))
+    found = _swept(steps.filter("d <> 0 or asked"), group).filter("asked").select(*group, F.col("at").alias(point), "coverage")
+    on = functools.reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, point]])
+    return points.alias("l").join(found.alias("r"), on, "left").select("l.*", F.coalesce("coverage", F.lit(0)).cast("long").alias("coverage"))
 
 
 def containing(points: DataFrame, ranges: DataFrame, group: list[str], point: str) -> DataFrame:

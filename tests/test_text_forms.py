@@ -53,7 +53,7 @@ def test_matrices_of_given_samples(spark, tmp_path):
     d = spark.createDataFrame([(5, "a", "b", 0.25), (5, "b", "a", 0.25)], "taxid int, sample_a string, sample_b string, distance double")
     sinks.matrices(d, str(tmp_path / "m"), ["a", "b", "c"])
     text = sorted("".join(p.read_text() for p in (tmp_path / "m/taxid=5").glob("part-*")).splitlines())
-    assert [x for x in text if not x.startswith("samples")] == ['a\t""\t0.25\t""', 'b\t0.25\t""\t""'] and text[-1] == "samples\ta\tb\tc"
+    assert [x for x in text if not x.startswith("samples")] == ["a\t\t0.25\t", "b\t0.25\t\t"] and text[-1] == "samples\ta\tb\tc"
 
 
 def test_sets_with_nulls_and_repeats(spark):
