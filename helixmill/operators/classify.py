@@ -143,6 +143,17 @@ def confidences(scores: DataFrame, read: str) -> DataFrame:
     return lifted.select(read, "taxid", (F.col("hits") / F.col("score")).alias("rank_confidence"), (F.col("lifted") / F.sum("lifted").over(w)).alias("candidate_confidence"))
 
 
+def run_counters(per_read: DataFrame, answers: DataFrame, read: str) -> DataFrame:
+    """One row about a whole run: reads, kmers, hits, misses, and reads classified and not. per_read: (read, n_kmers, hits);
+    answers: a row for each classified read."""
+    told = answers.select(read).distinct().withColumn("_told", F.lit(True))
+    rows = per_read.join(told, read, "left")
+    return rows.agg(
+        F.count(F.lit(1)).alias("reads"), F.sum("n_kmers").alias("kmers"), F.sum("hits").alias("hits"), F.sum(F.col("n_kmers") - F.col("hits")).alias("misses"),
+        F.count("_told").alias("classified"), F.count_if(F.col("_told").isNull()).alias("unclassified"),
+    )
+
+
 def score_vectors(scores: DataFrame, closed: DataFrame, read: str, truth: Column) -> DataFrame:
     """(read, correct, truth, taxid, own_vector, total_vector, rank_confidence, candidate_confidence, total_hits, own_hits): each
     read's candidates in order of score, of equals by taxon, and what is said of the first of them. It is correct if it is the

@@ -26,14 +26,17 @@ def build_all_values(rows: DataFrame, taxid: str) -> DataFrame:
     return rows.select("key", F.col(taxid).alias("taxid"), "gene_id", F.col("pos").alias("gene_pos")).distinct()
 
 
-def upsert(index: DataFrame, rows: DataFrame, merge: dict[str, Column]) -> DataFrame:
+def upsert(index: DataFrame, rows: DataFrame, merge: dict[str, Column], custom: dict[str, Column] | None = None) -> DataFrame:
     """The index with rows added; values of equal keys are merged by aggregates, {column: aggregate over both sides' rows}.
 
-    An aggregate is an expression such as F.max("taxid"), or a grouped-aggregate pandas UDF over columns; it sees the values
-    of a key in no order. Built-in ones combine before the shuffle."""
-    names = ["key", *merge]
+    An aggregate of `merge` is a built-in expression such as F.max("taxid"), which combines before the shuffle. Those of `custom`
+    are grouped-aggregate pandas UDFs over columns of merge or custom; each sees the values of a key in no order, and the values
+    of one key are in memory at once. The two kinds are computed side by side and meet by key."""
+    custom = custom or {}
+    names = ["key", *merge, *custom]
     both = index.select(*names).unionByName(rows.select(*names))
-    return both.groupBy("key").agg(*[a.alias(n) for n, a in merge.items()])
+    aggregated = [both.groupBy("key").agg(*[a.alias(n) for n, a in kind.items()]) for kind in (merge, custom) if kind]
+    return aggregated[0] if len(aggregated) == 1 else aggregated[0].join(aggregated[1], "key")
 
 
 def composition(hits: DataFrame, ranks: DataFrame, read: str, named: list[str]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.dna import col
 from helixmill.staging import written
 
+from .order import placed
+
 #: Ranks of a lineage from the top, and their slots.
 RANKS = ["domain", "phylum", "class", "order", "family", "genus", "species", "subspecies", "genome"]
 RANK_IDS = {r: i for i, r in enumerate(RANKS)} | {"superkingdom": 0}
@@ -111,9 +113,9 @@ def subset(nodes: DataFrame, closed: DataFrame, wanted: DataFrame) -> DataFrame:
     kept = nodes.join(keep, "id")
     inner = kept.filter("parent_id <> id").select(F.col("parent_id").alias("id")).distinct().withColumn("inner", F.lit(1))
     ordered = kept.join(inner, "id", "left").withColumn("is_root", F.col("parent_id") == F.col("id"))
-    # ids are numbers of the whole table; a taxonomy is small beside the data that refers to it
-    place = F.row_number().over(Window.orderBy(~F.col("is_root"), F.col("inner").isNotNull(), "id"))
-    new = ordered.withColumn("new_id", F.when(F.col("is_root"), 1).otherwise(place)).drop("inner", "is_root")
+    ordered = ordered.withColumns({"_below": ~F.col("is_root"), "_inner": F.col("inner").isNotNull()})
+    numbered = placed(ordered, ["_below", "_inner", "id"])
+    new = numbered.withColumn("new_id", F.when(F.col("is_root"), 1).otherwise(F.col("place")).cast("int")).drop("inner", "is_root", "_below", "_inner", "part", "place")
     up = new.select(F.col("id").alias("parent_id"), F.col("new_id").alias("new_parent_id"))
     return new.join(up, "parent_id")
 

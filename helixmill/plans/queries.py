@@ -5,7 +5,9 @@ and species, a geographic taxonomy is region > nation > customer, and intervals,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions import dna, text, version
@@ -603,6 +605,26 @@ def index_upsert(spark, read):
     return index.upsert(low, once.filter("taxid > 20"), {"taxid": F.max("taxid"), "total": F.sum("total")})
 
 
+@query(f"""WITH {SQL_GENE_KMERS} SELECT key, min(species) AS taxid, bit_xor(gene_id * 4096 + pos) AS folded FROM gk GROUP BY key""")
+def index_upsert_custom(spark, read):
+    @F.pandas_udf("long")
+    def folded(v: pd.Series) -> int:
+        return int(np.bitwise_xor.reduce(v.to_numpy()))
+
+    rows = gene_kmers(read).select("key", F.col("species").alias("taxid"), (F.col("gene_id").cast("long") * 4096 + F.col("pos")).alias("folded"))
+    return index.upsert(rows.filter("taxid <= 20"), rows.filter("taxid > 20"), {"taxid": F.min("taxid")}, {"folded": folded("folded")})
+
+
+@query(f"""{_sql_descent().rsplit(' SELECT doc_id, node', 1)[0]}, n AS (SELECT doc_id, count(*) AS n_kmers, count(taxid) AS hits FROM h GROUP BY doc_id)
+SELECT count(*) AS reads, sum(n_kmers) AS kmers, sum(n.hits) AS hits, sum(n_kmers - n.hits) AS misses, count(a.doc_id) AS classified, count(*) - count(a.doc_id) AS unclassified FROM n LEFT JOIN (SELECT doc_id FROM a{len(RANKS)} WHERE path > 3) a USING (doc_id)""")
+def run_counters(spark, read):
+    taxa = written(doc_hits(read).groupBy("doc_id", "taxid").agg(F.count(F.lit(1)).alias("hits")))
+    found = F.when(F.col("taxid").isNotNull(), F.col("hits")).otherwise(0)
+    per_read = taxa.groupBy("doc_id").agg(F.sum("hits").alias("n_kmers"), F.sum(found).alias("hits"))
+    answers = classify.descend(taxa.filter("taxid is not null"), gene_lineages(read), RANKS, "doc_id")
+    return classify.run_counters(per_read, answers, "doc_id")
+
+
 @query(f"""WITH RECURSIVE {SQL_INDEX}, {SQL_NODES}, {SQL_CLOSED}, g AS (SELECT species, gk.gene_id, pos, ix.taxid FROM gk JOIN ix USING (key)), n AS (SELECT species, gene_id, count(*) AS n FROM g GROUP BY ALL),
 w AS (SELECT species, gene_id, i, taxid, count(*) AS hits FROM (SELECT *, unnest(range(greatest(pos - 84, -65), pos + 1)) AS i FROM g) GROUP BY ALL),
 sc AS (SELECT w.species, w.gene_id, w.i, w.taxid, sum(a.hits) AS score FROM w JOIN cl ON cl.id = w.taxid JOIN w a ON a.species = w.species AND a.gene_id = w.gene_id AND a.i = w.i AND a.taxid = cl.ancestor_id GROUP BY ALL),

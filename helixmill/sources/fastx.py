@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "id string, header string, sequence string, quality string, file string, offset long"
 SPLIT_BYTES = 64 << 20
@@ -94,7 +94,12 @@ class FastxReader(DataSourceReader):
         if not self.path:
             raise ValueError("load() needs a path")
 
-    def partitions(self):
+    @property
+    def scheme(self) -> str:
+        return self.path.split("://")[0] + "://" if "://" in self.path else ""
+
+    def files(self):
+        """The one file, or those of the folder whose names end as such files' do, by name."""
         from pyarrow import fs
 
         system, root = _open(self.path)
@@ -102,10 +107,12 @@ class FastxReader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         files = [info] if info.type == fs.FileType.File else [i for i in system.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and i.path.lower().endswith(SUFFIXES)]
-        scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
+        return sorted(files, key=lambda i: i.path)
+
+    def partitions(self):
         out = []
-        for f in sorted(files, key=lambda i: i.path):
-            name = scheme + f.path
+        for f in self.files():
+            name = self.scheme + f.path
             if f.path.endswith(".gz"):
                 out.append(Split(name, 0, None))
             else:
@@ -170,6 +177,36 @@ class _Raw(io.RawIOBase):
         return len(data)
 
 
+class FastxStreamReader(DataSourceStreamReader):
+    """Files that keep arriving in a folder. An offset is the size that each file had: a new file is read whole, and of one that
+    has grown by whole records what was added. Files are to be moved into the folder, or grow by whole records; compressed ones are to be
+    whole when they come, and one that has grown is an error, as is one that has shrunk."""
+
+    def __init__(self, options):
+        self.batch = FastxReader(options)
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return {f.path: f.size for f in self.batch.files()}
+
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        out = []
+        for name, size in sorted(end.items()):
+            begin = start.get(name, 0)
+            if size < begin or (begin and size > begin and name.endswith(".gz")):
+                raise MalformedRecord(f"{name} had {begin} bytes and has {size}")
+            if name.endswith(".gz"):
+                out += [] if begin else [Split(self.batch.scheme + name, 0, None)]
+            else:
+                out += [Split(self.batch.scheme + name, s, min(s + self.batch.size, size)) for s in range(begin, size, self.batch.size)]
+        return out or [Split("", 0, 0)]
+
+    def read(self, partition: Split):
+        return self.batch.records(partition)
+
+
 class FastxDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -181,6 +218,9 @@ class FastxDataSource(DataSource):
     def reader(self, schema) -> FastxReader:
         return FastxReader(self.options)
 
+    def streamReader(self, schema) -> FastxStreamReader:
+        return FastxStreamReader(self.options)
+
 
 class _PlacedReader(FastxReader):
     def read(self, partition: Split):

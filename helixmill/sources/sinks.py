@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textsink
+
 
 def table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     """Parquet; mode "ignore" leaves a finished result as it is."""
@@ -47,13 +49,24 @@ def profile_file(rows: DataFrame, path: str, sample: str, ranks: list[str]) -> N
     top.union(body).repartition(1).sortWithinPartitions("place", "p", "t").select("line").write.text(path)
 
 
-def fasta(df: DataFrame, path: str, order: list[str]) -> None:
+def fasta(df: DataFrame, path: str, order: list[str], gzip: bool = False) -> None:
     """Records (header, sequence) as FASTA text in an order: range-partitioned files whose names sort as their records do."""
-    df.orderBy(*order).select(F.concat(F.lit(">"), "header", F.lit("\n"), "sequence")).write.text(path)
+    textsink.save(df, path, "fasta", order, gzip)
+
+
+def fastq(df: DataFrame, path: str, gzip: bool = False) -> None:
+    textsink.save(df, path, "fastq", gzip=gzip)
+
 
+def raw_taxa(table: DataFrame, path: str, gzip: bool = False) -> None:
+    """The table of taxa that a profile is made of (profile.taxon_table) as a tab-separated file with a header."""
+    names = ["taxid", "reads", "bases", "present_genes", "n_genes", "expected_genes", "median_ani"]
+    tsv(table.select(*names), path, gzip=gzip)
 
-def fastq(df: DataFrame, path: str) -> None:
-    df.select(F.concat(F.lit("@"), "header", F.lit("\n"), "sequence", F.lit("\n+\n"), "quality")).write.text(path)
+
+def corrections(factors: DataFrame, path: str) -> None:
+    """(taxid, gene_id, factor) as tables.corrections() reads it."""
+    tsv(factors.select("taxid", "gene_id", "factor"), path, header=False)
 
 
 def classified_and_not(reads: DataFrame, classified: DataFrame, key: str, path: str) -> None:
@@ -62,14 +75,23 @@ def classified_and_not(reads: DataFrame, classified: DataFrame, key: str, path:
     reads.join(classified.select(key).distinct(), key, "left_anti").write.parquet(f"{path}/unclassified")
 
 
-def vcf_lines(snps: DataFrame) -> DataFrame:
-    """(line) of variant records from (taxid, gene_id, position, reference, base, n, coverage), header first."""
-    spark = snps.sparkSession
-    head = ["##fileformat=VCFv4.2", '##INFO=<ID=DP,Number=1,Type=Integer,Description="Coverage">', '##INFO=<ID=AC,Number=1,Type=Integer,Description="Observations">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
-    top = spark.createDataFrame([("", i, "", h) for i, h in enumerate(head)], "c string, p int, b string, line string")
+def vcf_records(snps: DataFrame) -> DataFrame:
+    """(chrom, position, base, line) of variant records from (taxid, gene_id, position, reference, base, n, coverage)."""
     chrom = F.concat_ws("_", F.col("taxid").cast("string"), F.col("gene_id").cast("string"))
     line = F.concat_ws("\t", chrom, (F.col("position") + 1).cast("string"), F.lit("."), "reference", "base", F.lit("."), F.lit("PASS"), F.format_string("DP=%d;AC=%d", F.col("coverage").cast("long"), F.col("n").cast("long")))
-    return top.union(snps.select(chrom, F.col("position").cast("int"), "base", line)).orderBy("c", "p", "b").select("line")
+    return snps.select(chrom.alias("chrom"), "position", "base", line.alias("line"))
+
+
+def vcf(snps: DataFrame, path: str, gzip: bool = False) -> None:
+    """A folder of variant files: the header in the first, records in order over the others."""
+    textsink.save(vcf_records(snps), path, "vcf", ["chrom", "position", "base"], gzip)
+
+
+def vcf_lines(snps: DataFrame) -> DataFrame:
+    """(line) of variant records, header first."""
+    spark = snps.sparkSession
+    top = spark.createDataFrame([("", i, "", h) for i, h in enumerate(textsink.VCF_HEADER)], "chrom string, position int, base string, line string")
+    return top.union(vcf_records(snps).withColumn("position", F.col("position").cast("int"))).orderBy("chrom", "position", "base").select("line")
 
 
 def newick(nodes: list[tuple[int, int, str]], root: int) -> str:

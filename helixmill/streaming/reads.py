@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from helixmill.functions.dna import Shape
 from helixmill.operators import classify, kmers
+from helixmill.sources import fastx
 
 READS = "read string, sequence string"
 
@@ -20,6 +21,12 @@ def arriving(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFr
     return spark.readStream.schema(READS).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
+def arriving_files(spark: SparkSession, path: str) -> DataFrame:
+    """(read, sequence) of FASTA and FASTQ files that are added to a folder, or grow by whole records."""
+    fastx.register(spark)
+    return spark.readStream.format("fastx").load(path).select(F.col("id").alias("read"), F.upper("sequence").alias("sequence"))
+
+
 def taxa(reads: DataFrame, index: DataFrame, shape: Shape) -> DataFrame:
     """(read, taxid) for every k-mer found: a join of the stream with the stored index, without state."""
     rows = kmers.kmers(reads, "sequence", shape, ["read"])
