@@ -24,7 +24,7 @@ def build(spark: SparkSession, reference: str, nodes: DataFrame, shape: Shape, d
     and lineages, gene lengths and the pattern table of the shape. nodes: (id, parent_id, rank); leaves have the genes."""
     fastx.register(spark)
     taxid, gene = text.header_taxid_gene("header")
-    genes = spark.read.format("fastx").load(reference).select(taxid.alias("taxid"), gene.alias("gene_id"), F.upper("sequence").alias("sequence"))
+    genes = spark.read.format("fastx").load(fastx.qualified(spark, reference)).select(taxid.alias("taxid"), gene.alias("gene_id"), F.upper("sequence").alias("sequence"))
     closed = taxonomy.closure(nodes)
     closed.write.parquet(f"{db}/closure")
     closed = spark.read.parquet(f"{db}/closure")

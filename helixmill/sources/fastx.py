@@ -317,12 +317,19 @@ def register(spark: SparkSession) -> None:
 MOST_RANGES = 200_000
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the cluster's own file system, where it names none and that is not the local disk."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return path if "://" in path or default.startswith("file:") else default.rstrip("/") + "/" + path.lstrip("/")
+
+
 def with_ordinals(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of a file or folder with ordinal: a record's number in its file, from 0, the same at any split size.
 
     Two passes: records are counted in each range of bytes, counts are added up over a file's ranges, and a record's number in
     its range is added. Nothing but the counts moves."""
     register(spark)
+    path = qualified(spark, path)
     load = lambda name: spark.read.format(name).option("splitBytes", split_bytes).load(path)
     ahead = F.sum("n").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     counts = load("fastx_counts").select("file", "range", F.coalesce(ahead, F.lit(0)).alias("ahead"))
@@ -334,13 +341,13 @@ def with_ordinals(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
 
 def record_count(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> int:
     register(spark)
-    return spark.read.format("fastx_counts").option("splitBytes", split_bytes).load(path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return spark.read.format("fastx_counts").option("splitBytes", split_bytes).load(qualified(spark, path)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def headers(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(header) of the records of a file or folder; with a limit, of that many of them."""
     register(spark)
-    rows = spark.read.format("fastx").load(path).select("header")
+    rows = spark.read.format("fastx").load(qualified(spark, path)).select("header")
     return rows if limit is None else rows.limit(limit)
 
 

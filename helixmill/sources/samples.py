@@ -66,7 +66,7 @@ def detected(spark: SparkSession, sample: Sample) -> Sample:
     if sample.second is not None:
         return sample
     fastx.register(spark)
-    reader = fastx.FastxReader({"path": sample.first, "splitBytes": fastx.SPLIT_BYTES})
+    reader = fastx.FastxReader({"path": fastx.qualified(spark, sample.first), "splitBytes": fastx.SPLIT_BYTES})
     ids = [row[0] for row, _ in zip(reader.records(reader.partitions()[0]), range(LOOKED_AT), strict=False)]
     return replace(sample, both=len(ids) % 2 == 0 and interleaved(ids))
 

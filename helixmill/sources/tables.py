@@ -55,7 +55,7 @@ def located_genes(spark: SparkSession, reference: str) -> DataFrame:
     """(taxid, gene_id, start, end, file): where the sequences of a plain reference file with headers `>taxid_gene` lie."""
     fastx.register(spark)
     taxid, gene = header_taxid_gene("header")
-    return spark.read.format("fastx_spans").load(reference).select(taxid.cast("long").alias("taxid"), gene.cast("long").alias("gene_id"), "start", "end", "file")
+    return spark.read.format("fastx_spans").load(fastx.qualified(spark, reference)).select(taxid.cast("long").alias("taxid"), gene.cast("long").alias("gene_id"), "start", "end", "file")
 
 
 def write_reference_map(spark: SparkSession, reference: str, path: str) -> None:
@@ -66,7 +66,7 @@ def write_reference_map(spark: SparkSession, reference: str, path: str) -> None:
 def mapped_genes(reference: str, wanted: DataFrame) -> DataFrame:
     """(taxid, gene_id, start, end, sequence, bytes_read) of the genes of a map: each is read from its own bytes of the reference,
     and the rest of the file is not."""
-    return fastx.fetch(wanted.withColumn("file", F.lit(reference))).drop("file")
+    return fastx.fetch(wanted.withColumn("file", F.lit(fastx.qualified(wanted.sparkSession, reference)))).drop("file")
 
 
 def true_ids(spark: SparkSession, path: str) -> DataFrame:

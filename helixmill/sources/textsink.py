@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from .fastx import _open
+from .fastx import _open, qualified
 
 #: Header lines of a variant file.
 VCF_HEADER = [
@@ -136,4 +136,4 @@ def save(df: DataFrame, path: str, kind: str, order: list[str] | None = None, gz
     """df into the folder path as records of a kind; with an order, files and records in them are in it."""
     register(df.sparkSession)
     rows = df if order is None else df.orderBy(*order)
-    rows.select(*COLUMNS[kind]).write.format("records").option("kind", kind).option("gzip", str(gzip).lower()).mode(mode).save(path)
+    rows.select(*COLUMNS[kind]).write.format("records").option("kind", kind).option("gzip", str(gzip).lower()).mode(mode).save(qualified(df.sparkSession, path))

@@ -24,7 +24,7 @@ def arriving(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFr
 def arriving_files(spark: SparkSession, path: str) -> DataFrame:
     """(read, sequence) of FASTA and FASTQ files that are added to a folder, or grow by whole records."""
     fastx.register(spark)
-    return spark.readStream.format("fastx").load(path).select(F.col("id").alias("read"), F.upper("sequence").alias("sequence"))
+    return spark.readStream.format("fastx").load(fastx.qualified(spark, path)).select(F.col("id").alias("read"), F.upper("sequence").alias("sequence"))
 
 
 def taxa(reads: DataFrame, index: DataFrame, shape: Shape) -> DataFrame:

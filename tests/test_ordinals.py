@@ -95,3 +95,14 @@ def test_running_sums_lie_in_ranges(spark):
     got = order.ranged(rows, ["g", "v"], 6, weight="w").orderBy("part", "r").collect()
     assert len({r.part for r in got}) == 6  # one group in several ranges
     assert [r.v for r in got] == sorted(r.v for r in got) and all(r.before == 2 * r.r for r in got)
+
+
+def test_paths_without_a_scheme(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert fastx.qualified(spark, "/a/b") == "/a/b"
+    try:
+        conf.set("fs.defaultFS", "hdfs://name:8020/")
+        assert fastx.qualified(spark, "/a/b") == "hdfs://name:8020/a/b" and fastx.qualified(spark, "s3a://x/y") == "s3a://x/y"
+    finally:
+        conf.set("fs.defaultFS", before)
