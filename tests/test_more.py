@@ -59,6 +59,7 @@ def test_letters_of_several_bytes_and_unknown_ones(spark):
 
 def test_prefix_estimate_is_near(spark):
     sf = "/root/testdata/sf0.001"
+    catalog.load()
     exact = {r.prefix: r.n_distinct for r in catalog.QUERIES["kmer_histogram"](spark, sf).collect()}
     got = {r.prefix: r.n_distinct for r in catalog.QUERIES["kmer_prefix_estimate"](spark, sf).collect()}
     assert set(got) == set(exact) and all(abs(got[p] - n) <= max(3, 0.1 * n) for p, n in exact.items())
