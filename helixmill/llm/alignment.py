@@ -1,18 +1,19 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-The relational core (`boundaries`, `groups`, `links`) works on units of text with two lists of tokens: tokens are exploded with their
-positions, a window adds up their lengths, the two sides meet in a full outer equi-join on unit and end, a running count of the
+The relational core (`tokens`, `groups`, `links`) works on units of text with two lists of tokens: tokens are exploded with their
+positions, a window adds up their lengths, the two sides meet in an equi-join on unit and end, a running count of the
 ends that both have is the group of each token, and links come from a join of each group's distinct ids.
 
 Documents are not exploded into rows of tokens. They are cut into segments, only where neither tokenizer can join what lies on the
-two sides (`Cutter`), so that every segment's end is an end of both and a segment is aligned alike wherever it occurs:
+two sides (`segment_pattern`), so that every segment's end is an end of both and a segment is aligned alike wherever it occurs:
 
 1. Each task numbers the distinct segments of a block of documents; the documents keep the numbers in text order.
 2. Distinct segments meet in one shuffle, are encoded once by each tokenizer, and are aligned by the relational core.
-3. A segment's id pairs go back to its blocks, where each document counts a pair once; the counts are added up for all documents.
-4. The segments' sums, now with the counts of their pairs, go back too, and each document adds up its segments and hashes their groups.
+3. What was found goes back to the segments' blocks, where each document counts a pair once; the counts are added up for all documents.
+4. The counts of a block's distinct pairs go back, and each document adds up its segments and hashes their groups.
 
-What moves is one row for each block and distinct segment, whatever the number of occurrences.
+What moves is a compressed list for each block and part of the hash space, of distinct segments and what was found for them,
+whatever the number of occurrences. A task holds the distinct segments of its part, which are fewer the more shuffle partitions there are.
 
 Awkward rows: null and empty texts, and texts that either tokenizer does not give back byte for byte, have zeros and '' and count for no
 pair. Repeated rows and keys are documents of their own; keys may be null; other columns are not read. A text without a place to cut is
@@ -32,10 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stage
-from .bpe import _gather, _pack, _unpack
+from .bpe import _gather
 from .textvec import slices
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
+#: Segments that become an Arrow array at once, and marks of documents for pairs that are held at once.
+AT_ONCE, MARKS = 100_000, 4 << 20
+#: Distinct segments that a task remembers while it leaves out repeated ones.
+KNOWN = 2_000_000
 #: Both vocabularies are sent to every executor; larger files than this are refused.
 MAX_FILE = 64 << 20
 _SPACE = "▁"
@@ -136,14 +141,19 @@ def _ends(units: DataFrame, ids: str, lengths: str, name: str) -> DataFrame:
     return rows.select("unit", F.sum("t.n").over(up_to).alias("end"), F.col("t.id").alias(name))
 
 
-def boundaries(units: DataFrame, n: int) -> DataFrame:
-    """(unit, end, a, b, grp) of units (unit, a, a_len, b, b_len): each end of a token, the token of either side that ends there,
-    and how many common ends lie before it. Rows of a unit are in one of n partitions."""
-    units = units.repartition(n, "unit")
-    both = _ends(units, "a", "a_len", "a").join(_ends(units, "b", "b_len", "b"), ["unit", "end"], "full")
+def tokens(units: DataFrame) -> DataFrame:
+    """(unit, end, a, b, grp): the tokens of both sides of units (unit, a, a_len, b, b_len), one of a and b null. grp: how many ends
+    that both sides have lie before the token's own.
+
+    Windows and joins all keep units together: with units in buckets and stage.joined_in_place() no row moves."""
+    sides = {x: _ends(units, x, f"{x}_len", x) for x in "ab"}
     before = Window.partitionBy("unit").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    common = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
-    return both.withColumn("grp", F.coalesce(F.sum(common).over(before), F.lit(0)))
+    out = []
+    for x, y in ("ab", "ba"):
+        both = sides[x].join(sides[y].select("unit", "end", F.lit(1).alias("common")), ["unit", "end"], "left")
+        grp = F.coalesce(F.sum("common").over(before), F.lit(0))
+        out.append(both.select("unit", "end", F.col(x), F.lit(None).cast("int").alias(y), grp.alias("grp")))
+    return out[0].unionByName(out[1])
 
 
 def _listed(side: str):
@@ -151,19 +161,19 @@ def _listed(side: str):
     return F.concat_ws(",", F.transform(rows, lambda x: x[side].cast("string")))
 
 
-def groups(ends: DataFrame) -> DataFrame:
-    """(unit, n_a, n_b, n_groups, n_links, groups): groups is each group's `a1,a2|b1`, parted by `;`, in order."""
-    each = ends.groupBy("unit", "grp").agg(F.count("a").alias("x"), F.count("b").alias("y"), F.concat(_listed("a"), F.lit("|"), _listed("b")).alias("text"))
+def groups(found: DataFrame) -> DataFrame:
+    """(unit, n_a, n_b, n_groups, n_links, groups) of tokens(): groups is each group's `a1,a2|b1`, parted by `;`, in order."""
+    each = found.groupBy("unit", "grp").agg(F.count("a").alias("x"), F.count("b").alias("y"), F.concat(_listed("a"), F.lit("|"), _listed("b")).alias("text"))
     text = F.concat_ws(";", F.transform(F.sort_array(F.collect_list(F.struct("grp", "text"))), lambda g: g["text"]))
     return each.groupBy("unit").agg(
         F.sum("x").alias("n_a"), F.sum("y").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("x") * F.col("y")).alias("n_links"), text.alias("groups")
     )
 
 
-def links(ends: DataFrame) -> DataFrame:
+def links(found: DataFrame) -> DataFrame:
     """(unit, pair, n): how often each pair of ids is linked in a unit. A pair is a long: a's id above b's. Ids repeated in a
     group are counted before the sides are joined."""
-    a, b = (ends.filter(F.col(x).isNotNull()).groupBy("unit", "grp", x).agg(F.count(F.lit(1)).alias(f"n_{x}")) for x in "ab")
+    a, b = (found.filter(F.col(x).isNotNull()).groupBy("unit", "grp", x).agg(F.count(F.lit(1)).alias(f"n_{x}")) for x in "ab")
     pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     return a.join(b, ["unit", "grp"]).groupBy("unit", pair.alias("pair")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
 
@@ -177,11 +187,68 @@ def counted(pair_docs: DataFrame) -> DataFrame:
 # ---- documents as lists of segments ----
 
 
-def _blocks(pattern: str, key: str, text: str, size: int, kind: pa.DataType):
-    class Numbers(dict):
-        def __missing__(self, k: str) -> int:
-            v = self[k] = len(self)
-            return v
+def _small(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _large(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: zeros lie together."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def _packed_words(words: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    return _small(len(words).to_bytes(8, "little") + _planes(sizes) + b"".join(words))
+
+
+def _listed_words(packed: bytes) -> list[bytes]:
+    raw = _large(packed)
+    n = int.from_bytes(raw[:8], "little")
+    ends = (np.cumsum(_numbers(raw[8 : 8 + 4 * n], "<u4"), dtype=np.int64) + 8 + 4 * n).tolist()
+    return [raw[lo:hi] for lo, hi in zip([8 + 4 * n, *ends], ends, strict=False)]
+
+
+def _blocks(pattern: str, key: str, text: str, size: int, n_parts: int, kind: pa.DataType):
+    def made(batch: pa.RecordBatch, block: int, find) -> pa.RecordBatch:
+        chunks, waiting, counts = [], [], []
+        for x in batch.column(text):
+            t = x.as_py()
+            found = find(" " + t) if t else []
+            counts.append(len(found))
+            waiting += found
+            if len(waiting) >= AT_ONCE:
+                chunks.append(pa.array(waiting, pa.string()))
+                waiting = []
+        coded = pa.chunked_array([*chunks, pa.array(waiting, pa.string())]).dictionary_encode()
+        words = coded.chunk(coded.num_chunks - 1).dictionary.cast(pa.binary()).to_pylist()  # all chunks have one dictionary
+        at = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+        del chunks, waiting, coded
+        parts: list[list[tuple[bytes, int]]] = [[] for _ in range(n_parts)]
+        for i, w in enumerate(words):
+            parts[zlib.crc32(w) % n_parts].append((w, i))
+        renumber, done = np.zeros(len(words), np.uint32), 0
+        for p in parts:
+            p.sort()
+            renumber[[i for _, i in p]] = np.arange(done, done + len(p), dtype=np.uint32)
+            done += len(p)
+        packed = [_packed_words([w for w, _ in p]) if p else None for p in parts]
+        keys = batch.column(key)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys.cast(kind)), pa.array([counts], pa.list_(pa.int32())),
+                pa.array([_small(_planes(renumber[at]))], pa.binary()), pa.array([packed], pa.list_(pa.binary())),
+            ],
+            ["block", "row_ids", "n", "at", "parts"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -189,38 +256,24 @@ def _blocks(pattern: str, key: str, text: str, size: int, kind: pa.DataType):
         from pyspark import TaskContext
 
         find = re.compile(pattern).findall
-        block = (TaskContext.get().partitionId() << 32) - 1
-        for batch in slices(batches, text, size):
-            block += 1
-            numbers = Numbers()
-            number, at, counts = numbers.__getitem__, [], []
-            for x in batch.column(text):
-                t = x.as_py()
-                found = find(" " + t) if t else []
-                counts.append(len(found))
-                at.append(np.fromiter(map(number, found), np.uint32, len(found)))
-            keys = batch.column(key)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys.cast(kind)), pa.array([counts], pa.list_(pa.int32())),
-                    pa.array([zlib.compress(np.concatenate(at).tobytes(), 1)], pa.binary()), pa.array([_pack([w.encode() for w in numbers])], pa.binary()),
-                ],
-                ["block", "row_ids", "n", "at", "words"],
-            )
+        block = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(slices(batches, text, size)):
+            yield made(batch, block + i, find)  # nothing of a block is held while the next one is made
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, no, word) of each block's numbered segments."""
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of lists, most of the repeated ones left out: a task remembers KNOWN of them."""
+    seen: set[bytes] = set()
     for batch in batches:
-        for block, packed in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            sizes, data = _unpack(packed)
-            off = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
-            words = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(off), pa.py_buffer(data))
-            for lo in range(0, len(words), 100_000):
-                part = words[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block), pa.int64()), pa.array(np.arange(lo, lo + len(part)), pa.int32()), part], ["block", "no", "word"])
+        for packed in batch.column(0).to_pylist():
+            fresh = [w for w in _listed_words(packed) if w not in seen]
+            if len(seen) >= KNOWN:
+                seen.clear()
+            seen.update(fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.binary()).cast(pa.string())], ["word"])
 
 
 _ENCODED = "word string, a array<int>, a_len array<int>, b array<int>, b_len array<int>, ok boolean"
@@ -240,7 +293,7 @@ def _encoded(files):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coders = ByteLevel(files.value.a), Pieces(files.value.b)
-        for batch in slices(batches, "word", 1 << 20):
+        for batch in slices(batches, "word", 1 << 18):
             words = batch.column("word").to_pylist()
             (a, a_len, a_off, a_ok), (b, b_len, b_off, b_ok) = (side(c, words) for c in coders)
             ok, lists = a_ok & b_ok, []
@@ -251,71 +304,157 @@ def _encoded(files):
     return run
 
 
-def _shares(docs_off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of documents with about so many segments."""
+def _dense(numbers: list[np.ndarray], text: bytes) -> bytes:
+    """Columns of whole numbers, and a text."""
+    head = np.array([*map(len, numbers), len(text)], np.int64).tobytes()
+    return _small(head + b"".join(_planes(x.astype("<i8")) for x in numbers) + text)
+
+
+def _loose(packed: bytes, columns: int) -> tuple[list[np.ndarray], bytes]:
+    raw = _large(packed)
+    sizes = np.frombuffer(raw, np.int64, columns + 1).tolist()
+    at, out = 8 * (columns + 1), []
+    for n in sizes[:-1]:
+        out.append(_numbers(raw[at : at + 8 * n], "<i8"))
+        at += 8 * n
+    return out, raw[at:]
+
+
+#: Of each segment: whether both tokenizers give it back, its sums, and how long its groups' text and its list of pairs are.
+_PER_UNIT = ["ok", "n_a", "n_b", "n_groups", "text", "links"]
+
+
+class _Part:
+    """What was found for the distinct segments of a part, and the lists of a block's segments with it."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        self.index = {w.encode(): i for i, w in enumerate(t.column("word").to_pylist())}
+        text = t.column("groups").combine_chunks().cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+        _, off, data = text.buffers()
+        self.text = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        self.text_off = np.frombuffer(off, np.int64)[text.offset : text.offset + len(text) + 1]
+        links = t.column("pairs").combine_chunks()
+        sizes = links.value_lengths().fill_null(0).to_numpy()
+        self.link_off = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.pairs, self.times = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("pairs", "times"))
+        numbers = [t.column("ok").combine_chunks().cast(pa.int64()), *(t.column(c).combine_chunks().fill_null(0) for c in _PER_UNIT[1:4])]
+        self.numbers = [*(x.to_numpy() for x in numbers), np.diff(self.text_off), sizes]
+
+    def found(self, packed: bytes) -> bytes:
+        words = _listed_words(packed)
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        text, pairs, times = _gather(self.text, self.text_off, at)[0], _gather(self.pairs, self.link_off, at)[0], _gather(self.times, self.link_off, at)[0]
+        return _dense([*(x[at] for x in self.numbers), pairs, times], text.tobytes())
+
+
+def _attached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, part, found) for each list of a block. Rows come part by part, of each what was found for its segments first."""
+    part, rows, held = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts, lists = batch.column("part").to_numpy(), batch.column("block").is_valid().to_numpy(zero_copy_only=False)
+        turns = np.flatnonzero((parts[1:] != parts[:-1]) | (lists[1:] != lists[:-1])) + 1
+        for lo, hi in zip([0, *turns], [*turns, len(parts)], strict=True):
+            if parts[lo] != part:
+                part, rows, held = parts[lo], [], None
+            run = batch.slice(lo, hi - lo)
+            if not lists[lo]:
+                rows.append(run)
+                continue
+            if held is None:
+                held, rows = _Part(rows), []
+            for block, packed in zip(run.column("block").to_pylist(), run.column("words").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([held.found(packed)], pa.binary())], ["block", "part", "found"])
+
+
+def _shares(docs_off: np.ndarray, most: int, docs: int) -> Iterator[tuple[int, int]]:
+    """Runs of documents with about so many segments, and at most so many documents."""
     lo = 0
     while lo < len(docs_off) - 1:
         hi = max(lo + 1, int(np.searchsorted(docs_off, docs_off[lo] + most, "right")) - 1)
+        hi = min(hi, lo + docs)
         yield lo, hi
         lo = hi
 
 
-def _block(left: pa.Table, right: pa.Table):
-    """A block's documents (keys, offsets into at), its segments in text order, and its segment rows by number."""
-    counts = left.column("n").combine_chunks()[0].values.to_numpy(zero_copy_only=False)
-    at = np.frombuffer(zlib.decompress(left.column("at")[0].as_py()), np.uint32)
-    right = right.take(np.argsort(right.column("no").to_numpy())).combine_chunks()
-    ok = right.column("ok").to_numpy()
-    off = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    bad = np.concatenate([[0], np.cumsum(~ok[at] if len(at) else np.zeros(0, bool))])
-    return left.column("row_ids").combine_chunks()[0].values, off, at, right, (counts > 0) & (bad[off[1:]] == bad[off[:-1]])
-
-
-def _pair_docs(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(pair, docs): in how many of a block's documents each pair is linked."""
-    out = pa.schema([("pair", pa.int64()), ("docs", pa.int64())])
-    if not left.num_rows or not right.num_rows:
-        return out.empty_table()
-    _, off, at, right, good = _block(left, right)
-    lists = right.column("pairs").combine_chunks()
-    pairs, local = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    sizes = lists.value_lengths().fill_null(0).to_numpy()
-    starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    total, width = np.zeros(len(pairs), np.int64), max(len(sizes), 1)
-    for lo, hi in _shares(off, 1 << 20):
-        doc = np.repeat(np.arange(hi - lo), np.diff(off[lo : hi + 1]))
-        keep = good[lo:hi][doc]
-        seen = np.unique(doc[keep] * width + at[off[lo] : off[hi]][keep])
-        found, _ = _gather(local, starts, seen % width)
-        once = np.unique(np.repeat(seen // width, sizes[seen % width]) * max(len(pairs), 1) + found)
-        total += np.bincount(once % max(len(pairs), 1), minlength=len(pairs))
-    some = total > 0
-    return pa.table([pa.array(pairs[some]), pa.array(total[some])], schema=out)
+class _Block:
+    """A block's documents (offsets into at, which of them hold), its segments in text order, and what was found for each of these."""
+
+    def __init__(self, row: dict):
+        counts = np.array(row["n"], np.int64)
+        self.at = _numbers(_large(row["at"]), "<u4")
+        self.off = np.concatenate([[0], np.cumsum(counts)])
+        lists = [_loose(x["found"], len(_PER_UNIT) + 2) for x in row["lists"] or []]
+        columns = [np.concatenate([x[0][i] for x in lists]) if lists else np.zeros(0, np.int64) for i in range(len(_PER_UNIT) + 2)]
+        self.units = dict(zip(_PER_UNIT, columns, strict=False))
+        self.pairs, self.times = columns[-2:]
+        self.texts = [x[1] for x in lists]
+        self.link_off = np.concatenate([[0], np.cumsum(self.units["links"])])
+        bad = np.concatenate([[0], np.cumsum(self.units["ok"][self.at] == 0 if len(self.at) else np.zeros(0, bool))])
+        self.good = (counts > 0) & (bad[self.off[1:]] == bad[self.off[:-1]])
+
+    def over_links(self, values: np.ndarray) -> np.ndarray:
+        """For each segment the sum of values over its links."""
+        running = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return running[self.link_off[1:]] - running[self.link_off[:-1]]
+
+    def pair_docs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs and in how many documents each is linked: a few documents at a time have a mark for each pair."""
+        pairs, local = np.unique(self.pairs, return_inverse=True)
+        total, width = np.zeros(len(pairs), np.int64), max(len(pairs), 1)
+        for lo, hi in _shares(self.off, 1 << 20, max(1, MARKS // width)):
+            doc = np.repeat(np.arange(hi - lo), np.diff(self.off[lo : hi + 1]))
+            keep = self.good[lo:hi][doc]
+            found, ends = _gather(local, self.link_off, self.at[self.off[lo] : self.off[hi]][keep])
+            marks = np.zeros((hi - lo) * width, bool)
+            marks[np.repeat(doc[keep] * width, np.diff(ends, prepend=0)) + found] = True
+            total += marks.reshape(hi - lo, width).sum(axis=0)
+        return pairs[total > 0], total[total > 0]
+
+
+def _pair_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            pairs, docs = _Block(row).pair_docs()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), row["block"]), pa.int64()), pa.array(pairs), pa.array(docs)], ["block", "pair", "docs"])
 
 
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 def _documents(kind: pa.DataType, with_groups: bool):
-    out = pa.schema([("key", kind), *[(c, pa.int64()) for c in _SUMS], *([("groups", pa.string())] if with_groups else []), ("groups_sha256", pa.string())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return out.empty_table()
-        keys, off, at, right, good = _block(left, right)
+    def made(one: pa.RecordBatch) -> pa.RecordBatch:
+        block = _Block(one.select(["n", "at", "lists"]).to_pylist()[0])
+        pairs, docs, best = (one.column("counts").flatten().field(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in ("pair", "docs", "best"))
+        order = np.argsort(pairs)
+        pairs, docs, best = pairs[order], docs[order], best[order]
+        # pairs of documents that do not hold have no count
+        where = np.minimum(np.searchsorted(pairs, block.pairs), max(len(pairs) - 1, 0))
+        known = pairs[where] == block.pairs if len(pairs) else np.zeros(len(block.pairs), bool)
+        docs, best = (np.where(known, x[where], 0) if len(pairs) else np.zeros(len(block.pairs), np.int64) for x in (docs, best))
+        units = block.units | {"n_links": block.over_links(block.times), "n_best": block.over_links(block.times * best), "count_sum": block.over_links(block.times * docs)}
         columns = []
         for c in _SUMS:
-            values = right.column(c).fill_null(0).to_numpy()
-            running = np.concatenate([[0], np.cumsum(values[at] if len(at) else at, dtype=np.int64)])
-            columns.append(pa.array(np.where(good, running[off[1:]] - running[off[:-1]], 0), pa.int64()))
-        text = [x.encode() if x is not None else b"" for x in right.column("groups").to_pylist()].__getitem__
+            running = np.concatenate([[0], np.cumsum(units[c][block.at] if len(block.at) else np.zeros(0, np.int64), dtype=np.int64)])
+            columns.append(pa.array(np.where(block.good, running[block.off[1:]] - running[block.off[:-1]], 0), pa.int64()))
+        raw, ends = b"".join(block.texts), np.cumsum(units["text"]).tolist()
+        text = [raw[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)].__getitem__
         digests, texts = [], []
-        for i, fits in enumerate(good.tolist()):
-            whole = b";".join(map(text, at[off[i] : off[i + 1]].tolist())) if fits else b""
+        for j, fits in enumerate(block.good.tolist()):
+            whole = b";".join(map(text, block.at[block.off[j] : block.off[j + 1]].tolist())) if fits else b""
             digests.append(hashlib.sha256(whole).hexdigest() if fits else "")
-            if with_groups:
-                texts.append(whole.decode())
-        return pa.table([keys, *columns, *([pa.array(texts, pa.string())] if with_groups else []), pa.array(digests, pa.string())], schema=out)
+            texts.append(whole.decode() if with_groups else "")
+        keys = one.column("row_ids").flatten().cast(kind)
+        some = [pa.array(texts, pa.string())] if with_groups else []
+        return pa.RecordBatch.from_arrays([keys, *columns, *some, pa.array(digests, pa.string())], ["key", *_SUMS, *(["groups"] if with_groups else []), "groups_sha256"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield made(batch.slice(i, 1))
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -333,25 +472,25 @@ def align(docs: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key), F.col(text))
     pattern = segment_pattern(Pieces(pair.b).pieces)
     files = spark.sparkContext.broadcast(pair)
-    # one row is a block, so blocks are dealt out by number and lie in few files
-    blocks = stage.written(rows.mapInArrow(_blocks(pattern, key, text, block_bytes, kind), f"block long, row_ids array<{name}>, n array<int>, at binary, words binary"))
-    words = blocks.select("block", "words").mapInArrow(_words, "block long, no int, word string")
-    distinct = words.select("word").distinct()
-    encoded = stage.written(distinct.mapInArrow(_encoded(files), _ENCODED).withColumn("unit", F.monotonically_increasing_id()))
-    where = stage.written(words.join(encoded.select("word", "unit", "ok"), "word").select("block", "no", "unit", "ok"))
-    ends = stage.written_by(boundaries(encoded.filter("ok").select("unit", "a", "a_len", "b", "b_len"), n), "unit", n)
-    linked = stage.written_by(links(ends), "unit", n)
-    at = blocks.select("block", "row_ids", "n", "at")
-
-    def at_blocks(of_units: DataFrame, f, schema: str) -> DataFrame:
-        here = where.join(of_units, "unit", "left").drop("unit")
-        return at.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(f, schema)
-
-    pairs = linked.groupBy("unit").agg(F.collect_list("pair").alias("pairs"))
-    per_block = at_blocks(pairs, _pair_docs, "pair long, docs long")
-    totals = stage.written(counted(stage.written(per_block.groupBy("pair").agg(F.sum("docs").alias("docs")))))
-    weighed = linked.join(totals, "pair").groupBy("unit").agg(
-        F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum")
-    )
+    shape = f"block long, row_ids array<{name}>, n array<int>, at binary, parts array<binary>"
+    blocks = stage.written_by(rows.mapInArrow(_blocks(pattern, key, text, block_bytes, n, kind), shape), "block", n)
+    lists = blocks.select("block", F.posexplode("parts").alias("part", "words")).filter("words is not null")
+    words = lists.repartition(n, "part").select("words").mapInArrow(_distinct, "word string").distinct()
+    # words are in order before they are numbered, so a task that runs again gives the same numbers
+    encoded = words.sortWithinPartitions("word").mapInArrow(_encoded(files), _ENCODED).withColumn("unit", F.monotonically_increasing_id())
+    encoded = stage.written_by(encoded.repartition(n, "unit"), "unit", n)
+    with stage.joined_in_place(spark):
+        found = stage.written_by(tokens(encoded.filter("ok").select("unit", "a", "a_len", "b", "b_len")), "unit", n)
+        linked = links(found).groupBy("unit").agg(F.collect_list(F.struct("pair", "n")).alias("l"))
+        of_unit = encoded.select("unit", "word", "ok").join(groups(found).join(linked, "unit"), "unit", "left")
+        part = F.pmod(F.crc32(F.encode("word", "utf-8")), F.lit(n)).cast("int")
+        of_unit = of_unit.select(part.alias("part"), "word", "ok", "n_a", "n_b", "n_groups", "groups", F.col("l.pair").alias("pairs"), F.col("l.n").alias("times"))
+        both = of_unit.unionByName(lists, allowMissingColumns=True).repartition(n, "part").sortWithinPartitions("part", F.col("block").isNotNull())
+        back = both.mapInArrow(_attached, "block long, part int, found binary").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "found"))).alias("lists"))
+        back = stage.written_by(back, "block", n)
+    at = blocks.select("block", "row_ids", "n", "at").join(back, "block", "left")
+    per_block = stage.written(at.select("block", "n", "at", "lists").mapInArrow(_pair_docs, "block long, pair long, docs long"))
+    totals = counted(stage.written(per_block.groupBy("pair").agg(F.sum("docs").alias("docs"))))
+    counts = per_block.select("block", "pair").join(totals, "pair").groupBy("block").agg(F.collect_list(F.struct("pair", "docs", "best")).alias("counts"))
     schema = f"key {name}, {', '.join(f'{c} long' for c in _SUMS)}, {'groups string, ' if with_groups else ''}groups_sha256 string"
-    return at_blocks(groups(ends).join(weighed, "unit"), _documents(kind, with_groups), schema).withColumnRenamed("key", key)
+    return at.join(counts, "block", "left").mapInArrow(_documents(kind, with_groups), schema).withColumnRenamed("key", key)

@@ -116,7 +116,18 @@ def test_vocabularies_that_join_over_a_cut_make_one_segment(spark):
 def test_ids_joined_in_groups_of_several(spark):
     """Tokens of lengths 2, 1, 3 against 1, 2, 3: groups (0, 1 | 7, 8) and (2 | 7)."""
     units = spark.createDataFrame([(5, [0, 1, 2], [2, 1, 3], [7, 8, 7], [1, 2, 3])], "unit long, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
-    ends = alignment.boundaries(units, 3)
+    ends = alignment.tokens(units)
     assert [tuple(r) for r in alignment.groups(ends).collect()] == [(5, 3, 3, 2, 5, "0,1|7,8;2|7")]
     got = alignment.links(ends).select("unit", F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b"), "n").collect()
     assert sorted(tuple(r) for r in got) == [(5, 0, 7, 1), (5, 0, 8, 1), (5, 1, 7, 1), (5, 1, 8, 1), (5, 2, 7, 1)]
+
+
+def test_units_in_buckets_do_not_move(spark):
+    from helixmill.llm import stage
+
+    units = spark.range(200).selectExpr("id AS unit", "array(1, 2) AS a", "array(1, 2) AS a_len", "array(3) AS b", "array(3) AS b_len")
+    with stage.joined_in_place(spark):
+        found = stage.written_by(alignment.tokens(stage.written_by(units.repartition(4, "unit"), "unit", 4)), "unit", 4)
+        for df in (alignment.tokens(stage.written_by(units, "unit", 4)), alignment.groups(found), alignment.links(found)):
+            assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
