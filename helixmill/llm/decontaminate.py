@@ -123,8 +123,8 @@ def _item_sets(k: int):
 
 def _blocks(benchmark: DataFrame, k: int, threshold: float) -> Iterator[Items]:
     """Blocks of items, partition by partition; in the driver is one block at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item"), "text").filter("text is not null")
-    sets = rows.mapInArrow(_item_sets(k), "item long, part int, shingles binary").filter("part is not null").orderBy("part")
+    rows = benchmark.select(F.col("item_id").alias("item"), "text").filter("text is not null")
+    sets = rows.mapInArrow(_item_sets(k), f"item {_kind(benchmark)}, part int, shingles binary").filter("part is not null").orderBy("part")
     ids, held, size = [], [], 0
     for r in sets.toLocalIterator():
         if size and size + len(r.shingles) > BLOCK_BYTES:
@@ -137,8 +137,12 @@ def _blocks(benchmark: DataFrame, k: int, threshold: float) -> Iterator[Items]:
         yield Items(ids, held, threshold)
 
 
+def _kind(benchmark: DataFrame) -> str:
+    return benchmark.schema["item_id"].dataType.simpleString()
+
+
 def containments(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, item_id, containment) for each row of docs and each item with at least `threshold` of the item's distinct
+    """(key, item_id, containment) for each row of docs and each item, whose id may have any type, with at least `threshold` of the item's distinct
     k-word shingles in the row's text; an item of fewer than k words is one shingle of all its words, which only a
     document of exactly these words has.
 
@@ -147,24 +151,26 @@ def containments(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     item = "item" if key == "item_id" else "item_id"
-    schema = f"key {kind}, {item} long, containment double"
+    schema = f"key {kind}, {item} {_kind(benchmark)}, containment double"
     out = None
     for items in _blocks(benchmark, k, threshold):
-        part = _found(rows, items, k, threshold, schema, item)
+        part = _found(rows, benchmark, items, k, threshold, schema, item)
         out = part if out is None else out.union(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
     return out.withColumnRenamed("key", key)
 
 
-def _found(rows: DataFrame, items: Items, k: int, threshold: float, schema: str, name: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+def _found(rows: DataFrame, benchmark: DataFrame, items: Items, k: int, threshold: float, schema: str, name: str) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    shared, item_type = rows.sparkSession.sparkContext.broadcast(items), to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.slices(batches, "text"):
             row, item, share = _search(shared.value, batch.column("text"), k, threshold)
             ids = [shared.value.ids[i] for i in item]
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int64())), pa.array(ids, pa.int64()), pa.array(share, pa.float64())], ["key", name, "containment"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int64())), pa.array(ids, item_type), pa.array(share, pa.float64())], ["key", name, "containment"])
 
     return rows.mapInArrow(run, schema)
 

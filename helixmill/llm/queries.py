@@ -19,44 +19,54 @@ from .toxicity import OrdinalToxicity
 from .vocabulary import pair, vocabulary
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of each whole document and back, as digests."""
     return bpe.round_trip(read(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 3-word shingles agree by 85 of 100 or more."""
     return NearDedup(k=3, percent=85)(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items contained by four fifths of their shingles in a document."""
     return containments(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of each document by ordinal regression on the labelled ones."""
     docs = read(spark, sf_dir, "documents")
     return OrdinalToxicity().fit(docs, read(spark, sf_dir, "labels")).transform(docs)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
     return shard(read(spark, sf_dir, "documents"), 40)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by the ratio of target and raw text models."""
     docs = read(spark, sf_dir, "documents")
     return ImportanceResampling().fit(docs, read(spark, sf_dir, "labels")).transform(docs)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by the phrases that it needs, learnt from four fifths of the labelled ones."""
     return language.evaluate(read(spark, sf_dir, "documents"))
 
 
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document by context-tree weighting, learnt from nine tenths."""
     return ctw.score(read(spark, sf_dir, "documents"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of vectors that links at cosine 0.9 or more connect."""
     return EmbeddingDedup()(read(spark, sf_dir, "embeddings"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
     return html_text.main_text(read(spark, sf_dir, "pages"))
 
 

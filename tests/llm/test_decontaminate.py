@@ -91,3 +91,13 @@ def test_table(spark):
     b = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     got = {(x.doc_id, x.item_id, round(x.containment, 9)) for x in containments(d, b).collect()}
     assert got == brute([(r.doc_id, r.text) for r in d.collect()], [(r.item_id, r.text) for r in b.collect()])
+
+
+def test_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "x y z u v w"), (3, None)], "doc_id long, text string")
+    for kind, ids in (("string", ["q-1", "q-2", None]), ("binary", [b"\xff", b"q", None]), ("int", [1, 2, None])):
+        items = spark.createDataFrame([(ids[0], "a b c d e f"), (ids[1], "none of this is there"), (ids[2], "x y z u v w")], f"item_id {kind}, text string")
+        out = containments(docs, items)
+        assert dict(out.dtypes)["item_id"] == kind
+        got = {(r.doc_id, bytes(r.item_id) if kind == "binary" and r.item_id is not None else r.item_id) for r in out.collect()}
+        assert got == {(1, ids[0]), (2, None)}

@@ -79,3 +79,16 @@ def test_index_side_has_no_exchange_and_no_python(spark, tmp_path):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
     answers = index.answers(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in answers and "Arrow" not in answers
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from helixmill.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = queries.QUERIES["op12_exact_dedup"](spark, sf)
+    want = con.execute(queries.ORACLES["op12_exact_dedup"])
+    assert rows(got.select(*[c[0] for c in want.description])) == sorted(want.fetchall(), key=str)
