@@ -270,8 +270,9 @@ SQL_TAXA = f"{SQL_HITS}, t AS MATERIALIZED (SELECT doc_id, taxid, count(*) AS hi
 SQL_SCORES = f"{SQL_TAXA}, {SQL_LINEAGE}, sc AS MATERIALIZED (SELECT t.doc_id, t.taxid, any_value(t.hits) AS hits, sum(a.hits) AS score FROM t JOIN cl ON cl.id = t.taxid JOIN t a ON a.doc_id = t.doc_id AND a.taxid = cl.ancestor_id GROUP BY t.doc_id, t.taxid)"
 
 
-def doc_hits(read) -> DataFrame:
-    return classify.lookup_places(kmers.occurrences(doc_dna(read), "dna", SHAPE, ["doc_id"]), written(gene_index(read)))
+def doc_hits(read, ix: DataFrame | None = None) -> DataFrame:
+    """The index of these tables is small enough to be broadcast, so rows of k-mers do not move."""
+    return classify.lookup(doc_kmers(read), written(gene_index(read)) if ix is None else ix)
 
 
 def doc_scores(read) -> DataFrame:
@@ -451,7 +452,7 @@ FROM h JOIN pl USING (doc_id) WHERE CASE WHEN forward THEN o + pos >= 0 AND o +
 def marked_documents(read) -> DataFrame:
     lengths = doc_dna(read).select("doc_id", F.length("dna").alias("read_length"))
     genes = gene_table(read).select(F.col("species").alias("taxid"), "gene_id", F.length("dna").alias("gene_length"))
-    hits = written(doc_hits(read))
+    hits = doc_hits(read, written(gene_index(read)))
     placed = placement.best_placement(classify.best_offsets(leaf_hits(read, hits), "doc_id"), ["doc_id"]).join(lengths, "doc_id").join(genes, ["taxid", "gene_id"])
     return placement.marked(hits, placed, taxonomy.closure(gene_nodes(read)), SHAPE, ["doc_id"])
 
