@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,7 +191,8 @@ def descend(taxa: DataFrame, lineages: DataFrame, ranks: list[str], read: str, s
     mate's hits along it, and a pair is classified if one of them exceeds `least`.
 
     Hits of the taxa on the path so far are not part of a level's total. A read whose next set rank differs between taxa is
-    compared at the first rank that one of them has; taxa that end there do not go further. Each rank is one window over
+    compared at the first rank that one of them has; taxa that end there do not go further. The share is compared as a decimal: 63 hits
+    are not more than 0.7 of 90, as they are in doubles. Each rank is one window over
     the read's few taxa, all on the same partitioning, so the whole descent is one shuffle."""
     t = taxa.join(lineages.withColumnRenamed("id", "taxid"), "taxid", "left")
     w = Window.partitionBy(read)
@@ -201,7 +204,7 @@ def descend(taxa: DataFrame, lineages: DataFrame, ranks: list[str], read: str, s
         child = Window.partitionBy(read, "live", r)
         t = t.withColumn("total", F.sum(F.when(F.col("live"), F.col("hits"))).over(w))
         t = t.withColumn("below", F.when(F.col("live") & F.col(r).isNotNull(), F.sum("hits").over(child)))
-        t = t.withColumn("good", F.coalesce(F.col("open") & (F.col("below") > share * F.col("total")) & (F.col("below") >= least), F.lit(False)))
+        t = t.withColumn("good", F.coalesce(F.col("open") & (F.col("below") > F.lit(Decimal(str(share))) * F.col("total")) & (F.col("below") >= least), F.lit(False)))
         t = t.withColumn("to", F.max(F.when(F.col("good"), F.col(r))).over(w))
         some = F.max(F.when(F.col("live") & F.col(r).isNotNull(), 1)).over(w).isNotNull()
         t = t.withColumn("some", some)
