@@ -66,11 +66,12 @@ def subtree_sizes(closed: DataFrame) -> DataFrame:
 
 
 def common_ancestors(pairs: DataFrame, closed: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(a, b, lca_id) for pairs of node ids: the shared ancestor that is nearest to a."""
-    up = closed.select("id", "ancestor_id", "distance")
-    left = pairs.select(a, b).distinct().join(up.withColumnRenamed("id", a), a)
-    both = left.join(up.select(F.col("id").alias(b), "ancestor_id"), [b, "ancestor_id"])
-    return both.groupBy(a, b).agg(F.min_by("ancestor_id", "distance").alias("lca_id"))
+    """(a, b, lca_id) for pairs of node ids: the shared ancestor that is nearest to a.
+
+    Each node's ancestors are one list, as long as the tree is deep, so a pair stays one row: it meets the list of a, then that of b."""
+    up = closed.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("distance", "ancestor_id")))["ancestor_id"].alias("up"))
+    both = pairs.select(a, b).distinct().join(up.select(F.col("id").alias(a), F.col("up").alias("_up_a")), a).join(up.select(F.col("id").alias(b), F.col("up").alias("_up_b")), b)
+    return both.select(a, b, F.get(F.array_intersect("_up_a", "_up_b"), F.lit(0)).alias("lca_id")).filter("lca_id is not null")
 
 
 def lca_of_groups(rows: DataFrame, group: list[str], lineage: list[str], root: int = 1, more: list[Column] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from helixmill.operators import classify
+from helixmill.operators import classify, taxonomy
 
 
 @pytest.mark.parametrize("mates", [None, ["hits_1", "hits_2"]])
@@ -15,3 +15,12 @@ def test_share_is_exact(spark, mates):
     lineages = spark.createDataFrame([(2, 2), (3, 3)], "id int, species int")
     got = classify.descend(taxa, lineages, ["species"], "doc_id", mates=mates)
     assert {r.doc_id for r in got.collect()} == {100 + r for r in range(6)}
+
+
+def test_common_ancestors_keep_a_row_for_each_pair(spark):
+    nodes = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2), (5, 1), (8, 8), (9, 8)], "id int, parent_id int")
+    pairs = spark.createDataFrame([(3, 4), (3, 4), (4, 5), (3, 3), (2, 3), (3, 2), (1, 5), (3, 9), (9, 8), (7, 3), (None, 3)], "a int, b int")
+    got = taxonomy.common_ancestors(pairs, taxonomy.closure(nodes))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 5, 1), (2, 3, 2), (3, 2, 2), (3, 3, 3), (3, 4, 2), (4, 5, 1), (9, 8, 8)]
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner, (" in line and ("a#" in line or "b#" in line)]
+    assert joins and not any("ancestor_id" in line for line in joins)
