@@ -1,8 +1,32 @@
 """Faults that showed on larger tables only."""
 
+import tracemalloc
+
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from helixmill.operators import classify, taxonomy
+from helixmill.functions.dna import Shape
+from helixmill.operators import classify, kmers, taxonomy
+from helixmill.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+catalog.load()
+
+
+def equals_sql(spark, name, folder, tables):
+    """The query's rows on tables of a folder, others of SF, which are those of its SQL."""
+    con = duckdb.connect()
+    for t in {"documents", "benchmark"} - set(tables):
+        (folder / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df = catalog.QUERIES[name](spark, str(folder))
+    got = con.execute(catalog.ORACLES[name])
+    rows = sorted((tuple(r) for r in df.select(*[d[0] for d in got.description]).collect()), key=str)
+    assert rows == sorted(got.fetchall(), key=str)
+    return df
 
 
 @pytest.mark.parametrize("mates", [None, ["hits_1", "hits_2"]])
@@ -24,3 +48,19 @@ def test_common_ancestors_keep_a_row_for_each_pair(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 5, 1), (2, 3, 2), (3, 2, 2), (3, 3, 3), (3, 4, 2), (4, 5, 1), (9, 8, 8)]
     joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner, (" in line and ("a#" in line or "b#" in line)]
     assert joins and not any("ancestor_id" in line for line in joins)
+
+
+def test_counting_keys_takes_bounded_memory(monkeypatch):
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(kmers, "_rows", lambda *a: Frame())
+    run = kmers.counted(None, "s", Shape("XXXX_XX__XX_XXXX"))
+    text = np.frombuffer(b"ACGT", np.uint8)[np.random.default_rng(1).integers(0, 4, 9_000_000)].tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([text[i : i + 3000] for i in range(0, len(text), 3000)], pa.binary())], ["_sequence"])
+    tracemalloc.start()
+    n = sum(pa.compute.sum(b.column("n")).as_py() for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 3000 * (3000 - 15) and peak < 90e6
