@@ -50,6 +50,17 @@ def test_common_ancestors_keep_a_row_for_each_pair(spark):
     assert joins and not any("ancestor_id" in line for line in joins)
 
 
+@pytest.mark.parametrize("longest", [1 << 22, 500])
+def test_keys_of_a_sequence_are_not_shuffled(spark, tmp_path, monkeypatch, longest):
+    monkeypatch.setattr(kmers, "LONG", longest, raising=False)
+    twice = f"(SELECT * FROM '{SF}/documents.parquet' UNION ALL BY NAME SELECT * REPLACE (doc_id + 1 AS doc_id) FROM '{SF}/documents.parquet' WHERE doc_id % 50 = 0 UNION ALL BY NAME SELECT * REPLACE (NULL AS doc_id) FROM '{SF}/documents.parquet' WHERE doc_id % 70 = 1 UNION ALL BY NAME SELECT * REPLACE (doc_id + 1000 AS doc_id, CASE WHEN doc_id = 3 THEN NULL ELSE 'short one' END AS text) FROM '{SF}/documents.parquet' WHERE doc_id < 9)"
+    duckdb.connect().execute(f"COPY {twice} TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    equals_sql(spark, "kmer_extract", tmp_path, ["documents"])
+    plain = catalog.QUERIES["kmer_extract"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plain.split("\n") if "Exchange" in line]
+    assert longest == 500 or moved and not any("key#" in line for line in moved)
+
+
 def test_counting_keys_takes_bounded_memory(monkeypatch):
     class Frame:
         def mapInArrow(self, run, schema):
