@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.dna import Shape
+from helixmill.staging import partitions
 
 MOST_BITS = 22
 
@@ -90,3 +91,23 @@ def call(rows: DataFrame, table: DataFrame, read: str, shape: Shape, bits: int)
     asked = seen.select(read, (F.col("pos") - bits + 1).alias("from"), F.col("turned").alias("pattern")).filter(F.col("pattern") != (1 << bits) - 1)
     found = asked.join(table.filter(F.size("mutations") > 0), "pattern").select(read, "from", F.explode("mutations").alias("m"))
     return found.select(read, (F.col("from") + F.col("m")).alias("position")).distinct()
+
+
+def call_hits(hits: DataFrame, sizes: DataFrame, table: DataFrame, read: str, shape: Shape, bits: int) -> DataFrame:
+    """call() from the hits alone, (read, pos), for reads of which every position has a k-mer; sizes: (read, n_kmers).
+
+    A window of misses alone tells nothing, so each window belongs to the first hit in it, whose next hits give the pattern; misses are
+    never rows. Hits are few bytes, so they are spread over all partitions, which AQE would join to few. Of an id that several reads
+    share, only windows beyond all reads but the longest one are told: positions before it have several k-mers."""
+    rank = F.row_number().over(Window.partitionBy(read).orderBy(F.desc("n_kmers")))
+    two = sizes.filter("n_kmers > 0").withColumn("_rank", rank).filter("_rank <= 2").groupBy(read).agg(F.max("n_kmers").alias("_end"), F.coalesce(F.max(F.when(F.col("_rank") == 2, F.col("n_kmers"))), F.lit(0)).alias("_from"))
+    w = Window.partitionBy(read).orderBy("pos")
+    rows = hits.join(two, read).filter("pos >= _from").repartition(partitions(hits.sparkSession), read)
+    ahead = [F.lead("pos", i).over(w) - F.col("pos") for i in range(1, bits)]
+    bit = [F.when(d < bits, F.call_function("shiftleft", F.lit(1).cast("long"), d.cast("int"))).otherwise(F.lit(0).cast("long")) for d in ahead]
+    rows = rows.withColumns({"_mask": sum(bit, F.lit(1).cast("long")), "_low": F.greatest(F.col("pos") - (bits - 1), F.col("_from"), F.lag("pos").over(w) + 1), "_high": F.least("pos", F.col("_end") - bits)})
+    windows = rows.filter("_low <= _high").select(read, "pos", "_mask", F.explode(F.sequence("_low", "_high")).alias("from"))
+    shifted = F.call_function("shiftleft", F.col("_mask"), (F.col("pos") - F.col("from")).cast("int"))
+    windows = windows.select(read, "from", shifted.bitwiseAND((1 << bits) - 1).alias("pattern"))
+    found = windows.join(F.broadcast(table.filter(F.size("mutations") > 0)), "pattern").select(read, "from", F.explode("mutations").alias("m"))
+    return found.select(read, (F.col("from") + F.col("m")).cast("int").alias("position")).distinct()

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from helixmill.functions.dna import Shape
-from helixmill.operators import classify, kmers, taxonomy
+from helixmill.operators import classify, kmers, taxonomy, variants
 from helixmill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +75,25 @@ def test_counting_keys_takes_bounded_memory(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 3000 * (3000 - 15) and peak < 90e6
+
+
+def test_only_hits_are_rows_of_windows(spark):
+    """call_hits() tells what call() does from all k-mers, and hit_pattern_call moves no misses."""
+    rng = np.random.default_rng(2)
+    shape = Shape("XXXX_XX__XX_XXXX")
+    rows = [(d, p, bool(h)) for d, n in enumerate([3, 6, 7, 40, 300, 600]) for p, h in enumerate(rng.random(n) < [0.5, 0.8][d % 2])]
+    rows += [(9, p, p % 11 > 0) for p in range(50)]
+    every = spark.createDataFrame(rows, "doc_id int, pos int, hit boolean")
+    table = variants.train(spark, shape, 6)
+    want = {tuple(r) for r in variants.call(every, table, "doc_id", shape, 6).collect()}
+    sizes = every.groupBy("doc_id").count().withColumnRenamed("count", "n_kmers")
+    got = variants.call_hits(every.filter("hit").drop("hit"), sizes, table, "doc_id", shape, 6).collect()
+    assert want and {tuple(r) for r in got} == want and len(got) == len(want)
+    plan = catalog.QUERIES["hit_pattern_call"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "key#" not in plan
+
+
+def test_hit_patterns_of_shared_ids(spark, tmp_path):
+    twice = f"(SELECT * FROM '{SF}/documents.parquet' UNION ALL BY NAME SELECT * REPLACE (doc_id + 1 AS doc_id) FROM '{SF}/documents.parquet' WHERE doc_id % 20 = 0)"
+    duckdb.connect().execute(f"COPY {twice} TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    equals_sql(spark, "hit_pattern_call", tmp_path, ["documents"])
