@@ -50,6 +50,13 @@ def marked(hits: DataFrame, placements: DataFrame, closed: DataFrame, shape: Sha
     return rows.select(*read, "pos", F.col("to_taxid").alias("taxid"), F.col("to_gene").alias("gene_id"), "forward", "offset", "read_length", "gene_length", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
+def in_gene(placed: DataFrame, sequence: str, shape: Shape) -> DataFrame:
+    """Placements that carry their read's sequence, with the part of it whose k-mers lie in the gene instead, and `begin`, the
+    position at which that part begins. Reads without such a k-mer are left out."""
+    first, n = kmers_in_gene(F.col("offset"), F.col("forward"), F.col("read_length"), F.col("gene_length"), shape)
+    return placed.filter(n > 0).withColumns({"begin": first.cast("int"), sequence: F.substring(sequence, first + 1, n + (len(shape) - 1))})
+
+
 def call(rows: DataFrame, table: DataFrame, shape: Shape, bits: int, read: list[str]) -> DataFrame:
     """(read, taxid, gene_id, forward, gene_position, read_position): mutations told by the pattern of hits of marked() rows,
     once for each position of the gene.

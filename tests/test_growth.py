@@ -97,3 +97,11 @@ def test_hit_patterns_of_shared_ids(spark, tmp_path):
     twice = f"(SELECT * FROM '{SF}/documents.parquet' UNION ALL BY NAME SELECT * REPLACE (doc_id + 1 AS doc_id) FROM '{SF}/documents.parquet' WHERE doc_id % 20 = 0)"
     duckdb.connect().execute(f"COPY {twice} TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
     equals_sql(spark, "hit_pattern_call", tmp_path, ["documents"])
+
+
+@pytest.mark.parametrize("name", ["snp_call", "classification_rows", "classification_debug"])
+def test_only_kmers_in_the_gene_move(spark, tmp_path, name):
+    twice = f"(SELECT * FROM '{SF}/documents.parquet' UNION ALL BY NAME SELECT * REPLACE (doc_id + 1000 AS doc_id, left(text, 30 + doc_id % 90) AS text) FROM '{SF}/documents.parquet')"
+    duckdb.connect().execute(f"COPY {twice} TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    df = equals_sql(spark, name, tmp_path, ["documents"])
+    assert "documents.parquet" not in df._jdf.queryExecution().executedPlan().toString()
