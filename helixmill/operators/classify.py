@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.dna import Shape
+from helixmill.staging import partitions
 
 
 def lookup(rows: DataFrame, index: DataFrame) -> DataFrame:
@@ -40,13 +41,19 @@ def is_leaf_hit(last_leaf: Column | int) -> Column:
     return (F.col("taxid") > 1) & (F.col("taxid") <= last_leaf) & (F.col("gene_id") > 0) & (F.col("gene_pos") > 0)
 
 
+def _spread(leaf_hits: DataFrame, by: list[str]) -> DataFrame:
+    """(by, pos, gene_pos) by placement in a set number of partitions. Sums before a shuffle would keep a group for nearly each hit of
+    a task, and AQE, which goes by compressed bytes, would join many hits into one task."""
+    return leaf_hits.select(*by, "pos", "gene_pos").repartition(partitions(leaf_hits.sparkSession), *by)
+
+
 def fold_offsets(leaf_hits: DataFrame, read: str | list[str]) -> DataFrame:
     """For each read (and mate, if read names both columns), taxon and gene: the offsets on either strand that its first hit (by position) sets, and how many hits
     agree with each. Forward: gene position - read position; reverse: their sum."""
     by = [*_columns(read), "taxid", "gene_id"]
     fwd, rev = F.col("gene_pos") - F.col("pos"), F.col("gene_pos") + F.col("pos")
     first = Window.partitionBy(*by).orderBy("pos")
-    marked = leaf_hits.select(*by, "pos", fwd.alias("f"), rev.alias("r")).withColumn("off_fwd", F.first("f").over(first)).withColumn("off_rev", F.first("r").over(first))
+    marked = _spread(leaf_hits, by).select(*by, "pos", fwd.alias("f"), rev.alias("r")).withColumn("off_fwd", F.first("f").over(first)).withColumn("off_rev", F.first("r").over(first))
     return marked.groupBy(*by, "off_fwd", "off_rev").agg(F.count(F.when(F.col("f") == F.col("off_fwd"), 1)).alias("n_fwd"), F.count(F.when(F.col("r") == F.col("off_rev"), 1)).alias("n_rev"), F.min("pos").alias("first_pos"), (F.max("pos") - F.min("pos")).alias("span"))
 
 
@@ -106,7 +113,7 @@ def best_offsets(leaf_hits: DataFrame, read: str | list[str]) -> DataFrame:
     """The offset with most hits for each read (and mate), taxon and gene, over both strands; of equals the reverse, then the smaller."""
     both = F.explode(F.array(F.struct(F.lit(True).alias("forward"), (F.col("gene_pos") - F.col("pos")).alias("offset")), F.struct(F.lit(False).alias("forward"), (F.col("gene_pos") + F.col("pos")).alias("offset"))))
     by = [*_columns(read), "taxid", "gene_id"]
-    votes = leaf_hits.select(*by, both.alias("o")).groupBy(*by, "o.forward", "o.offset").agg(F.count(F.lit(1)).alias("votes"))
+    votes = _spread(leaf_hits, by).select(*by, both.alias("o")).groupBy(*by, "o.forward", "o.offset").agg(F.count(F.lit(1)).alias("votes"))
     order = F.struct("votes", ~F.col("forward"), -F.col("offset"))
     return votes.groupBy(*by).agg(F.max_by(F.struct("forward", "offset", "votes"), order).alias("b")).select(*by, "b.*")
 
@@ -176,7 +183,7 @@ def ambiguous(folded_hits: DataFrame, read: str) -> DataFrame:
     by = [read, "taxid", "gene_id"]
     fwd, rev = F.col("gene_pos") - F.col("pos"), F.col("gene_pos") + F.col("pos")
     first = Window.partitionBy(*by).orderBy("pos")
-    rows = folded_hits.select(*by, fwd.alias("f"), rev.alias("r"), F.first(fwd).over(first).alias("f0"), F.first(rev).over(first).alias("r0"))
+    rows = _spread(folded_hits, by).select(*by, fwd.alias("f"), rev.alias("r"), F.first(fwd).over(first).alias("f0"), F.first(rev).over(first).alias("r0"))
     other = (F.col("f") != F.col("f0")) & (F.col("r") != F.col("r0"))
     each = rows.groupBy(*by, "f").agg(F.count_if(other).alias("n")).groupBy(read).agg(F.count_if(F.col("n") > 0).alias("alternatives"))
     return each.select(read, (F.col("alternatives") > 0).alias("ambiguous"), "alternatives")

@@ -105,3 +105,11 @@ def test_only_kmers_in_the_gene_move(spark, tmp_path, name):
     duckdb.connect().execute(f"COPY {twice} TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
     df = equals_sql(spark, name, tmp_path, ["documents"])
     assert "documents.parquet" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["placement_vote", "ambiguous_placements", "mate_hits"])
+def test_hits_meet_in_a_set_number_of_partitions(spark, tmp_path, name):
+    plan = equals_sql(spark, name, tmp_path, [])._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    below = plan[plan.index("REPARTITION_BY_NUM") : plan.index("MapInArrow")]
+    assert "Aggregate" not in below and "Sort" not in below
